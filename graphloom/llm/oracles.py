@@ -21,3 +21,13 @@ ORACLES: dict[str, str] = {
     "p1_found": _STATEMENTS + "select row_id, first_row_id from grouped where n > 1",
     "p1_copies": _STATEMENTS + "select first_row_id, count(*) as copies from grouped group by first_row_id",
 }
+
+ORACLES["p3_found"] = r"""
+with recursive edges as (
+  select distinct left_id as a, right_id as b from match_pairs
+  where origin in ('auto_merged_pairs', 'alias_map', 'source_alias_map')
+    and not regexp_full_match(left_id, '[\s\p{Z}\x{85}\x{1c}-\x{1f}]*') and not regexp_full_match(right_id, '[\s\p{Z}\x{85}\x{1c}-\x{1f}]*')
+), both_ways as (select a, b from edges union select b, a from edges),
+reached as (select a as origin, a as node from both_ways union select r.origin, e.b from reached r join both_ways e on e.a = r.node)
+select origin as member_id, min(node) as group_id from reached group by origin
+"""

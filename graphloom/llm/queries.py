@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import formatting_duplicates
+from graphloom.llm import components, formatting_duplicates
 
 STATEMENT = ["subject", "predicate", "object"]
 
@@ -25,7 +25,15 @@ def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found.first_id.alias("first_row_id"), "copies")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _table(spark, sf_dir, "match_pairs")
+    edges = components.linked(pairs, "left_id", "right_id", pairs.origin.isin("auto_merged_pairs", "alias_map", "source_alias_map"))
+    found = components.groups(edges)
+    return found.select(found.member.alias("member_id"), found.group.alias("group_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
+    "p3_found": p3_found,
 }
