@@ -26,3 +26,15 @@ def bare(c: Column) -> Column:
 def strip(c: Column) -> Column:
     """c without surrounding white space of any kind."""
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+
+
+#: Words that only stand for a missing value, by their letters and digits.
+PLACEHOLDERS = (
+    "na", "nan", "nil", "none", "null", "tba", "tbc", "tbd", "unknown", "undefined", "unspecified", "missing",
+    "notavailable", "notapplicable", "notknown", "notspecified", "tobeannounced", "tobeconfirmed", "tobedetermined",
+)
+
+
+def is_missing(c: Column) -> Column:
+    """True where c is null, blank, without any letter or digit, or only stands for a missing value."""
+    return c.isNull() | (bare(c) == "") | bare(c).isin(*PLACEHOLDERS)

@@ -37,3 +37,24 @@ def salted_join(rows: DataFrame, groups: DataFrame, on: list[str], weight: str,
 def partitions_for(rows: int, per_partition: int) -> int:
     """Partitions that hold at most per_partition rows each on average."""
     return max(1, math.ceil(rows / per_partition))
+
+
+#: Distinct keys that are broadcast after they have been counted.
+BROADCAST_KEYS = 200_000
+
+
+def mark_members(rows: DataFrame, column: str, keys: DataFrame, mark: str, salts: int = 16) -> DataFrame:
+    """rows with a boolean column mark: whether column is among keys (one column). A null is among none.
+
+    The distinct keys are counted. Up to BROADCAST_KEYS of them are broadcast; more are repeated
+    once per salt and joined with salted rows, so that one value of a third of all rows is spread.
+    """
+    distinct = keys.select(F.col(keys.columns[0]).alias("_key")).where("_key is not null").distinct()
+    here = F.col(f"`{column}`")
+    if distinct.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        joined = rows.join(F.broadcast(distinct), here == F.col("_key"), "left")
+        return joined.withColumn(mark, F.col("_key").isNotNull()).drop("_key")
+    spread = distinct.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = rows.withColumn("_at", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(salts)))
+    joined = left.join(spread, (here == F.col("_key")) & (F.col("_at") == F.col("_salt")), "left")
+    return joined.withColumn(mark, F.col("_key").isNotNull()).drop("_key", "_at", "_salt")
