@@ -31,3 +31,35 @@ with recursive edges as (
 reached as (select a as origin, a as node from both_ways union select r.origin, e.b from reached r join both_ways e on e.a = r.node)
 select origin as member_id, min(node) as group_id from reached group by origin
 """
+
+_LONG = r"""
+with long as (
+  select canonical_id, record_id, updated_at,
+    exists (select 1 from aligned_source_pairs p where p.canonical_id = e.source_canonical_id and p.is_ground_truth) as trusted,
+    unnest(['label', 'group_name', 'color', 'description']) as field_name, unnest([label, group_name, color, description]) as value
+  from canonical_entities e
+), normed as (
+  select *, regexp_replace(lower(upper(value)), '[\p{P}\p{S}\p{Z}\p{C}]+', '', 'g') as norm, count(*) over (partition by canonical_id, field_name) as records from long
+), voting as (
+  select * from normed where norm <> '' and norm not in ('na', 'nan', 'nil', 'none', 'null', 'tba', 'tbc', 'tbd', 'unknown', 'undefined', 'unspecified', 'missing',
+    'notavailable', 'notapplicable', 'notknown', 'notspecified', 'tobeannounced', 'tobeconfirmed', 'tobedetermined')
+)
+"""
+ORACLES["p2_found"] = _LONG + """
+select canonical_id, field_name, record_id from voting where records >= 2
+qualify row_number() over (partition by canonical_id, field_name order by trusted desc, updated_at desc nulls last, record_id) = 1
+"""
+ORACLES["p2_survivors"] = _LONG + """
+, votes as (
+  select canonical_id, field_name, norm, arg_max(value, row(trusted, coalesce(updated_at, timestamp '0001-01-01'), -record_id)) as value,
+    max(row(trusted, coalesce(updated_at, timestamp '0001-01-01'), -record_id)) as best,
+    round(sum(case when trusted then 3.0::double else 1.0::double end * pow(0.5::double,
+      coalesce(date_sub('second', updated_at, (select max(updated_at) from canonical_entities)) / 86400.0::double / 180.0::double, 10.0::double))), 9) as vote
+  from voting group by all
+), won as (
+  select canonical_id, field_name, arg_max(value, row(vote, best)) as value from votes group by all
+)
+select n.canonical_id, max(value) filter (field_name = 'label') as label, max(value) filter (field_name = 'group_name') as group_name,
+  max(value) filter (field_name = 'color') as color, max(value) filter (field_name = 'description') as description, max(n.records) as records
+from (select canonical_id, count(*) as records from canonical_entities group by canonical_id) n left join won on won.canonical_id = n.canonical_id group by n.canonical_id
+"""

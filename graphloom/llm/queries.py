@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import components, formatting_duplicates
+from graphloom.llm import components, formatting_duplicates, survivorship
 
 STATEMENT = ["subject", "predicate", "object"]
+ENTITY = ["label", "group_name", "color", "description"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,21 @@ def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found.first_id.alias("first_row_id"), "copies")
 
 
+def _entity_votes(spark: SparkSession, sf_dir: str, half_life_days: float | None) -> DataFrame:
+    trusted = _table(spark, sf_dir, "aligned_source_pairs").where("is_ground_truth").select("canonical_id")
+    entities = _table(spark, sf_dir, "canonical_entities")
+    return survivorship.vote(entities, "canonical_id", ENTITY, "record_id", "updated_at", "source_canonical_id", trusted, half_life_days)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    won = _entity_votes(spark, sf_dir, None).where("records >= 2 and record is not null")
+    return won.select(won.group.alias("canonical_id"), "field_name", won.record.alias("record_id"))
+
+
+def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivorship.pivot(_entity_votes(spark, sf_dir, 180.0), ENTITY).withColumnRenamed("group", "canonical_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _table(spark, sf_dir, "match_pairs")
     edges = components.linked(pairs, "left_id", "right_id", pairs.origin.isin("auto_merged_pairs", "alias_map", "source_alias_map"))
@@ -35,5 +51,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
+    "p2_found": p2_found,
+    "p2_survivors": p2_survivors,
     "p3_found": p3_found,
 }
