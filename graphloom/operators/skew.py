@@ -14,7 +14,7 @@ MIN_HOT = 100_000
 
 
 def salted_join(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, row_hash: Column) -> DataFrame:
-    """Inner join of rows with groups (one record per key; weight says how many rows it has).
+    """Inner join of rows with groups (few records per key; their weight says how many rows it has).
 
     Keys heavier than 1 / MAX_HOT of all rows are fewer than MAX_HOT, so their list can be broadcast
     whatever the size of the data; their rows are spread over salts and their record is repeated
@@ -24,7 +24,7 @@ def salted_join(rows: DataFrame, groups: DataFrame, on: list[str], weight: str,
     total = groups.agg(F.sum(weight)).first()[0] or 0
     hot_at = max(MIN_HOT, total // MAX_HOT)
     salts = F.least(F.lit(4096), F.ceil(F.col(weight) / hot_at).cast("int") + 1)
-    hot = groups.where(F.col(weight) >= hot_at).select(*on, salts.alias("_salts"))
+    hot = groups.where(F.col(weight) >= hot_at).groupBy(*on).agg(F.max(salts).alias("_salts"))
     keys = hot.collect()  # fewer than MAX_HOT
     if not keys:
         return rows.join(groups, on)

@@ -1,4 +1,8 @@
 """All queries of the core."""
 
-QUERIES = {}
-ORACLES = {}
+from graphloom.plans import reference_checks
+
+_MODULES = (reference_checks,)
+
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
