@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import components, formatting_duplicates, survivorship
+from graphloom.llm import components, encoding, formatting_duplicates, mixing, survivorship
 
 STATEMENT = ["subject", "predicate", "object"]
+#: Where the public tokenizers' files are.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 ENTITY = ["label", "group_name", "color", "description"]
 
 
@@ -48,10 +50,30 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found.member.alias("member_id"), found.group.alias("group_id"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(_table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY).withColumnRenamed("id", "doc_id")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = encoding.count(_table(spark, sf_dir, "documents"), ["doc_id", "source"], "text", VOCABULARY)
+    return mixing.mix(sizes.withColumnRenamed("doc_id", "id"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
     "p2_found": p2_found,
     "p2_survivors": p2_survivors,
     "p3_found": p3_found,
+    "p6_ids": p6_ids,
+    "p7_shares": p7_shares,
+    "p7_documents": p7_documents,
 }
