@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import components, encoding, formatting_duplicates, mixing, survivorship
+from graphloom.llm import components, encoding, formatting_duplicates, mixing, survivorship, truncation
 
 STATEMENT = ["subject", "predicate", "object"]
 #: Where the public tokenizers' files are.
@@ -67,6 +67,15 @@ def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_texts(_table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return truncation.rates(documents, truncation.cut_texts(documents, "doc_id", "text", "source"), "doc_id", "text", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
@@ -76,4 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_shares": p7_shares,
     "p7_documents": p7_documents,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
 }
