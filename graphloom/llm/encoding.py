@@ -45,6 +45,13 @@ class Merges:
         chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.bytes = np.array([vocab[chars[b]] for b in range(256)], np.int64)
 
+    @classmethod
+    def of(cls, parts: dict) -> Merges:
+        """From vars() of another one, which any process can read."""
+        out = cls.__new__(cls)
+        out.__dict__.update(parts)
+        return out
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, _NO_RANK where the two don't merge."""
         key = (a << 32) | b
@@ -198,10 +205,10 @@ def encode(df: DataFrame, id_column: str, text: str, vocabulary: str) -> DataFra
     empty text and a null one have the empty list. Nothing is shuffled.
     """
     kind = df.schema[id_column].dataType
-    merges = df.sparkSession.sparkContext.broadcast(Merges(vocabulary))
+    merges = df.sparkSession.sparkContext.broadcast(vars(Merges(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(merges.value)
+        encoder = Encoder(Merges.of(merges.value))
         for batch in batches:
             for part, texts in _chunks(batch):
                 ids, count = encoder.encode(texts)
@@ -214,10 +221,10 @@ def encode(df: DataFrame, id_column: str, text: str, vocabulary: str) -> DataFra
 
 def count(df: DataFrame, keep: list[str], text: str, vocabulary: str, name: str = "tokens") -> DataFrame:
     """The columns keep and the number of token ids of each row's whole text; 0 for empty and null texts."""
-    merges = df.sparkSession.sparkContext.broadcast(Merges(vocabulary))
+    merges = df.sparkSession.sparkContext.broadcast(vars(Merges(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(merges.value)
+        encoder = Encoder(Merges.of(merges.value))
         for batch in batches:
             for part, texts in _chunks(batch):
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in range(len(keep))), pa.array(encoder.sizes(texts))], names=[*keep, name])

@@ -27,10 +27,10 @@ _ENDED = regex.compile(r"[.!?。][\"'”’»)\]]*(?:\s*[^\w\s.]+)*$")
 _OPEN_STOP = regex.compile(r"(?:\d|\b(?:approx|fig|no|vs|ca|al|[a-z]\.[a-z]|z\.B|bzw|env|aprox|p\.ej))\.$", regex.IGNORECASE)
 _JSON = regex.compile(r'"(?:[^"\\]|\\.)*+("?)|[\[\]{}]')
 
-#: Share of the documents in which a word stands by itself in a context, and in a coarse context.
-FINE, COARSE = 0.004, 0.03
-#: The orders of contexts: (coarse, tokens), the first that is frequent enough decides.
-ORDERS = ((False, 5), (True, 8), (False, 4), (False, 3), (False, 2), (False, 1))
+#: Occurrences per document that make a word stand by itself in a context, by the context's level from fine to coarse.
+LEVELS = (0.004, 0.03, 0.3)
+#: The orders of contexts: (level, tokens), the first that is frequent enough decides.
+ORDERS = ((0, 5), (1, 8), (2, 8), (0, 4), (0, 3), (0, 2), (0, 1))
 #: Occurrences elsewhere that make a context frequent enough.
 SEEN = 4
 #: A context that ends a sentence more rarely is a cut.
@@ -177,12 +177,12 @@ def _limit_key(source: Column, unit: Column, length: Column) -> Column:
 class Classes:
     """Numbers of words in contexts: frequent words by themselves, others by their form."""
 
-    def __init__(self, fine: list[str], coarse: list[str]):
-        self.fine, self.coarse = set(fine), set(coarse)
-        self.known: dict[str, tuple[int, int, int]] = {}
+    def __init__(self, levels: list[list[str]]):
+        self.levels = [set(words) for words in levels]
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def of(self, word: str) -> tuple[int, int, int]:
-        """In a fine context, in a coarse one, and by itself."""
+    def of(self, word: str) -> tuple[int, ...]:
+        """By level, and last by itself."""
         got = self.known.get(word)
         if got is None:
             own = xxhash.xxh3_64_intdigest(word)
@@ -196,7 +196,7 @@ class Classes:
                 form = 3
             else:
                 form = 4 if word[0].isupper() else 5
-            got = (own if word in self.fine else form, own if word in self.coarse else form, own)
+            got = (*(own if word in level else form for level in self.levels), own)
             if len(self.known) > 500_000:
                 self.known.clear()
             self.known[word] = got
@@ -206,19 +206,19 @@ class Classes:
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def contexts(fine: np.ndarray, coarse: np.ndarray, own: np.ndarray, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def contexts(codes: np.ndarray, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order, and last for the word by itself: positions whose text has tokens enough, and hashes of what ends there."""
-    out, at = [], np.arange(len(fine))
+    out, at = [], np.arange(len(codes))
     with np.errstate(over="ignore"):
-        for k, (rough, n) in enumerate(ORDERS):
-            seq = coarse if rough else fine
+        for k, (level, n) in enumerate(ORDERS):
+            seq = codes[:, level]
             pos = at[at - start >= n - 1]
             h = np.full(len(pos), np.uint64(k + 1))
             for i in range(n):
                 h = (h ^ seq[pos - i]) * _MIX
                 h ^= h >> np.uint64(29)
             out.append((pos, h))
-        out.append((at, (own ^ np.uint64(77)) * _MIX))
+        out.append((at, (codes[:, -1] ^ np.uint64(77)) * _MIX))
     return out
 
 
@@ -232,7 +232,7 @@ def _ask(classes: Classes):
                     continue
                 codes = np.array([classes.of(t) for t in tail], np.uint64)
                 last = len(tail) - 1
-                got = contexts(codes[:, 0], codes[:, 1], codes[:, 2], np.zeros(len(tail), np.int64))
+                got = contexts(codes, np.zeros(len(tail), np.int64))
                 hashes.append([int(h[-1].view(np.int64)) if len(p) and p[-1] == last else None for p, h in got])
             cols = [b[c] for c in b.schema.names if c != "tail"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(hashes, pa.list_(pa.int64()))], names=[*(c for c in b.schema.names if c != "tail"), "hashes"])
@@ -264,11 +264,11 @@ def _answer(classes: Classes, bits: np.ndarray):
             final = at_end | (kind[np.minimum(nxt, n - 1)] == 2)
             line = np.fromiter((t == "\n" for t in flat), bool, n)
             kept = np.flatnonzero(~line)
-            codes = np.array([classes.of(flat[i]) for i in kept.tolist()], np.uint64).reshape(-1, 3)
+            codes = np.array([classes.of(flat[i]) for i in kept.tolist()], np.uint64).reshape(-1, len(LEVELS) + 1)
             before = np.cumsum(~line) - (~line)
             start = before[doc_start[kept]]
             hs, fs, es = [], [], []
-            for pos, h in contexts(codes[:, 0], codes[:, 1], codes[:, 2], start):
+            for pos, h in contexts(codes, start):
                 slot = (h ^ (h >> np.uint64(31))) & mask
                 asked = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
                 src = kept[pos[asked]]
@@ -301,11 +301,11 @@ def cut_texts(df: DataFrame, id_column: str, text: str, source: str) -> DataFram
     long as a field limit of their source, and texts whose last words end sentences, lines or
     texts elsewhere in the corpus in less than a twentieth of the cases. Field limits are lengths with
     unusually many open ends, a quarter of them within a word; there, a text is whole only if its last
-    words end texts elsewhere, its last word too.
+    words end texts elsewhere, its last word too, and that is more than a letter.
 
     The vocabulary, the frequent words and the contexts come from all texts. Two passes over the
     texts count in the map tasks; only counts and last words are shuffled. The driver holds the frequent
-    words (a word in FINE of the documents is one of a few thousand) and a filter of MAX_BITS at most.
+    words (a few thousand, since each makes up a fixed share of the corpus) and a filter of MAX_BITS at most.
     Null and blank texts are no cases, nor are rows with a null id. A null source is a source of its own.
     """
     pick = lambda c: F.col(f"`{c}`")
@@ -315,8 +315,8 @@ def cut_texts(df: DataFrame, id_column: str, text: str, source: str) -> DataFram
     per_source = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("documents"))
     n = max(1, docs.count())
     words = write_table(read.where("kind = 'w'").groupBy("word").agg(F.sum("n").alias("n")))
-    frequent = words.where(F.col("n") >= max(4, FINE * n)).collect()
-    classes = Classes([r["word"] for r in frequent], [r["word"] for r in frequent if r["n"] >= max(8, COARSE * n)])
+    frequent = words.where(F.col("n") >= max(4, LEVELS[0] * n)).collect()
+    classes = Classes([[r["word"] for r in frequent if r["n"] >= share * n] for share in LEVELS])
 
     ends = read.where("kind = 'd'").select("id", "source", "chars", "bytes", "state", F.try_element_at("tail", F.lit(-1)).alias("last"), "tail")
     ends = ends.mapInArrow(_ask(classes), T.StructType([*[f for f in ends.schema.fields if f.name != "tail"], T.StructField("hashes", T.ArrayType(T.LongType()))]))
@@ -328,7 +328,7 @@ def cut_texts(df: DataFrame, id_column: str, text: str, source: str) -> DataFram
     ends = mark_members(ends.withColumn("key_c", _limit_key(F.col("source"), F.lit("chars"), F.col("chars"))), "key_c", limits, "at_chars")
     ends = mark_members(ends.withColumn("key_b", _limit_key(F.col("source"), F.lit("bytes"), F.col("bytes"))), "key_b", limits, "at_bytes")
     strong = F.col("state").isin("broken", "traced") | F.col("fragment") | ((F.col("state") == "open") & (F.col("at_chars") | F.col("at_bytes")))
-    flat = ends.select("id", "state", "fragment", (F.col("at_chars") | F.col("at_bytes")).alias("at_limit"), strong.alias("strong"), F.posexplode("hashes").alias("o", "h")).where("h is not null")
+    flat = ends.select("id", "state", "last", "fragment", (F.col("at_chars") | F.col("at_bytes")).alias("at_limit"), strong.alias("strong"), F.posexplode("hashes").alias("o", "h")).where("h is not null")
     flat = write_table(flat)
 
     bits = spark.sparkContext.broadcast(_filter_bits(flat.select("h")))
@@ -344,14 +344,15 @@ def cut_texts(df: DataFrame, id_column: str, text: str, source: str) -> DataFram
     total, final, at_end = F.col("n") - less - doubtful, F.col("final") - less - doubtful, F.col("at_end") - less
     rated = seen.withColumns({"total": total, "ending": final, "closing": at_end})
     usable = (F.col("o") < len(ORDERS)) & (F.col("total") >= SEEN)
-    rated = rated.groupBy("id", "state", "fragment", "at_limit").agg(
-        F.min_by(F.struct(F.col("total"), (F.col("ending") / F.when(F.col("total") > 0, F.col("total"))).alias("ends"), (F.col("closing") / F.when(F.col("total") > 0, F.col("total"))).alias("closes")), F.when(usable, F.col("o"))).alias("c"),
+    rated = rated.groupBy("id", "state", "last", "fragment", "at_limit").agg(
+        F.min_by(F.struct("o", "total", (F.col("ending") / F.when(F.col("total") > 0, F.col("total"))).alias("ends"), (F.col("closing") / F.when(F.col("total") > 0, F.col("total"))).alias("closes")), F.when(usable, F.col("o"))).alias("c"),
         F.max(F.when(F.col("o") == len(ORDERS), F.col("ending"))).alias("word_ends"),
     )
     ends_, closes = F.coalesce("c.ends", F.lit(0.0)), F.coalesce("c.closes", F.lit(0.0))
-    whole_at_limit = (closes >= 0.5) & (F.coalesce("word_ends", F.lit(0)) >= 2)
+    letter = F.col("last").rlike(r"^\p{L}$")
+    whole_at_limit = ~letter & (closes >= 0.5) & (F.coalesce("word_ends", F.lit(0)) >= 2)
     verdict = (
-        F.when(F.col("state") == "doubtful", F.col("at_limit") & (ends_ < 0.02) & (F.coalesce("c.total", F.lit(0)) >= 20))
+        F.when(F.col("state") == "doubtful", F.col("at_limit") & (ends_ < 0.02) & (F.coalesce("c.total", F.lit(0)) >= 20) & (F.col("c.o") == 0))
         .when(F.col("fragment"), True)
         .when(F.col("at_limit"), ~whole_at_limit)
         .otherwise(ends_ < ENDS)
