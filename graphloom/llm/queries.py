@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import components, encoding, formatting_duplicates, mixing, survivorship, truncation
+from graphloom.llm import components, encoding, formatting_duplicates, linkage, mixing, survivorship, truncation
 
 STATEMENT = ["subject", "predicate", "object"]
 #: Where the public tokenizers' files are.
@@ -50,6 +50,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found.member.alias("member_id"), found.group.alias("group_id"))
 
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [_table(spark, sf_dir, f"{name}_sample") for name in ("hgnc", "ensembl", "uniprot", "chembl")]
+    return linkage.link(linkage.gene_records(*tables))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_links(spark, sf_dir).select("key_a", "key_b")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(_table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY).withColumnRenamed("id", "doc_id")
 
@@ -82,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_survivors": p2_survivors,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_links": p5_links,
     "p6_ids": p6_ids,
     "p7_shares": p7_shares,
     "p7_documents": p7_documents,
