@@ -45,8 +45,8 @@ def name_parts(name: Column) -> Column:
 
 
 def symbol(c: Column) -> Column:
-    """A gene symbol's letters and digits in upper case, null where there are none."""
-    return F.nullif(F.regexp_replace(F.upper(c), r"[^\p{L}\p{N}]+", ""), F.lit(""))
+    """A gene symbol's letters and digits in upper case, without a version behind a full stop, null where there are none."""
+    return F.nullif(F.regexp_replace(F.upper(c), r"\.\d+\s*$|[^\p{L}\p{N}]+", ""), F.lit(""))
 
 
 def short_form(s: Column) -> Column:
@@ -76,36 +76,38 @@ def unambiguous(records: DataFrame) -> DataFrame:
 
 
 def _keys(p: str = "") -> Column:
-    """Blocking keys of several passes: symbols and aliases, entry names, names, and names with one letter left out."""
-    own, aliases, entry, stem, member = (F.col(p + c) for c in ("own", "aliases", "entry", "stem", "member"))
+    """Blocking keys of several passes: symbols and aliases, entry names, names with any one letter left out, and either end of a name."""
+    own, aliases, entry, stem, member, role = (F.col(p + c) for c in ("own", "aliases", "entry", "stem", "member", "role"))
     tokens = F.filter(F.concat(F.array(own), aliases), lambda t: t.isNotNull())
     tag = lambda kind, c: F.concat(F.lit(kind), c)
     by_symbol = F.transform(tokens, lambda t: tag("S:", t))
     by_entry = F.filter(F.concat(F.transform(tokens, lambda t: tag("M:", t)), F.transform(tokens, lambda t: tag("M:", short_form(t))), F.array(tag("M:", entry))), lambda t: t.isNotNull())
     left_out = F.when(stem.isNotNull() & member.isNotNull(), F.transform(F.sequence(F.lit(0), F.length(stem)), lambda i: F.concat(F.lit("N:"), member.cast("string"), F.lit(":"), F.when(i == 0, stem).otherwise(F.concat(stem.substr(F.lit(1), i - 1), stem.substr(i + 1, F.length(stem)))))))
-    return F.array_distinct(F.concat(by_symbol, by_entry, F.coalesce(left_out, F.array().cast("array<string>"))))
+    part = F.concat(member.cast("string"), F.lit(":"), role, F.lit(":"))
+    ends = F.filter(F.array(F.concat(F.lit("P:"), part, F.substring(stem, 1, 4)), F.concat(F.lit("Q:"), part, F.substring(stem, -8, 8))), lambda t: t.isNotNull())
+    return F.array_distinct(F.concat(by_symbol, by_entry, F.coalesce(left_out, F.array().cast("array<string>")), ends))
 
 
 #: Levels of agreement by attribute; level 0, a value missing, says nothing.
-LEVELS = {"symbol": 4, "stem": 4, "role": 3, "member": 3}
+LEVELS = {"symbol": 5, "stem": 5, "role": 3, "member": 3}
 
 
 def agreement() -> list[Column]:
     """How far the records a and b of a pair agree: 0 missing, 1 not at all, then better up to the best level."""
     a = lambda c: F.col(f"a.{c}")
     b = lambda c: F.col(f"b.{c}")
-    own = lambda x: F.filter(F.array(x("own"), short_form(x("own")), x("entry")), lambda t: t.isNotNull())
-    also = lambda x: F.concat(x("aliases"), F.filter(F.transform(x("aliases"), short_form), lambda t: t.isNotNull()))
-    strong = F.arrays_overlap(own(a), own(b)) & ((a("own") == b("own")) | a("entry").isNotNull() | b("entry").isNotNull())
-    weak = F.arrays_overlap(F.concat(own(a), also(a)), F.concat(own(b), also(b))) & (F.arrays_overlap(also(a), own(b)) | F.arrays_overlap(also(b), own(a)) | F.arrays_overlap(also(a), also(b)))
-    missing = (F.size(own(a)) == 0) | (F.size(own(b)) == 0)
-    sym = F.when(missing, 0).when(strong, 3).when(weak, 2).otherwise(1)
+    full = lambda x: F.coalesce(x("own"), x("entry"))
+    short = lambda x: F.coalesce(x("entry"), short_form(x("own")))
+    also = lambda x, y: F.concat(x("aliases"), F.when(y("entry").isNotNull(), F.transform(x("aliases"), short_form)).otherwise(F.array().cast("array<string>")))
+    by_entry = (a("entry").isNotNull() | b("entry").isNotNull()) & (short(a) == short(b))
+    by_alias = F.array_contains(also(a, b), full(b)) | F.array_contains(also(b, a), full(a)) | F.arrays_overlap(also(a, a), also(b, b))
+    sym = F.when(full(a).isNull() | full(b).isNull(), 0).when(full(a) == full(b), 4).when(by_entry, 3).when(by_alias, 2).otherwise(1)
     letters = lambda x: F.array_sort(F.split(x("stem"), ""))
     distance = F.levenshtein(a("stem"), b("stem"))
     near = (distance <= 1) | ((distance == 2) & (F.length(a("stem")) == F.length(b("stem"))) & (letters(a) == letters(b)))
-    stem = F.when(a("stem").isNull() | b("stem").isNull(), 0).when(a("stem") == b("stem"), 3).when(near, 2).otherwise(1)
+    stem = F.when(a("stem").isNull() | b("stem").isNull(), 0).when(a("stem") == b("stem"), 4).when(near, 3).when((distance <= 4) & (distance * 3 <= F.length(a("stem"))), 2).otherwise(1)
     same = lambda c: F.when(a(c).isNull() | b(c).isNull(), 0).when(a(c) == b(c), 2).otherwise(1)
-    return [F.coalesce(sym, F.lit(1)).alias("symbol"), stem.alias("stem"), same("role").alias("role"), same("member").alias("member")]
+    return [sym.alias("symbol"), stem.alias("stem"), same("role").alias("role"), same("member").alias("member")]
 
 
 def estimate(counts: dict[tuple[int, ...], int], rounds: int = 200) -> dict[tuple[int, ...], float]:
@@ -147,10 +149,12 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     records are as record() makes them. Equal ones are one profile, whatever the number of copies;
     profiles meet in several passes of blocking by symbol, alias, entry name and name, the last with
-    any one letter left out, so that a letter too many, too few, exchanged or swapped with its neighbour
-    doesn't matter. The patterns of agreement of all pairs are counted, expectation-maximisation gives
-    each pattern its probability of being a match, and this is the confidence. What a record of a third
-    table links is linked too, with the product of the confidences, unless the two contradict each other.
+    any one letter left out and by either end, so that a letter too many, too few, exchanged or
+    swapped with its neighbour doesn't matter. The patterns of agreement of all pairs are counted, expectation-maximisation gives
+    each pattern its probability of being a match, and this is the confidence. Names of other families or
+    other members exclude a match, whatever else agrees. What a record of a third
+    table links is linked too, with the product of the confidences, unless the two contradict each other; where they do, a link
+    without a common name is dropped if the other has one.
     Records with a null key or species are in no pair; a pair of keys is given once, with key_a < key_b.
     """
     spark = records.sparkSession
@@ -166,16 +170,25 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     counts = {tuple(r[k] for k in LEVELS): r["count"] for r in compared.groupBy(*LEVELS).count().collect()}
     found = estimate(counts)
     rated = spark.createDataFrame([(*k, p) for k, p in found.items()] or [(0, 0, 0, 0, 0.0)], ", ".join(f"{k} int" for k in LEVELS) + ", confidence double")
-    links = write_table(compared.join(F.broadcast(rated), list(LEVELS)).where(F.col("confidence") >= threshold).select("pa", "pb", "sa", "sb", "confidence"))
+    links = write_table(compared.join(F.broadcast(rated), list(LEVELS)).where(F.col("confidence") >= threshold).where("stem <> 1 and member <> 1").select("pa", "pb", "sa", "sb", "confidence", "symbol", "stem"))
     drop_table(compared)
 
-    both = links.select(F.col("pa").alias("mid"), F.col("pb").alias("end"), F.col("sb").alias("src"), "confidence").union(links.select(F.col("pb").alias("mid"), F.col("pa").alias("end"), F.col("sa").alias("src"), "confidence"))
-    two = both.alias("x").join(both.alias("y"), (F.col("x.mid") == F.col("y.mid")) & (F.col("x.src") < F.col("y.src")))
-    two = two.groupBy(F.col("x.end").alias("pa"), F.col("y.end").alias("pb")).agg(F.max(F.col("x.confidence") * F.col("y.confidence")).alias("confidence"))
-    two = two.join(links.select("pa", "pb"), ["pa", "pb"], "left_anti")
+    by_name, hop = F.col("stem") > 1, F.struct("pa", "pb", "symbol").alias("hop")
+    there = links.select(F.col("pa").alias("mid"), F.col("pb").alias("end"), F.col("sb").alias("src"), "confidence", by_name.alias("by_name"), hop)
+    back = links.select(F.col("pb").alias("mid"), F.col("pa").alias("end"), F.col("sa").alias("src"), "confidence", by_name.alias("by_name"), hop)
+    hops = there.union(back)
+    two = hops.alias("x").join(hops.alias("y"), (F.col("x.mid") == F.col("y.mid")) & (F.col("x.src") < F.col("y.src")))
+    two = two.select(F.col("x.end").alias("pa"), F.col("y.end").alias("pb"), (F.col("x.confidence") * F.col("y.confidence")).alias("confidence"), F.col("x.by_name").alias("nx"), F.col("y.by_name").alias("ny"), F.col("x.hop").alias("hx"), F.col("y.hop").alias("hy"))
     side = lambda name: profiles.select(F.col("profile").alias(f"p{name}"), F.struct("profile", *attributes).alias(name))
-    checked = two.join(side("a"), "pa").join(side("b"), "pb").select("pa", "pb", "confidence", *agreement()).where("stem <> 1 and role <> 1 and member <> 1")
-    all_links = links.select("pa", "pb", "confidence").union(checked.select("pa", "pb", "confidence"))
+    triangles = write_table(two.join(side("a"), "pa").join(side("b"), "pb").select("pa", "pb", "confidence", "nx", "ny", "hx", "hy", *agreement()))
+    # ends with other symbols and no common name contradict each other: a link by entry name alone then yields to one by name
+    against = triangles.where("symbol = 1 and stem = 0 and nx <> ny").select(F.when(F.col("nx"), F.col("hy")).otherwise(F.col("hx")).alias("hop"))
+    wrong = write_table(against.where("hop.symbol = 3").select("hop.pa", "hop.pb", "hop.symbol").distinct())
+    links = links.join(wrong.select("pa", "pb"), ["pa", "pb"], "left_anti")
+    agreed = triangles.where("stem <> 1 and role <> 1 and member <> 1")
+    for h in ("hx", "hy"):
+        agreed = agreed.join(wrong.select(F.struct("pa", "pb", "symbol").alias(h)), h, "left_anti")
+    all_links = links.select("pa", "pb", "confidence").union(agreed.select("pa", "pb", "confidence"))
     members = flat.select("profile", "key")
     keyed = all_links.join(members.select(F.col("profile").alias("pa"), F.col("key").alias("ka")), "pa").join(members.select(F.col("profile").alias("pb"), F.col("key").alias("kb")), "pb")
     return keyed.groupBy(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).agg(F.max("confidence").alias("confidence"))
