@@ -1,8 +1,8 @@
 """All queries of the core."""
 
-from graphloom.plans import reference_checks
+from graphloom.plans import reference_checks, text_queries
 
-_MODULES = (reference_checks,)
+_MODULES = (reference_checks, text_queries)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
