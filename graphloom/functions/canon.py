@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body uses it; else the generated code outgrows its limit."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def is_blank(c: Column) -> Column:
     """True where c is empty or only white space; null where c is null."""
     return c.rlike(rf"^{SPACE}*$")

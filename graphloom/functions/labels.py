@@ -7,12 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphloom.functions.canon import strip
+from graphloom.functions.canon import let, strip
 
 
 def _bare_iri(c: Column) -> Column:
-    s = strip(c)
-    return F.when(s.startswith("<") & s.endswith(">") & (F.length(s) >= 2), strip(s.substr(F.lit(2), F.length(s) - 2))).otherwise(s)
+    return strip(F.regexp_replace(strip(c), r"(?s)^<(.*)>$", "$1"))
 
 
 def _is_scheme(s: Column) -> Column:
@@ -28,8 +27,8 @@ def local_name(c: Column) -> Column:
 
     A URN or web address without '#' and '/' stays whole. Null gives null.
     """
-    s = _bare_iri(c)
-    return strip(F.when(s.contains("#"), F.substring_index(s, "#", -1)).when(s.contains("/"), F.substring_index(s, "/", -1)).otherwise(_after_first_colon(s)))
+    last = lambda s: F.when(s.contains("#"), F.substring_index(s, "#", -1)).when(s.contains("/"), F.substring_index(s, "/", -1)).otherwise(_after_first_colon(s))
+    return strip(let(_bare_iri(c), last))
 
 
 def label(c: Column, suffixes: tuple[str, ...] = ()) -> Column:
@@ -38,16 +37,23 @@ def label(c: Column, suffixes: tuple[str, ...] = ()) -> Column:
     The first of suffixes that ends the cleaned label behind a space is cut. If the label as written ends
     in '_' and a suffix, that is cut instead, from the label as written.
     """
-    s = _bare_iri(c)
-    s = F.when(s.contains("#"), F.substring_index(s, "#", -1)).when(s.contains("/"), F.substring_index(s, "/", -1)).otherwise(s)
-    s = _after_first_colon(s)
     clean = lambda x: F.regexp_replace(F.lower(x), r"(?U)[^\w\s]", "")
-    cleaned = strip(F.regexp_replace(clean(s), r"(?U)\s+", " "))
+    part = let(_bare_iri(c), lambda s: F.when(s.contains("#"), F.substring_index(s, "#", -1)).when(s.contains("/"), F.substring_index(s, "/", -1)).otherwise(s))
+    part = let(part, _after_first_colon)
     if not suffixes:
-        return cleaned
-    cut = reduce(lambda done, suf: done.when(cleaned.endswith(f" {suf.lower()}"), strip(cleaned.substr(F.lit(1), F.length(cleaned) - len(suf) - 1))), suffixes, F.when(F.lit(False), cleaned)).otherwise(cleaned)
-    shortened = F.regexp_replace(s, rf"(?i)_({'|'.join(suffixes)})$", "")
-    return F.when(shortened != s, strip(clean(shortened))).otherwise(cut)
+        return strip(F.regexp_replace(clean(part), r"(?U)\s+", " "))
+
+    def without_suffix(s: Column) -> Column:
+        out = F.when(F.lit(False), s)
+        for suf in suffixes:
+            out = out.when(s.endswith(f" {suf.lower()}"), strip(s.substr(F.lit(1), F.length(s) - len(suf) - 1)))
+        return out.otherwise(s)
+
+    def cut(s: Column) -> Column:
+        ending = rf"(?i)_({'|'.join(suffixes)})$"
+        return F.when(s.rlike(ending), strip(clean(F.regexp_replace(s, ending, "")))).otherwise(let(strip(F.regexp_replace(clean(s), r"(?U)\s+", " ")), without_suffix))
+
+    return let(part, cut)
 
 
 def tokens(c: Column, pattern: str = r"(?U)\w+") -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphloom.functions.canon import strip
+from graphloom.functions.canon import let, strip
 from graphloom.functions.labels import local_name
 
 #: Predicates whose objects are literals, also as endings of longer names.
@@ -18,13 +18,16 @@ DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "MM/dd/yyyy", "yyyy-MM
 
 def is_literal(predicate: Column, value: Column, predicates: tuple[str, ...] = LITERAL_PREDICATES) -> Column:
     """Whether a triple's object is a literal rather than an entity, from the predicate's name and the value's form."""
-    p, s = F.lower(local_name(predicate)), strip(value)
-    named = p.endswith("id") | p.endswith("code") | p.isin("uuid", "key", "value") | reduce(lambda a, b: a | b, (p.endswith(x) for x in predicates))
-    quoted = (s.startswith('"') & s.endswith('"')) | (s.startswith("'") & s.endswith("'"))
-    number = s.rlike(r"^-?\d+(\.\d+)?$")
-    word = F.lower(s).isin("true", "false", "yes", "no")
-    date = s.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}(T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:?\d{2})?)?$")
-    return named | s.contains("^^") | quoted | number | word | date
+
+    def by_name(p: Column) -> Column:
+        return p.endswith("id") | p.endswith("code") | p.isin("uuid", "key", "value") | reduce(lambda a, b: a | b, (p.endswith(x) for x in predicates))
+
+    def by_form(s: Column) -> Column:
+        quoted = (s.startswith('"') & s.endswith('"')) | (s.startswith("'") & s.endswith("'"))
+        date = s.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}(T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:?\d{2})?)?$")
+        return s.contains("^^") | quoted | s.rlike(r"^-?\d+(\.\d+)?$") | F.lower(s).isin("true", "false", "yes", "no") | date
+
+    return let(F.lower(local_name(predicate)), by_name) | let(strip(value), by_form)
 
 
 def literal(value: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
@@ -32,20 +35,21 @@ def literal(value: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
 
     yes and no stay strings. A number keeps its digits but for leading zeros of integers.
     """
-    s = strip(value)
-    s = F.when(s.contains("^^"), strip(F.split_part(s, F.lit("^^"), F.lit(1)))).otherwise(s)
-    quoted = ((s.startswith('"') & s.endswith('"')) | (s.startswith("'") & s.endswith("'"))) & (F.length(s) >= 2)
-    s = F.when(quoted, strip(s.substr(F.lit(2), F.length(s) - 2))).otherwise(s)
-    low = F.lower(s)
-    day = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
-    made = lambda kind, lex: F.struct(F.lit(kind).alias("type"), lex.alias("lex"))
-    return (
-        F.when(low.isin("true", "false"), made("boolean", low))
-        .when(s.rlike(r"^-?\d{1,18}$"), made("integer", s.try_cast("long").cast("string")))
-        .when(s.rlike(r"^-?\d+\.\d+$"), made("float", s))
-        .when(day.isNotNull(), made("string", F.date_format(day, "yyyy-MM-dd")))
-        .otherwise(made("string", s))
-    )
+    s = let(strip(value), lambda x: F.when(x.contains("^^"), strip(F.split_part(x, F.lit("^^"), F.lit(1)))).otherwise(x))
+    s = let(s, lambda x: F.when(x.rlike(r"""(?s)^(".*"|'.*')$""") & (F.length(x) >= 2), strip(x.substr(F.lit(2), F.length(x) - 2))).otherwise(x))
+
+    def typed(x: Column) -> Column:
+        made = lambda kind, lex: F.struct(F.lit(kind).alias("type"), lex.alias("lex"))
+        day = F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in formats])
+        date = let(day, lambda t: F.when(t.isNotNull(), F.date_format(t, "yyyy-MM-dd")).otherwise(x))
+        return (
+            F.when(F.lower(x).isin("true", "false"), made("boolean", F.lower(x)))
+            .when(x.rlike(r"^-?\d{1,18}$"), made("integer", x.try_cast("long").cast("string")))
+            .when(x.rlike(r"^-?\d+\.\d+$"), made("float", x))
+            .otherwise(made("string", date))
+        )
+
+    return let(s, typed)
 
 
 def literal_key(kind: Column, lex: Column) -> Column:

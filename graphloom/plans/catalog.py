@@ -1,8 +1,10 @@
 """All queries of the core."""
 
-from graphloom.plans import reference_checks, text_queries
+from graphloom.plans import fusion_queries, reference_checks, text_queries
 
-_MODULES = (reference_checks, text_queries)
+_MODULES = (reference_checks, text_queries, fusion_queries)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+
+flagship = fusion_queries.flagship
