@@ -1,8 +1,8 @@
 """All queries of the core."""
 
-from graphloom.plans import fusion_queries, reference_checks, text_queries
+from graphloom.plans import fusion_queries, reference_checks, release_queries, text_queries
 
-_MODULES = (reference_checks, text_queries, fusion_queries)
+_MODULES = (reference_checks, text_queries, fusion_queries, release_queries)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
