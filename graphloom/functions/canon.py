@@ -27,7 +27,7 @@ def bare(c: Column) -> Column:
     White space, punctuation, symbols and control or format characters go. The case is folded
     upwards and then downwards, so that characters with several lower forms agree.
     """
-    return F.regexp_replace(F.lower(F.upper(c)), r"[\p{P}\p{S}\p{Z}\p{C}]+", "")
+    return F.lower(F.regexp_replace(F.upper(c), r"[\p{P}\p{S}\p{Z}\p{C}]+", ""))  # lower(upper()) would be simplified to lower()
 
 
 def strip(c: Column) -> Column:
