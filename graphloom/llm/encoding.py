@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Characters that are encoded at once, a longer text alone.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 #: Distinct words, and their bytes, that a task keeps encoded.
 KEPT_WORDS, KEPT_BYTES = 400_000, 16_000_000
 
@@ -186,7 +186,7 @@ class Encoder:
         return self.ids[at], total[ends] - total[ends - per_text]
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch of about CHUNK_CHARS characters; null texts as empty ones."""
     texts = [t or "" for t in batch["text"].to_pylist()]
     begin = held = 0
@@ -210,7 +210,7 @@ def encode(df: DataFrame, id_column: str, text: str, vocabulary: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Merges.of(merges.value))
         for batch in batches:
-            for part, texts in _chunks(batch):
+            for part, texts in chunks(batch):
                 ids, count = encoder.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["id", "ids"])
@@ -226,7 +226,7 @@ def count(df: DataFrame, keep: list[str], text: str, vocabulary: str, name: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Merges.of(merges.value))
         for batch in batches:
-            for part, texts in _chunks(batch):
+            for part, texts in chunks(batch):
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in range(len(keep))), pa.array(encoder.sizes(texts))], names=[*keep, name])
 
     chosen = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("text"))

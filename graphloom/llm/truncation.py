@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from graphloom.llm.encoding import chunks
 from graphloom.operators.skew import mark_members, salted_join
 from graphloom.scratch import drop_table, write_table
 
@@ -245,8 +246,8 @@ def _answer(classes: Classes, bits: np.ndarray):
     mask = np.uint64(len(bits) * 64 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [_TOKEN.findall(_core(t)[0]) for t in b["text"].to_pylist()]
+        for _, texts in (part for b in batches for part in chunks(b)):
+            lists = [_TOKEN.findall(_core(t)[0]) for t in texts]
             flat = [t for x in lists for t in x]
             if not flat:
                 continue
@@ -319,7 +320,7 @@ def cut_texts(df: DataFrame, id_column: str, text: str, source: str) -> DataFram
     classes = Classes([[r["word"] for r in frequent if r["n"] >= share * n] for share in LEVELS])
 
     ends = read.where("kind = 'd'").select("id", "source", "chars", "bytes", "state", F.try_element_at("tail", F.lit(-1)).alias("last"), "tail")
-    ends = ends.mapInArrow(_ask(classes), T.StructType([*[f for f in ends.schema.fields if f.name != "tail"], T.StructField("hashes", T.ArrayType(T.LongType()))]))
+    ends = write_table(ends.mapInArrow(_ask(classes), T.StructType([*[f for f in ends.schema.fields if f.name != "tail"], T.StructField("hashes", T.ArrayType(T.LongType()))])))
     is_word = F.col("last").rlike(r"^[\p{L}][\p{L}'’\-]*$") & F.col("state").isin("open", "traced")
     broken = write_table(fragments(ends.where(is_word).select(F.col("last").alias("word")), words, max(2, int(0.0002 * n))))
     ends = mark_members(ends.withColumn("asked_word", F.when(is_word, F.col("last"))), "asked_word", broken, "fragment").drop("asked_word")
