@@ -65,12 +65,13 @@ def record(key: Column, src: str, species: Column, own: Column | None, aliases:
 
 
 def unambiguous(records: DataFrame) -> DataFrame:
-    """records without the aliases that are another record's own symbol or several records' alias."""
-    own = records.where("own is not null").select("species", F.col("own").alias("token")).distinct()
-    tokens = records.select("species", "key", F.explode("aliases").alias("token")).distinct()
-    shared = tokens.groupBy("species", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("species", "token")
+    """records without the aliases that are another record's own symbol in the same table or several records' alias."""
+    place = ["src", "species", "token"]
+    own = records.where("own is not null").select("src", "species", F.col("own").alias("token")).distinct()
+    tokens = records.select("src", "species", "key", F.explode("aliases").alias("token")).distinct()
+    shared = tokens.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*place)
     bad = own.union(shared).distinct()
-    kept = tokens.join(bad, ["species", "token"], "left_anti").groupBy("species", "key").agg(F.sort_array(F.collect_set("token")).alias("kept"))
+    kept = tokens.join(bad, place, "left_anti").groupBy("species", "key").agg(F.sort_array(F.collect_set("token")).alias("kept"))
     out = records.join(kept, ["species", "key"], "left")
     return out.withColumn("aliases", F.coalesce(F.array_intersect("aliases", "kept"), F.array().cast("array<string>"))).select(*records.columns)
 
@@ -114,17 +115,20 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 200) -> dict[tupl
     """The probability of a match for each pattern of agreement, by expectation-maximisation over the patterns' counts.
 
     Attributes are taken as independent among matches and among others; a missing value counts
-    for neither. The start is that matches mostly agree at the best level and others mostly don't. Each
-    level keeps a small weight, so that none becomes impossible by being absent from few pairs.
+    for neither. The start is that matches agree, better levels more often, and that others don't. It
+    keeps the weight of a few pairs, so that levels which few pairs have stay what they are.
     """
     if not counts:
         return {}
     patterns = np.array(list(counts), np.int64)
     weight = np.array(list(counts.values()), float)
     sizes = list(LEVELS.values())
-    m = [np.array([0.0, *np.geomspace(0.02, 1, k - 1)]) for k in sizes]
-    u = [np.array([0.0, *np.geomspace(1, 0.02, k - 1)]) for k in sizes]
-    m, u, prior = [x / x.sum() for x in m], [x / x.sum() for x in u], 0.5
+    m0 = [np.array([0.02, *np.arange(1.0, k - 1)]) for k in sizes]
+    u0 = [np.array([0.94, *np.full(k - 2, 0.06 / (k - 2))]) for k in sizes]
+    m0 = [x / x.sum() for x in m0]
+    m, u = ([np.array([1.0, *x]) for x in start] for start in (m0, u0))
+    prior = 0.5
+    few = 3 + 0.002 * weight.sum()
 
     def posterior() -> np.ndarray:
         log = np.full(len(patterns), np.log(prior) - np.log1p(-prior))
@@ -137,9 +141,8 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 200) -> dict[tupl
         p = posterior()
         prior = min(1 - 1e-6, max(1e-6, float((p * weight).sum() / weight.sum())))
         for k, size in enumerate(sizes):
-            for probs, share in ((m, p * weight), (u, (1 - p) * weight)):
-                level = np.bincount(patterns[:, k], share, size)[1:]
-                level = level + 1e-3 * max(1.0, level.sum()) / size
+            for probs, start, share in ((m, m0, p * weight), (u, u0, (1 - p) * weight)):
+                level = np.bincount(patterns[:, k], share, size)[1:] + few * start[k]
                 probs[k] = np.array([1.0, *(level / level.sum())])
     return dict(zip(counts, posterior().tolist()))
 
@@ -152,7 +155,7 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     any one letter left out and by either end, so that a letter too many, too few, exchanged or
     swapped with its neighbour doesn't matter. The patterns of agreement of all pairs are counted, expectation-maximisation gives
     each pattern its probability of being a match, and this is the confidence. Names of other families or
-    other members exclude a match, whatever else agrees. What a record of a third
+    other members exclude a match, whatever else agrees; so does agreement in neither symbol nor name. What a record of a third
     table links is linked too, with the product of the confidences, unless the two contradict each other; where they do, a link
     without a common name is dropped if the other has one.
     Records with a null key or species are in no pair; a pair of keys is given once, with key_a < key_b.
@@ -170,7 +173,7 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     counts = {tuple(r[k] for k in LEVELS): r["count"] for r in compared.groupBy(*LEVELS).count().collect()}
     found = estimate(counts)
     rated = spark.createDataFrame([(*k, p) for k, p in found.items()] or [(0, 0, 0, 0, 0.0)], ", ".join(f"{k} int" for k in LEVELS) + ", confidence double")
-    links = write_table(compared.join(F.broadcast(rated), list(LEVELS)).where(F.col("confidence") >= threshold).where("stem <> 1 and member <> 1").select("pa", "pb", "sa", "sb", "confidence", "symbol", "stem"))
+    links = write_table(compared.join(F.broadcast(rated), list(LEVELS)).where(F.col("confidence") >= threshold).where("stem <> 1 and member <> 1 and (symbol > 1 or stem > 1)").select("pa", "pb", "sa", "sb", "confidence", "symbol", "stem"))
     drop_table(compared)
 
     by_name, hop = F.col("stem") > 1, F.struct("pa", "pb", "symbol").alias("hop")
@@ -186,6 +189,8 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     wrong = write_table(against.where("hop.symbol = 3").select("hop.pa", "hop.pb", "hop.symbol").distinct())
     links = links.join(wrong.select("pa", "pb"), ["pa", "pb"], "left_anti")
     agreed = triangles.where("stem <> 1 and role <> 1 and member <> 1")
+    doubtful = "symbol = 1 and stem = 0 and ((hx.symbol = 3 and not nx) or (hy.symbol = 3 and not ny))"
+    agreed = agreed.where(f"not ({doubtful})")
     for h in ("hx", "hy"):
         agreed = agreed.join(wrong.select(F.struct("pa", "pb", "symbol").alias(h)), h, "left_anti")
     all_links = links.select("pa", "pb", "confidence").union(agreed.select("pa", "pb", "confidence"))
