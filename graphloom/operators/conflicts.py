@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,35 +62,58 @@ def fold(facts: DataFrame, opposing: list[tuple[str, str]], functional: list[str
 
     A repeated statement, a contradiction or a collision is noted; with reject, repetitions and the losers of conflicts
     are dropped, an earlier loser in favour of the later winner, which joins the kept ones but is not compared with later ones. Higher
-    confidence wins, then the smaller seq. Only statements of one subject interact, so each subject is folded by itself;
-    a subject's distinct statements must fit a worker, repetitions being settled before that by aggregation.
+    confidence wins, then the smaller seq. Aggregation settles repetitions, and keeps what can't be in a conflict: statements
+    whose ends have no two opposing predicates and whose predicate isn't functional or has one object. The rest runs through the
+    tasks subject by subject, sorted, so a task holds one subject's disputed statements at a time.
     """
     rules = {(a.lower(), b.lower()) for a, b in opposing} | {(b.lower(), a.lower()) for a, b in opposing}
-    single = {f.lower() for f in functional}
+    single = sorted({f.lower() for f in functional})
     keyed = facts.withColumn("_p", F.lower(local_name(F.col("p"))))
     first = keyed.groupBy("s", "_p", "o").agg(F.min("seq").alias("seq"), F.min_by("confidence", "seq").alias("confidence"))
     repeats = keyed.join(first.select("s", "_p", "o", F.col("seq").alias("against")), ["s", "_p", "o"]).where("seq <> against")
     repeats = repeats.select("seq", F.lit(not reject).alias("kept"), F.lit("repetition").alias("reason"), "against")
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        by_so: dict[str, list] = {}
-        by_sp: dict[str, list] = {}
-        out: dict[int, list] = {}
-        for r in rows.sort_values("seq").itertuples():
-            other, reason = next((e for e in by_so.get(r.o, ()) if (e._2, r._2) in rules), None), "contradiction"
-            if other is None and r._2 in single:
-                other, reason = next((e for e in by_sp.get(r._2, ()) if e.o != r.o), None), "collision"
-            if other is None:
-                out[r.seq] = [True, None, None]
-            else:
-                c, e = (1.0 if pd.isna(x) else x for x in (r.confidence, other.confidence))
-                out[r.seq] = [not reject or c > e, reason, other.seq]
-                if reject:
-                    if c > e:
-                        out[other.seq][0] = False
-                    continue
-            by_so.setdefault(r.o, []).append(r)
-            by_sp.setdefault(r._2, []).append(r)
-        return pd.DataFrame([(k, *v) for k, v in out.items()], columns=["seq", "kept", "reason", "against"]).astype({"against": "Int64"})
-
-    return first.select("s", "_p", "o", "seq", "confidence").groupBy("s").applyInPandas(one, _FOLDED).union(repeats)
+    has = lambda p: F.bool_or(F.col("_p") == p)
+    both = F.lit(False)
+    for a, b in rules:
+        both = both | (has(a) & has(b))
+    ends = first.groupBy("s", "o").agg(both.alias("opposed")).where("opposed")
+    many = first.where(F.col("_p").isin(single)).groupBy("s", "_p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("collides", F.lit(True)).drop("n")
+    marked = first.join(ends, ["s", "o"], "left").join(many, ["s", "_p"], "left")
+    disputed = F.coalesce("opposed", F.lit(False)) | F.coalesce("collides", F.lit(False))
+    calm = marked.where(~disputed).select("seq", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("long").alias("against"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subject, by_so, by_sp, out = None, {}, {}, {}
+
+        def settled() -> pd.DataFrame:
+            rows = pd.DataFrame([(k, *v) for k, v in out.items()], columns=["seq", "kept", "reason", "against"])
+            return rows.astype({"seq": "int64", "kept": "bool", "against": "Int64"})
+
+        for rows in batches:
+            done = []
+            for s, p, o, seq, confidence in zip(rows["s"], rows["_p"], rows["o"], rows["seq"], rows["confidence"]):
+                if s != subject:
+                    done.append(settled())
+                    subject, by_so, by_sp, out = s, {}, {}, {}
+                now = (p, o, seq, 1.0 if pd.isna(confidence) else confidence)
+                other, reason = next((e for e in by_so.get(o, ()) if (e[0], p) in rules), None), "contradiction"
+                if other is None and p in single:
+                    other, reason = next((e for e in by_sp.get(p, ()) if e[1] != o), None), "collision"
+                if other is None:
+                    out[seq] = [True, None, None]
+                else:
+                    wins = now[3] > other[3]
+                    out[seq] = [not reject or wins, reason, other[2]]
+                    if reject:
+                        out[other[2]][0] &= not wins
+                        continue
+                by_so.setdefault(o, []).append(now)
+                by_sp.setdefault(p, []).append(now)
+            if any(len(x) for x in done):
+                yield pd.concat([x for x in done if len(x)])
+        if out:
+            yield settled()
+
+    rest = marked.where(disputed).select("s", "_p", "o", "seq", "confidence")
+    return rest.repartition("s").sortWithinPartitions("s", "seq").mapInPandas(run, _FOLDED).union(repeats).union(calm)
