@@ -221,4 +221,4 @@ class Readers:
 def verified(spark: SparkSession, path: str, sha256: str) -> DataFrame:
     """The file's content as one row, if it has this digest; else the read fails."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.withColumn("ok", F.assert_true(F.sha2("content", 256) == sha256, F.lit("the file isn't the one expected"))).drop("ok")
+    return files.where(F.when(F.sha2("content", 256) == sha256, True).otherwise(F.raise_error(F.lit("the file isn't the one expected"))))

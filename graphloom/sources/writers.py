@@ -26,10 +26,10 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 class Versions:
-    """Tables of one name, each version in a folder of its own; a pointer file names the current one.
+    """Tables of one name, each version in a folder of its own; the last of numbered pointer files names the current one.
 
-    A version is written whole before the pointer moves to it, so readers see the old or the new one. The
-    pointer keeps the versions before; rolling back twice comes back to where it began.
+    A version is written whole before a new pointer names it, so readers see the old or the new one. A
+    pointer lists the versions so far; rolling back twice comes back to where it began.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -38,19 +38,22 @@ class Versions:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[str]:
+        found = self._fs.globStatus(self._path(f"{self.root}/pointers/*.json"))
+        return sorted(f.getPath().getName() for f in found or [])
+
     def _read(self) -> list[str]:
-        at = self._path(f"{self.root}/_current.json")
-        if not self._fs.exists(at):
-            return []
-        return json.loads(self.spark.read.text(f"{self.root}/_current.json", wholetext=True).first()[0])
+        names = self._pointers()
+        return json.loads(self.spark.read.text(f"{self.root}/pointers/{names[-1]}", wholetext=True).first()[0]) if names else []
 
     def _point(self, versions: list[str]) -> None:
-        new, at = self._path(f"{self.root}/_current.{uuid.uuid4().hex}"), self._path(f"{self.root}/_current.json")
+        new = self._path(f"{self.root}/pointers/.{uuid.uuid4().hex}")
         out = self._fs.create(new)
         out.write(bytearray(json.dumps(versions).encode()))
         out.close()
-        self._fs.delete(at, False)
-        self._fs.rename(new, at)
+        number = int(self._pointers()[-1].split(".")[0]) + 1 if self._pointers() else 0
+        if not self._fs.rename(new, self._path(f"{self.root}/pointers/{number:09d}.json")):
+            raise OSError("another writer moved the pointer")
 
     def publish(self, df: DataFrame) -> str:
         name = uuid.uuid4().hex
