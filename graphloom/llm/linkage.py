@@ -163,12 +163,14 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     spark = records.sparkSession
     flat = unambiguous(records.where("key is not null and species is not null")).select("key", "src", "species", "own", F.sort_array("aliases").alias("aliases"), "entry", "n.stem", "n.role", "n.member")
     attributes = ["src", "species", "own", "aliases", "entry", "stem", "role", "member"]
-    flat = write_table(flat.withColumn("profile", F.md5(F.to_json(F.struct(*attributes)))).distinct())
+    flat = write_table(flat.withColumn("profile", F.unhex(F.md5(F.to_json(F.struct(*attributes))))).distinct())
     profiles = write_table(flat.select("profile", *attributes).dropDuplicates(["profile"]))
-    blocked = profiles.select(F.struct("profile", *attributes).alias("p"), F.explode(_keys()).alias("block"))
-    on = (F.col("x.block") == F.col("y.block")) & (F.col("x.p.species") == F.col("y.p.species")) & (F.col("x.p.src") < F.col("y.p.src"))
-    pairs = blocked.alias("x").join(blocked.alias("y"), on).select(F.col("x.p").alias("a"), F.col("y.p").alias("b"))
-    pairs = pairs.withColumn("pa", F.col("a.profile")).withColumn("pb", F.col("b.profile")).dropDuplicates(["pa", "pb"])
+    # equal hashes of different keys only make a pair to compare
+    blocked = profiles.select("profile", "src", F.explode(F.array_distinct(F.transform(_keys(), lambda k: F.xxhash64("species", k)))).alias("block"))
+    on = (F.col("x.block") == F.col("y.block")) & (F.col("x.src") < F.col("y.src"))
+    pairs = blocked.alias("x").join(blocked.alias("y"), on).select(F.col("x.profile").alias("pa"), F.col("y.profile").alias("pb")).distinct()
+    side = lambda name: profiles.select(F.col("profile").alias(f"p{name}"), F.struct("profile", *attributes).alias(name))
+    pairs = pairs.join(side("a"), "pa").join(side("b"), "pb").where("a.species = b.species")
     compared = write_table(pairs.select("pa", "pb", F.col("a.src").alias("sa"), F.col("b.src").alias("sb"), *agreement()))
     counts = {tuple(r[k] for k in LEVELS): r["count"] for r in compared.groupBy(*LEVELS).count().collect()}
     found = estimate(counts)
@@ -182,7 +184,6 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     hops = there.union(back)
     two = hops.alias("x").join(hops.alias("y"), (F.col("x.mid") == F.col("y.mid")) & (F.col("x.src") < F.col("y.src")))
     two = two.select(F.col("x.end").alias("pa"), F.col("y.end").alias("pb"), (F.col("x.confidence") * F.col("y.confidence")).alias("confidence"), F.col("x.by_name").alias("nx"), F.col("y.by_name").alias("ny"), F.col("x.hop").alias("hx"), F.col("y.hop").alias("hy"))
-    side = lambda name: profiles.select(F.col("profile").alias(f"p{name}"), F.struct("profile", *attributes).alias(name))
     triangles = write_table(two.join(side("a"), "pa").join(side("b"), "pb").select("pa", "pb", "confidence", "nx", "ny", "hx", "hy", *agreement()))
     # ends with other symbols and no common name contradict each other: a link by entry name alone then yields to one by name
     against = triangles.where("symbol = 1 and stem = 0 and nx <> ny").select(F.when(F.col("nx"), F.col("hy")).otherwise(F.col("hx")).alias("hop"))
