@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from graphloom.functions import labels
+from graphloom.functions import labels, python_exact
 from graphloom.operators.skew import mark_members
 
 #: Weights of the signals in the composite score.
@@ -109,3 +109,44 @@ def not_disjoint(pairs: DataFrame, disjoint: DataFrame) -> DataFrame:
     both = disjoint.select("x", "y").union(disjoint.select("y", "x"))
     keyed = pairs.withColumn("_types", F.concat_ws("\x1f", "type_a", "type_b"))
     return mark_members(keyed, "_types", both.select(F.concat_ws("\x1f", "x", "y")), "_out").where(~F.col("_out")).drop("_types", "_out")
+
+
+def ratio_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
+    """pairs (label_a, label_b) with ratio, their matching_ratio, where it reaches the threshold. Pairs whose lengths exclude that don't reach Python."""
+    bound = python_exact.ratio_bound(F.col("label_a"), F.col("label_b"))
+    distinct = pairs.where(bound >= threshold).select("label_a", "label_b").distinct()
+    rated = distinct.withColumn("ratio", python_exact.matching_ratio("label_a", "label_b")).where(F.col("ratio") >= threshold)
+    return pairs.join(rated, ["label_a", "label_b"])
+
+
+def within(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id_a, id_b) of sets of a that are subsets of sets of b; both have id and tokens. A subset's rarest token leads to its supersets."""
+    x = a.where("size(tokens) > 0").select(F.col("id").alias("id_a"), F.array_distinct("tokens").alias("ta"))
+    y = b.select(F.col("id").alias("id_b"), F.array_distinct("tokens").alias("tb"))
+    counts = y.select(F.explode("tb").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = x.select("id_a", "ta", F.explode("ta").alias("token")).join(counts, "token").groupBy("id_a", "ta").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    return rarest.join(y.select("id_b", "tb", F.explode("tb").alias("token")), "token").where(F.size(F.array_except("ta", "tb")) == 0).select("id_a", "id_b")
+
+
+def tiered_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id_a, id_b, score, method) of entities (id, label) by the first rule that holds: the same id, the same label, the same
+    first word or half of the words in common, one label's words within the other's."""
+    words = lambda x: x.where("label <> ''").withColumn("tokens", F.array_distinct(F.split("label", " ")))
+    wa, wb = words(a), words(b)
+    first = lambda x: x.select("id", F.array(F.element_at(F.split("label", " "), 1)).alias("keys"))
+    rules = (
+        (1.0, "exact_uri", a.join(b.select("id"), "id").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"))),
+        (0.92, "normalized_label", wa.select(F.col("id").alias("id_a"), "label").join(wb.select(F.col("id").alias("id_b"), "label"), "label").select("id_a", "id_b")),
+        (0.88, "domain_symbol_match", blocked_pairs(first(wa), first(wb)).union(similar_sets(wa, wb, 0.5).select("id_a", "id_b"))),
+        (0.75, "label_similarity", within(wa, wb).union(within(wb, wa).select("id_b", "id_a"))),
+    )
+    rated = reduce(DataFrame.union, (pairs.select("id_a", "id_b", F.struct(F.lit(s).alias("score"), F.lit(m).alias("method")).alias("r")) for s, m, pairs in rules))
+    return rated.groupBy("id_a", "id_b").agg(F.max("r").alias("r")).select("id_a", "id_b", "r.*")
+
+
+def overlapping_labels(nodes: DataFrame) -> DataFrame:
+    """(a, b, score) of different labels (label) that share a word: 0.88 if one contains the other, else 0.78; each pair once, a before b."""
+    x = nodes.select(F.lower(F.trim("label")).alias("label")).where("label <> ''").distinct()
+    words = x.select("label", F.explode(F.array_distinct(F.split("label", r"\s+"))).alias("w"))
+    pairs = words.select(F.col("label").alias("a"), "w").join(words.select(F.col("label").alias("b"), "w"), "w").where("a < b").select("a", "b").distinct()
+    return pairs.withColumn("score", F.when(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")), 0.88).otherwise(0.78))

@@ -211,7 +211,9 @@ def flagship(spark, d):
 _FUNCTIONS = (blocked_pairs, similar_labels, identity_pairs, match_scores, best_matches, decision_counts, small_cross, neighbour_sets, disjoint_veto, pair_bands, predicate_alignment, unmapped_predicates, inverse_relations, source_alignment, alias_components, redirected_facts, facts_once, alias_clusters, right_wins, property_values, contradictions, functional_collisions, conflict_winners, conflict_fold, conflict_preserve, graph_values, first_entities)
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {"fusion": flagship}
 
-_LOCAL = "lower(case when contains(p, '#') then string_split(p, '#')[-1] when contains(p, '/') then string_split(p, '/')[-1] when contains(p, ':') then substring(p, instr(p, ':') + 1) else p end)"
+_STRIP = r"'^[\s\p{Z}\x{85}\x{1c}-\x{1f}]+|[\s\p{Z}\x{85}\x{1c}-\x{1f}]+$', '', 'g'"
+_BARE = rf"regexp_replace(regexp_replace(regexp_replace(p, {_STRIP}), '(?s)^<(.*)>$', '\1'), {_STRIP})"
+_LOCAL = f"lower(regexp_replace(case when contains({_BARE}, '#') then string_split({_BARE}, '#')[-1] when contains({_BARE}, '/') then string_split({_BARE}, '/')[-1] when contains({_BARE}, ':') then substring({_BARE}, instr({_BARE}, ':') + 1) else {_BARE} end, {_STRIP}))"
 _FIRSTS = f"firsts as (select s, {_LOCAL} as p, o, min(seq) as seq from statements group by all)"
 _RULES = "rules(x, y) as (values ('treats', 'contraindicated_in'), ('contraindicated_in', 'treats'), ('associated_with', 'not_associated_with'), ('not_associated_with', 'associated_with'))"
 _CONTRA = f"{_FIRSTS}, {_RULES}, contra as (select b.seq, min(a.seq) as against from firsts b join firsts a on a.s = b.s and a.o = b.o and a.seq < b.seq join rules on rules.x = a.p and rules.y = b.p group by b.seq)"
@@ -260,7 +262,7 @@ select distinct a.id as id_a, b.id as id_b, 'source' as property from r a join r
   and not (list_sort([split_part(left_id, '_', 1), split_part(right_id, '_', 1)]) in (['DRUG', 'GENE'], ['DIS', 'DRUG'], ['DIS', 'GENE']))""",
     "pair_bands": "select pair_id, case when score >= 0.88 then 'MERGE' when score >= 0.65 then 'REVIEW' else 'KEEP' end as band, origin = 'auto_merged_pairs' as merged from match_pairs where score is not null",
     "predicate_alignment": f"with {worlds.STATEMENTS}, x as (select graph, p, case when graph = 'graph_a' and {_LOCAL} = 'associated_with' then 'linked_with' when graph = 'graph_b' and {_LOCAL} = 'binds' then 'targets' when graph = 'graph_a' and {_LOCAL} = 'treats' then 'treats' end as t from statements) select graph, coalesce(t, p) as aligned, t is not null as mapped, count(*) as n from x group by all",
-    "unmapped_predicates": rf"with {worlds.STATEMENTS}, y as (select regexp_replace(regexp_replace(p, '(?s)^<(.*)>$', '\1'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') as p, graph from statements), x as (select distinct regexp_replace({_LOCAL}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') as predicate, graph from y) select predicate, graph from x where not (predicate = 'associated_with' and coalesce(graph, '') = 'graph_a') and not (predicate = 'binds' and coalesce(graph, '') = 'graph_b')",
+    "unmapped_predicates": f"with {worlds.STATEMENTS}, x as (select distinct {_LOCAL} as predicate, graph from statements) select predicate, graph from x where not (predicate = 'associated_with' and coalesce(graph, '') = 'graph_a') and not (predicate = 'binds' and coalesce(graph, '') = 'graph_b')",
     "inverse_relations": f"with {worlds.RELATIONS}, a as (select s, p, o, false as derived from relations union all select o, 'partOfOrder', s, true from relations where p = 'contains' union all select o, 'placedBy', s, true from relations where p = 'placed') select p, derived, count(*) as n, min(s) as least, max(s) as most from a group by all",
     "alias_components": """with recursive e as (select left_id as a, right_id as b from match_pairs where origin = 'source_alias_map' and left_id is not null and right_id is not null),
 both_ways as (select a, b from e union select b, a from e), reach as (select a as id, a as x from both_ways union select r.id, e.b from reach r join both_ways e on e.a = r.x)

@@ -29,11 +29,16 @@ def test_repeated_events_and_appends(spark):
     assert states.append_new(old.union(states.append_new(old, new, ["k"], "n")), new, ["k"], "n").count() == 0
 
 
-def test_components_prefer_by_rank(spark):
+@pytest.mark.parametrize("limit", [components.ONE_TASK, 0])
+def test_components_prefer_by_rank(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "ONE_TASK", limit)
     edges = spark.createDataFrame([("a", "b"), ("b", "z"), ("c", "d"), (None, "q")], "a string, b string")
     assert rows(components.components(edges)) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("z", "a")]
     ranks = spark.createDataFrame([("z", 0), ("d", 1)], "id string, rank int")
     assert rows(components.components(edges, ranks)) == [("a", "z"), ("b", "z"), ("c", "d"), ("d", "d"), ("z", "z")]
+    assert rows(components.components(edges.where("a is null"))) == []
+    chain = spark.range(1, 60).selectExpr("concat('n', 1000 + id) as a", "concat('n', 1001 + id) as b")
+    assert {r["root"] for r in components.components(chain).collect()} == {"n1001"}
 
 
 def test_similar_sets_are_exact(spark):
