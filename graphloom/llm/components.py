@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.canon import is_blank
+from graphloom.operators.components import least_roots
 from graphloom.operators.skew import partitions_for
 from graphloom.scratch import drop_table, write_table
 
@@ -21,27 +22,6 @@ FOREST_EDGES = 1_000_000
 EDGE = T.StructType([T.StructField("v", T.StringType()), T.StructField("root", T.StringType())])
 
 
-def least_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For each of n numbered vertices, the least vertex that the edges (a, b) connect it with.
-
-    Union-find in arrays: hook the larger root to the smaller one, then halve all paths, until no
-    edge joins two trees.
-    """
-    parent = np.arange(n)
-    while True:
-        x, y = parent[a], parent[b]
-        apart = x != y
-        if not apart.any():
-            return parent
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            above = parent[parent]
-            if (above == parent).all():
-                break
-            parent = above
-
-
 def spanning_forest(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Stars (v, root) that connect what the edges of a partition connect, root being the tree's least vertex.
 
