@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.scratch import write_table
+
 #: What may follow a status of a projection.
 NEXT = {None: ("building",), "building": ("candidate", "failed"), "candidate": ("validated", "quarantined"), "validated": ("active",), "active": ("retained", "destroyed"), "retained": ("active", "destroyed")}
 
@@ -40,10 +42,9 @@ class Projections:
         """The projection's table, or none if making it fails; the reason is logged."""
         self._move(projection, "building")
         try:
-            out = make()
-            out.limit(1).count()
+            out = write_table(make())
         except Exception as e:
-            self._move(projection, "failed", str(e).split("\\n")[0][:200])
+            self._move(projection, "failed", str(e).split("\n")[0][:200])
             return None
         self._move(projection, "candidate")
         return out
