@@ -27,6 +27,25 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def ratio_from(threshold: float) -> Callable[[Column, Column], Column]:
+    """matching_ratio where it reaches the threshold, else 0; pairs whose letters exclude that are not matched."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, at, matcher = [0.0] * len(a), sorted(range(len(a)), key=lambda i: b.iat[i]), difflib.SequenceMatcher(None)
+        last = None
+        for i in at:
+            if b.iat[i] != last:
+                last = b.iat[i]
+                matcher.set_seq2(last)
+            matcher.set_seq1(a.iat[i])
+            if matcher.quick_ratio() >= threshold and (r := matcher.ratio()) >= threshold:
+                out[i] = r
+        return pd.Series(out, dtype="float64")
+
+    return ratio
+
+
 def ratio_bound(a: Column, b: Column) -> Column:
     """No matching_ratio of the two can be above this."""
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from graphloom.functions import labels, python_exact
-from graphloom.operators.skew import mark_members
+from graphloom.operators.skew import mark_members, spread_join
+from graphloom.scratch import write_table
 
 #: Weights of the signals in the composite score.
 WEIGHTS = {"exact_id": 1.0, "label": 0.75, "structure": 0.3, "embedding": 0.35}
@@ -71,6 +72,76 @@ def shared_neighbours(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame
     return out.withColumn("structure", F.coalesce(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), F.lit(0.0))).drop("common", "na", "nb")
 
 
+def neighbour_labels(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, neighbour): the labels of each entity's neighbours over edges (s, o); a neighbour that is no entity has its id's label. Ids compare without case."""
+    known = entities.groupBy(F.lower("id").alias("key")).agg(F.max("label").alias("known"))
+    near = neighbours(edges.select(F.lower("s").alias("s"), F.lower("o").alias("o"))).join(known.withColumnRenamed("key", "neighbour"), "neighbour", "left")
+    named = near.select(F.col("id").alias("key"), F.coalesce("known", labels.label(F.col("neighbour"))).alias("neighbour")).distinct()
+    return entities.select("id", F.lower("id").alias("key")).join(named, "key").select("id", "neighbour").distinct()
+
+
+def _label_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(label_a, label_b) of labels that share a token of three letters or more, each pair once: where their first shared token meets."""
+    split = lambda x, s: x.select(F.col("label").alias(f"label_{s}")).distinct().withColumn(f"t{s}", F.filter(F.array_distinct(F.split(f"label_{s}", " ")), lambda t: F.length(t) >= 3))
+    x, y = (split(df, s).withColumn("token", F.explode(f"t{s}")) for df, s in ((a, "a"), (b, "b")))
+    return spread_join(x, y, "token").where(F.array_min(F.array_intersect("ta", "tb")) == F.col("token")).select("label_a", "label_b")
+
+
+def _label_scores(pairs: DataFrame, threshold: float) -> DataFrame:
+    """pairs (label_a, label_b) with label, their score, where it is above 0."""
+    la, lb = F.col("label_a"), F.col("label_b")
+    inside = (F.least(F.length(la), F.length(lb)) >= 3) & (la.contains(lb) | lb.contains(la))
+    far = F.floor((1 - threshold) * (F.length(la) + F.length(lb)) + 1e-9).cast("int")  # the edits of a pair whose ratio reaches the threshold
+    near = (la != lb) & (python_exact.ratio_bound(la, lb) >= threshold - 1e-9) & (F.call_function("levenshtein", la, lb, far) >= 0)
+    rated = pairs.withColumns({"inside": inside, "jaccard": labels.jaccard(labels.tokens(la), labels.tokens(lb)), "near": near})
+    rated = rated.where((la == lb) | F.col("near") | F.col("inside") | (F.col("jaccard") >= threshold))
+    plain = rated.where(~F.col("near")).withColumn("ratio", F.lit(0.0))
+    matched = rated.where("near").repartition(*[F.col(c) for c in ("label_a", "label_b")]).withColumn("ratio", python_exact.ratio_from(threshold)(la, lb))
+    label = label_score(la == lb, F.greatest("ratio", "jaccard"), F.col("inside"), threshold)
+    return plain.union(matched).select("label_a", "label_b", label.alias("label")).where("label > 0")
+
+
+def scored_pairs(a: DataFrame, b: DataFrame, near_a: DataFrame, near_b: DataFrame, identity: DataFrame | None = None, threshold: float = 0.7, small: int = 1000) -> DataFrame:
+    """(id_a, id_b, label_a, label_b, exact, label, structure, score, method) of all candidates of two graphs' entities (id, label) with a score above 0.
+
+    Candidates share their id, a row (id_a, id_b) of identity, a label token of three letters or more, or a neighbour's label
+    in near_a and near_b (id, neighbour); where there are at most small pairs, all are candidates. Labels are scored once
+    per pair of labels, by the larger of matching_ratio and Jaccard similarity from the threshold on, else by containment.
+    An empty label shares nothing.
+    """
+    a, b = (write_table(x.where("id is not null").select("id", F.coalesce("label", F.lit("")).alias("label"))) for x in (a, b))
+    near_a, near_b = write_table(near_a), write_table(near_b)
+    named = lambda x, s: x.select(F.col("id").alias(f"id_{s}"), F.col("label").alias(f"label_{s}"))
+    exact = a.join(b.select("id"), "id").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"))
+    if identity is not None:
+        exact = exact.union(identity.select("id_a", "id_b").join(a.select(F.col("id").alias("id_a")), "id_a").join(b.select(F.col("id").alias("id_b")), "id_b").select("id_a", "id_b"))
+    side = lambda x, s: x.where("neighbour <> ''").select("neighbour", F.col("id").alias(f"id_{s}"))
+    common = spread_join(side(near_a, "a"), side(near_b, "b"), "neighbour").groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("common"))
+    signals = exact.distinct().select("id_a", "id_b", F.lit(1.0).alias("exact"), F.lit(0).cast("long").alias("common")).union(common.select("id_a", "id_b", F.lit(0.0), "common"))
+    signals = write_table(signals.groupBy("id_a", "id_b").agg(F.max("exact").alias("exact"), F.sum("common").alias("common")))
+    full = lambda x: x.where("label <> ''")
+    if a.count() * b.count() <= small:
+        met = full(a).select(F.col("label").alias("label_a")).distinct().crossJoin(full(b).select(F.col("label").alias("label_b")).distinct())
+    else:
+        met = _label_pairs(full(a), full(b))
+    by_token = write_table(_label_scores(met, threshold))
+    pairs = signals.join(named(a, "a"), "id_a").join(named(b, "b"), "id_b")
+    others = pairs.where("label_a <> '' and label_b <> ''").select("label_a", "label_b").distinct().join(by_token, ["label_a", "label_b"], "left_anti")
+    scores = by_token.withColumn("token", F.lit(True)).union(_label_scores(others, threshold).withColumn("token", F.lit(False)))
+    scores = write_table(scores)
+    wide = scores.where("token").join(named(a, "a"), "label_a").select("id_a", "label_b", "label")
+    wide = spread_join(wide, named(b, "b"), "label_b").select("id_a", "id_b", "label", F.lit(0.0).alias("exact"), F.lit(0).cast("long").alias("common"))
+    rest = pairs.join(scores.where("not token").drop("token"), ["label_a", "label_b"], "left").select("id_a", "id_b", F.coalesce("label", F.lit(0.0)).alias("label"), "exact", "common")
+    all_pairs_ = wide.union(rest).groupBy("id_a", "id_b").agg(*[F.max(c).alias(c) for c in ("label", "exact", "common")])
+    degree = lambda x, s: x.groupBy("id").agg(F.count(F.lit(1)).alias(f"n{s}"), F.max(F.when(F.col("neighbour") == "", 1).otherwise(0)).alias(f"e{s}")).withColumnRenamed("id", f"id_{s}")
+    out = all_pairs_.join(named(a, "a").join(degree(near_a, "a"), "id_a", "left"), "id_a").join(named(b, "b").join(degree(near_b, "b"), "id_b", "left"), "id_b")
+    shared = F.col("common") + F.coalesce(F.col("ea") * F.col("eb"), F.lit(0))
+    structure = F.coalesce(shared / (F.col("na") + F.col("nb") - shared), F.lit(0.0))
+    out = out.withColumn("structure", structure)
+    score = python_exact.round4(composite({"exact_id": F.col("exact"), "label": F.col("label"), "structure": F.col("structure")}))
+    return out.select("id_a", "id_b", "label_a", "label_b", "exact", "label", "structure", score.alias("score"), method(F.col("exact"), F.col("label"), F.col("structure")).alias("method"))
+
+
 def label_score(same: Column, similarity: Column, contained: Column, threshold: float = 0.7) -> Column:
     """0.95 for equal labels, else the similarity from the threshold on, else 0.75 for a label within the other."""
     return F.when(same, 0.95).when(similarity >= threshold, similarity).when(contained, 0.75).otherwise(0.0)

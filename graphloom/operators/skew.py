@@ -34,6 +34,21 @@ def salted_join(rows: DataFrame, groups: DataFrame, on: list[str], weight: str,
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
+def spread_join(x: DataFrame, y: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
+    """Inner join of rows with rows, where one key may make a large share of all pairs: no task makes many more than most of one key's pairs.
+
+    A key is cut by the hash of x's rows into as many salts as its pairs need, and its rows of y are repeated once per salt.
+    """
+    count = lambda df, name: df.groupBy(on).agg(F.count(F.lit(1)).alias(name))
+    pairs = F.col("_nx") * F.col("_ny")
+    weights = count(x, "_nx").join(count(y, "_ny"), on).select(on, pairs.alias("_pairs"), F.least(F.col("_nx"), F.lit(4096), F.ceil(pairs / most)).cast("int").alias("_salts"))
+    total = weights.agg(F.sum("_pairs")).first()[0] or 0
+    n = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, partitions_for(total, most)))
+    left = x.join(weights.drop("_pairs"), on).withColumn("_salt", F.pmod(F.xxhash64(*x.columns), F.col("_salts")).cast("int")).drop("_salts")
+    right = y.join(weights.drop("_pairs"), on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return left.repartition(n, on, "_salt").join(right.repartition(n, on, "_salt").hint("merge"), [on, "_salt"]).drop("_salt")
+
+
 def partitions_for(rows: int, per_partition: int) -> int:
     """Partitions that hold at most per_partition rows each on average."""
     return max(1, math.ceil(rows / per_partition))

@@ -80,6 +80,26 @@ def decision_counts(spark, d):
     return _scored(spark, d).groupBy(matching.band(F.col("score")).alias("decision"), "method").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+def full_scores(spark, d):
+    """All candidates of the two graphs by the reference's blocking and signals; identity keys are those of identity_pairs()."""
+    e, facts = _entities(spark, d), worlds.statements(spark, d)
+    a, b = (e.where(F.col("graph") == g).select("id", "label") for g in ("graph_a", "graph_b"))
+    near_a, near_b = (matching.neighbour_labels(x, facts.where(F.col("graph") == g)) for x, g in ((a, "graph_a"), (b, "graph_b")))
+    return matching.scored_pairs(a, b, near_a, near_b, identity_pairs(spark, d))
+
+
+def full_match_scores(spark, d):
+    return full_scores(spark, d).select("id_a", "id_b", "score", "method", matching.band(F.col("score")).alias("decision"))
+
+
+def full_best_matches(spark, d):
+    return matching.best_candidates(full_scores(spark, d).select("id_a", "id_b", "score"), 3)
+
+
+def full_decision_counts(spark, d):
+    return full_scores(spark, d).groupBy(matching.band(F.col("score")).alias("decision"), "method").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def small_cross(spark, d):
     a = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
     b = table(spark, d, "region").select(F.col("r_regionkey").alias("id"))
@@ -208,7 +228,7 @@ def flagship(spark, d):
     return decided.union(roots.select(F.lit("ROOTS"), F.countDistinct("root"))).union(facts.select(F.lit("FACTS"), F.count(F.lit(1))))
 
 
-_FUNCTIONS = (blocked_pairs, similar_labels, identity_pairs, match_scores, best_matches, decision_counts, small_cross, neighbour_sets, disjoint_veto, pair_bands, predicate_alignment, unmapped_predicates, inverse_relations, source_alignment, alias_components, redirected_facts, facts_once, alias_clusters, right_wins, property_values, contradictions, functional_collisions, conflict_winners, conflict_fold, conflict_preserve, graph_values, first_entities)
+_FUNCTIONS = (blocked_pairs, similar_labels, identity_pairs, match_scores, best_matches, decision_counts, full_match_scores, full_best_matches, full_decision_counts, small_cross, neighbour_sets, disjoint_veto, pair_bands, predicate_alignment, unmapped_predicates, inverse_relations, source_alignment, alias_components, redirected_facts, facts_once, alias_clusters, right_wins, property_values, contradictions, functional_collisions, conflict_winners, conflict_fold, conflict_preserve, graph_values, first_entities)
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {"fusion": flagship}
 
 _STRIP = r"'^[\s\p{Z}\x{85}\x{1c}-\x{1f}]+|[\s\p{Z}\x{85}\x{1c}-\x{1f}]+$', '', 'g'"
