@@ -94,12 +94,12 @@ def smoke_checks(spark, d):
 
 def pipeline_stages(spark, d):
     a, b = _sides(spark, d)
-    return pipeline.fuse(a, b, worlds.statements(spark, d), fusion_queries.OPPOSING, fusion_queries.FUNCTIONAL).stages
+    return pipeline.fuse(a, b, worlds.statements(spark, d), fusion_queries.OPPOSING, fusion_queries.FUNCTIONAL, identity=fusion_queries.identity_pairs(spark, d)).stages
 
 
 def pipeline_problems(spark, d):
     a, b = _sides(spark, d)
-    return pipeline.problems(pipeline.fuse(a, b, worlds.statements(spark, d), fusion_queries.OPPOSING, fusion_queries.FUNCTIONAL, reject=True))
+    return pipeline.problems(pipeline.fuse(a, b, worlds.statements(spark, d), fusion_queries.OPPOSING, fusion_queries.FUNCTIONAL, reject=True, identity=fusion_queries.identity_pairs(spark, d)))
 
 
 QUERIES = {f.__name__: f for f in (tiered_pairs, ratio_pairs, overlapping_labels, vector_knn, vector_pairs, node_origins, source_artifacts, graph_membership, missing_artifacts, pruned_provenance, human_decisions, abstaining_verifier, view_nodes, view_edges, smoke_checks, pipeline_stages, pipeline_problems)}

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions import labels
 from graphloom.operators import canonical, components, conflicts, matching, projections, rdf
 from graphloom.scratch import write_table
 
@@ -24,22 +23,17 @@ class Fused:
     stages: DataFrame
 
 
-def fuse(entities_a: DataFrame, entities_b: DataFrame, facts: DataFrame, opposing: list[tuple[str, str]], functional: list[str], reject: bool = False) -> Fused:
+def fuse(entities_a: DataFrame, entities_b: DataFrame, facts: DataFrame, opposing: list[tuple[str, str]], functional: list[str], reject: bool = False, identity: DataFrame | None = None, graphs: tuple[str, str] = ("graph_a", "graph_b")) -> Fused:
     """Matches entities (id, label) of two graphs, merges those that decide to, and holds the redirected facts (seq, graph, s, p, o, confidence, source) once.
 
-    Two graphs are needed: an empty one raises. Nothing is written but intermediate tables, so a dry run is to look at stages only.
+    Pairs are those of matching.scored_pairs(): identity has pairs (id_a, id_b) that share an identity key, and the facts of each of
+    graphs give its entities their neighbours. Two graphs are needed: an empty one raises. Nothing is written but intermediate tables, so a dry run is to look at stages only.
     """
     if entities_a.isEmpty() or entities_b.isEmpty():
         raise ValueError("a fusion needs two graphs")
-    tokens = lambda x: x.withColumn("tokens", labels.tokens(F.col("label")))
-    keyed = lambda x: x.withColumn("keys", F.array(F.concat(F.lit("id:"), "id"), F.concat(F.lit("label:"), "label")))
-    pairs = matching.blocked_pairs(keyed(entities_a), keyed(entities_b)).union(matching.similar_sets(tokens(entities_a), tokens(entities_b), 0.7).select("id_a", "id_b")).distinct()
-    named = lambda x, s: x.select(F.col("id").alias(f"id_{s}"), F.col("label").alias(f"label_{s}"))
-    pairs = pairs.join(named(entities_a, "a"), "id_a").join(named(entities_b, "b"), "id_b")
-    la, lb = F.col("label_a"), F.col("label_b")
-    label = matching.label_score(la == lb, labels.jaccard(labels.tokens(la), labels.tokens(lb)), la.contains(lb) | lb.contains(la))
-    score = matching.composite({"exact_id": F.when(F.col("id_a") == F.col("id_b"), 1.0).otherwise(0.0), "label": label})
-    pairs = write_table(pairs.withColumn("score", score).withColumn("decision", matching.band(F.col("score"))))
+    near_a, near_b = (matching.neighbour_labels(x, facts.where(F.col("graph") == g)) for x, g in zip((entities_a, entities_b), graphs))
+    scored = matching.scored_pairs(entities_a, entities_b, near_a, near_b, identity)
+    pairs = write_table(scored.withColumn("decision", matching.band(F.col("score"))))
     roots = write_table(components.components(pairs.where("decision = 'MERGE'").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
     moved = write_table(canonical.redirect(facts, roots))
     folded = write_table(conflicts.fold(moved, opposing, functional, reject))
