@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import labels
-from graphloom.operators import lifecycle, matching, provenance, rdf, search
+from graphloom.operators import alignment, lifecycle, matching, provenance, rdf, search
 from graphloom.plans import fusion_queries, pipeline, worlds
 from graphloom.plans.tables import table
 
@@ -92,14 +92,28 @@ def smoke_checks(spark, d):
     return lifecycle.smoke(worlds.relations(spark, d), ["id", "s", "p", "o"])
 
 
-def pipeline_stages(spark, d):
+#: The reference's biomedical rules: namespaces of kinds, disjoint kinds, and mappings of relations.
+_KINDS = {"hgnc": "gene", "chembl": "drug", "uniprot": "protein", "mondo": "disease"}
+_DISJOINT = [("gene", "disease"), ("drug", "disease")]
+_MAPPINGS = [("encodes", "producesProtein", "equivalent", 1.0), ("targets", "modulates", "directed", 1.0), ("indicated_for", "treats", "equivalent", 1.0)]
+
+
+def _fused(spark, d, reject):
     a, b = _sides(spark, d)
-    return pipeline.fuse(a, b, worlds.statements(spark, d), fusion_queries.OPPOSING, fusion_queries.FUNCTIONAL, identity=fusion_queries.identity_pairs(spark, d)).stages
+    kinds = F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv])[F.regexp_extract(F.lower("id"), "^[a-z]+", 0)]
+    mappings = alignment.directional(spark.createDataFrame(_MAPPINGS, "predicate string, target string, kind string, confidence double"))
+    return pipeline.fuse(
+        a, b, worlds.statements(spark, d), fusion_queries.OPPOSING, [*fusion_queries.FUNCTIONAL, "producesProtein"], reject, fusion_queries.identity_pairs(spark, d),
+        kinds=a.union(b).select("id", kinds.alias("kind")).distinct(), disjoint=spark.createDataFrame(_DISJOINT, "x string, y string"), mappings=mappings,
+    )
+
+
+def pipeline_stages(spark, d):
+    return _fused(spark, d, False).stages
 
 
 def pipeline_problems(spark, d):
-    a, b = _sides(spark, d)
-    return pipeline.problems(pipeline.fuse(a, b, worlds.statements(spark, d), fusion_queries.OPPOSING, fusion_queries.FUNCTIONAL, reject=True, identity=fusion_queries.identity_pairs(spark, d)))
+    return pipeline.problems(_fused(spark, d, True))
 
 
 QUERIES = {f.__name__: f for f in (tiered_pairs, ratio_pairs, overlapping_labels, vector_knn, vector_pairs, node_origins, source_artifacts, graph_membership, missing_artifacts, pruned_provenance, human_decisions, abstaining_verifier, view_nodes, view_edges, smoke_checks, pipeline_stages, pipeline_problems)}
