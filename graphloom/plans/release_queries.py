@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import literals, python_exact
@@ -45,16 +47,24 @@ def latest_status(spark, d):
     return out.withColumn("status", F.coalesce("status", F.lit("PENDING")))
 
 
-def _assertions(spark, d):
+def _stated(relations):
     """Relational assertions with a state made of their id, so that some are approved."""
-    return worlds.relations(spark, d).where("p in ('partOf', 'locatedIn', 'placed')").withColumn("state", F.when(F.substring("id", 11, 1).rlike("[0-7]"), "approved").otherwise("candidate"))
+    return relations.withColumn("state", F.when(F.substring("id", 11, 1).rlike("[0-7]"), "approved").otherwise("candidate"))
+
+
+def _assertions(spark, d):
+    return _stated(worlds.relations(spark, d).where("p in ('partOf', 'locatedIn', 'placed')"))
 
 
 _ASSERTIONS = worlds.RELATIONS + ", assertions as (select *, case when regexp_matches(substring(id, 11, 1), '[0-7]') then 'approved' else 'candidate' end as state from relations where p in ('partOf', 'locatedIn', 'placed'))"
 
 
 def _attributes(spark, d):
-    rows = worlds.attributes(spark, d).where("p in ('name', 'segment') and value is not null")
+    return _valued(worlds.attributes(spark, d).where("p in ('name', 'segment')"))
+
+
+def _valued(attributes):
+    rows = attributes.where("value is not null")
     return rows.select(worlds.assertion_id(F.col("s"), F.col("p"), F.col("value")).alias("id"), "s", "p", "value", F.lit("approved").alias("state"))
 
 
@@ -65,6 +75,11 @@ def _quads(spark, d):
     return rdf.relationship_quads(_assertions(spark, d)).union(rdf.attribute_quads(_attributes(spark, d)))
 
 
+def _all_quads(spark, d):
+    """The snapshot of all relations and attributes."""
+    return rdf.relationship_quads(_stated(worlds.relations(spark, d))).union(rdf.attribute_quads(_valued(worlds.attributes(spark, d))))
+
+
 _QUADS = f"""{_ASSERTIONS}, {_ATTR}, quads as (
   select case when state = 'approved' then 'urn:graph:approved_assertion' else 'urn:graph:source_assertion' end as graph, 'urn:assertion:' || id as s,
     unnest(['urn:assertion:type', 'urn:assertion:subject', 'urn:assertion:predicate', 'urn:assertion:object', 'urn:assertion:state']) as p,
@@ -73,12 +88,12 @@ _QUADS = f"""{_ASSERTIONS}, {_ATTR}, quads as (
     unnest(['urn:assertion:AttributeAssertion', 'urn:identifier:' || s, 'urn:predicate:' || p, value, state]), unnest(['iri', 'iri', 'iri', 'literal', 'literal']) from attr)"""
 
 
-def rdf_quads(spark, d):
-    return _quads(spark, d)
+def rdf_quads(spark, d, quads=_quads):
+    return quads(spark, d)
 
 
-def quad_counts(spark, d):
-    return rdf.summary(_quads(spark, d))
+def quad_counts(spark, d, quads=_quads):
+    return rdf.summary(quads(spark, d))
 
 
 def provenance_quads(spark, d):
@@ -97,61 +112,61 @@ def release_quads(spark, d):
     return rdf.release_quads(rows)
 
 
-def nquads(spark, d):
-    return rdf.to_nquads(_quads(spark, d))
+def nquads(spark, d, quads=_quads):
+    return rdf.to_nquads(quads(spark, d))
 
 
-def quads_read_back(spark, d):
-    return rdf.from_quads(_quads(spark, d))
+def quads_read_back(spark, d, quads=_quads):
+    return rdf.from_quads(quads(spark, d))
 
 
-def comparison_records(spark, d):
-    return rdf.records(_quads(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.min("digest").alias("least"))
+def comparison_records(spark, d, quads=_quads):
+    return rdf.records(quads(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.min("digest").alias("least"))
 
 
-def transformed_values(spark, d):
+def transformed_values(spark, d, quads=_quads):
     """Values changed on purpose are found."""
-    q = _quads(spark, d)
+    q = quads(spark, d)
     broken = q.withColumn("o", F.when((F.col("p") == rdf.STATE) & F.col("s").endswith("0"), "tampered").otherwise(F.col("o")))
     return rdf.transformed(q, broken)
 
 
-def dataset_entities(spark, d):
-    return projections.entities(rdf.from_quads(_quads(spark, d)))
+def dataset_entities(spark, d, quads=_quads):
+    return projections.entities(rdf.from_quads(quads(spark, d)))
 
 
-def dataset_relations(spark, d):
-    return projections.relations(rdf.from_quads(_quads(spark, d)))
+def dataset_relations(spark, d, quads=_quads):
+    return projections.relations(rdf.from_quads(quads(spark, d)))
 
 
-def dataset_groups(spark, d):
-    return projections.group_counts(rdf.from_quads(_quads(spark, d)), "predicate")
+def dataset_groups(spark, d, quads=_quads):
+    return projections.group_counts(rdf.from_quads(quads(spark, d)), "predicate")
 
 
-def profile_projection(spark, d):
+def profile_projection(spark, d, quads=_quads):
     profile = projections.Profile(namespaces=("customer", "nation", "region", "part"), dropped=("segment",), unsupported=("partOf",), on_unsupported="flatten", transformed={"locatedIn": "in"})
-    return projections.project(rdf.from_quads(_quads(spark, d)), profile).select("id", "subject", "predicate", "object", "value")
+    return projections.project(rdf.from_quads(quads(spark, d)), profile).select("id", "subject", "predicate", "object", "value")
 
 
-def undeclared_predicates(spark, d):
+def undeclared_predicates(spark, d, quads=_quads):
     profile = projections.Profile(dropped=("segment",), transformed={"locatedIn": "in"})
-    return projections.undeclared(rdf.from_quads(_quads(spark, d)), profile, ("name",))
+    return projections.undeclared(rdf.from_quads(quads(spark, d)), profile, ("name",))
 
 
-def property_graph(spark, d):
-    return projections.property_graph(rdf.from_quads(_quads(spark, d)))
+def property_graph(spark, d, quads=_quads):
+    return projections.property_graph(rdf.from_quads(quads(spark, d)))
 
 
-def search_documents(spark, d):
-    return projections.search_documents(rdf.from_quads(_quads(spark, d)))
+def search_documents(spark, d, quads=_quads):
+    return projections.search_documents(rdf.from_quads(quads(spark, d)))
 
 
 def _tampered(rows):
     return rows.where("not endswith(key, '7')").withColumn("digest", F.when(F.col("key").endswith("3"), F.lit("x")).otherwise(F.col("digest"))).union(rows.where("endswith(key, '5')").withColumn("key", F.concat("key", F.lit("-copy"))))
 
 
-def reconciliation(spark, d):
-    rows = projections.entities(rdf.from_quads(_quads(spark, d))).select(F.col("namespace").alias("kind"), F.col("entity_id").alias("key"), F.sha2("entity_id", 256).alias("digest"))
+def reconciliation(spark, d, quads=_quads):
+    rows = projections.entities(rdf.from_quads(quads(spark, d))).select(F.col("namespace").alias("kind"), F.col("entity_id").alias("key"), F.sha2("entity_id", 256).alias("digest"))
     return projections.compare(rows, _tampered(rows), ["kind", "key"])
 
 
@@ -160,8 +175,8 @@ def bag_difference(spark, d):
     return projections.bag_difference(items, items.where("l_linenumber <> 2").union(items.where("l_linenumber = 1")))
 
 
-def rows_union(spark, d):
-    r = projections.relations(rdf.from_quads(_quads(spark, d)))
+def rows_union(spark, d, quads=_quads):
+    r = projections.relations(rdf.from_quads(quads(spark, d)))
     return r.where("state = 'approved'").union(r.where("state <> 'approved'")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -440,6 +455,10 @@ def payload_fields(spark, d):
 _FUNCTIONS = [v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
+#: Queries over snapshots: as their SQL has them, without most predicates, and as full_ ones with all of them.
+SNAPSHOTS = (rdf_quads, quad_counts, nquads, quads_read_back, comparison_records, transformed_values, dataset_entities, dataset_relations, dataset_groups, profile_projection, undeclared_predicates, property_graph, search_documents, reconciliation, rows_union)
+QUERIES |= {f"full_{f.__name__}": partial(f, quads=_all_quads) for f in SNAPSHOTS}
+
 _T = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
 _ALLOWED = "(f is null and t = 'candidate') or (f = 'candidate' and t in ('verified', 'rejected', 'abstained')) or (f = 'verified' and t in ('promotion_review', 'rejected')) or (f = 'promotion_review' and t in ('approved', 'rejected')) or (f = 'approved' and t in ('superseded', 'retracted'))"
 _REPLAY = f"""{worlds.LOG}, lagged as (select event_id, assertion_id, to_state as t, row_number() over w as n, lag(to_state) over w as f from log window w as (partition by assertion_id order by ts, event_id)),
@@ -551,3 +570,8 @@ select before, status, coalesce((before is null and status = 'CANDIDATE') or (be
     "backends": f"with {_MANIFESTS} select distinct backend from manifests",
     "payload_fields": "select distinct record_id, trim(payload::json ->> 'subject') as subject from parsed_records where payload is not null and trim(coalesce(payload::json ->> 'head', '')) = '' and trim(coalesce(payload::json ->> 'subject', '')) <> ''",
 }
+
+_KEPT = (" where p in ('partOf', 'locatedIn', 'placed')", "p in ('name', 'segment') and ")
+for _f in SNAPSHOTS:
+    if (_sql := ORACLES.get(_f.__name__)) is not None:
+        ORACLES[f"full_{_f.__name__}"] = _sql.replace(_KEPT[0], "").replace(_KEPT[1], "")
