@@ -3,7 +3,7 @@
 import datetime
 from decimal import Decimal
 
-from graphloom.plans import release_queries
+from graphloom.plans import fusion_queries, release_queries
 
 TABLES = {
     "region": ("r_regionkey int", [(0,)]),
@@ -16,11 +16,22 @@ TABLES = {
 }
 
 
-def test_every_predicate_is_in_the_snapshot(spark, tmp_path):
+def written(spark, folder):
     for name, (schema, rows) in TABLES.items():
-        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_every_predicate_is_in_the_snapshot(spark, tmp_path):
+    written(spark, tmp_path)
     got = {(r["subject"], r["predicate"], r["object"] or r["value"]) for r in release_queries.QUERIES["full_quads_read_back"](spark, str(tmp_path)).collect()}
     assert got == {
         ("nation:1", "partOf", "region:0"), ("customer:5", "locatedIn", "nation:1"), ("supplier:7", "locatedIn", "nation:1"), ("customer:5", "placed", "order:8"), ("order:8", "contains", "part:9"), ("supplier:7", "supplies", "part:9"),
         ("part:9", "name", "ring"), ("part:9", "size", "3"), ("part:9", "brandCode", "B#1"), ("order:8", "orderDate", "2020/01/02"), ("order:8", "status", '"F"'), ("customer:5", "segment", "AUTO"), ("customer:5", "balance", "1.50^^xsd:decimal"), ("supplier:7", "active", "no"),
     }
+
+
+def test_orders_and_parts_are_neighbours(spark, tmp_path):
+    written(spark, tmp_path)
+    got = {r["id"]: (r["neighbours"], r["least"], r["most"]) for r in fusion_queries.QUERIES["full_neighbour_sets"](spark, str(tmp_path)).collect()}
+    assert got["order:8"] == (2, "customer:5", "part:9") and got["part:9"] == (2, "order:8", "supplier:7")
+    assert got["customer:5"] == (2, "nation:1", "order:8") and got["supplier:7"] == (2, "nation:1", "part:9")
