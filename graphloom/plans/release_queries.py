@@ -200,6 +200,11 @@ def lexical_search(spark, d):
     return search.lexical(_docs(spark, d), "in the")
 
 
+def full_lexical_search(spark, d):
+    """lexical_search() in the whole texts, not in their first 60 characters."""
+    return search.lexical(_docs(spark, d).withColumn("label", F.coalesce("text", F.lit(""))), "in the")
+
+
 def search_facets(spark, d):
     hits = search.search(search.postings(_docs(spark, d)), "compartment doses", 200)
     return search.facets(hits.join(_docs(spark, d), "doc_id"), "source")
@@ -512,6 +517,7 @@ select l_returnflag, l_linestatus, l_linenumber, cast(case when l_linenumber = 2
     "search_topk": f"with {_TERMS} select doc_id, cast(sum(tf * case when term = 'renal' then 2 else 1 end) as bigint) as score from tf where term in ('renal', 'curators', 'evidence', 'reviewed') group by 1 order by score desc, doc_id limit 20",
     "alias_lookup": "select doc_id, 1.0::double as score from documents where lower(lang) = 'patent_feed' or lower(source) = 'patent_feed'",
     "lexical_search": "with l as (select doc_id, lower(coalesce(substring(text, 1, 60), '')) as l from documents), s as (select doc_id, case when starts_with(l, 'in the') then 1.0::double when contains(l, 'in the') then 0.7::double when len(list_intersect(regexp_extract_all(l, '[a-z0-9]+'), ['in', 'the'])) > 0 then 0.4::double end as score from l) select * from s where score is not null order by score desc, doc_id limit 25",
+    "full_lexical_search": "with l as (select doc_id, lower(coalesce(text, '')) as l from documents), s as (select doc_id, case when starts_with(l, 'in the') then 1.0::double when contains(l, 'in the') then 0.7::double when len(list_intersect(regexp_extract_all(l, '[a-z0-9]+'), ['in', 'the'])) > 0 then 0.4::double end as score from l) select * from s where score is not null order by score desc, doc_id limit 25",
     "search_facets": f"with {_TERMS}, h as (select doc_id, sum(tf) as score from tf where term in ('compartment', 'doses') group by 1 order by score desc, doc_id limit 200) select source, count(*) as n from h join documents using (doc_id) group by 1 order by n desc, source nulls first limit 5",
     "vector_topk": "with q as (select embedding::double[] as q from embeddings where vec_id = 3) select vec_id as key, round(list_dot_product(embedding::double[], q), 6) as score from embeddings, q order by 2 desc, 1 limit 10",
     "vector_similar": "with q as (select embedding::double[] as q from embeddings where vec_id = 11) select vec_id as key, round(list_dot_product(embedding::double[], q), 6) as score from embeddings, q order by 2 desc, 1 limit 10",

@@ -1,4 +1,4 @@
-"""Snapshots hold every relation and attribute of a small world."""
+"""Snapshots, neighbours and searches take the whole of a small world."""
 
 import datetime
 from decimal import Decimal
@@ -35,3 +35,10 @@ def test_orders_and_parts_are_neighbours(spark, tmp_path):
     got = {r["id"]: (r["neighbours"], r["least"], r["most"]) for r in fusion_queries.QUERIES["full_neighbour_sets"](spark, str(tmp_path)).collect()}
     assert got["order:8"] == (2, "customer:5", "part:9") and got["part:9"] == (2, "order:8", "supplier:7")
     assert got["customer:5"] == (2, "nation:1", "order:8") and got["supplier:7"] == (2, "nation:1", "part:9")
+
+
+def test_the_whole_text_is_searched(spark, tmp_path):
+    rows = [("d1", "In the beginning"), ("d2", "x" * 80 + " found in the end"), ("d3", "y " * 50 + "the"), ("d4", "none"), ("d5", None)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id string, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["score"]) for r in release_queries.QUERIES["full_lexical_search"](spark, str(tmp_path)).collect()]
+    assert got == [("d1", 1.0), ("d2", 0.7), ("d3", 0.4)]
