@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.labels import local_name
+from graphloom.operators import components
 from graphloom.operators.states import latest_rows
+from graphloom.scratch import write_table
 
 
 def directional(mappings: DataFrame) -> DataFrame:
@@ -50,8 +54,9 @@ def align_sources(a: DataFrame, b: DataFrame) -> DataFrame:
     """(id_a, id_b, pass): each source of b with at most one of a, by equal URI, else by equal digest.
 
     a and b have id, uri, digest and seq. The sources of b choose in the order of seq, each the first free one of a with its
-    uri, or else with its digest; so one choice can move later ones. Choices can depend on each other only through shared URIs
-    and digests of source catalogues, which are small tables: they are folded in one task, after repeated sources are dropped.
+    uri, or else with its digest; so one choice can move later ones. Choices depend on each other only through shared URIs and
+    digests: each connected component of these is folded by itself, after repeated sources are dropped. A task holds its largest
+    component, so a digest that most sources share still brings these together.
     """
     first = lambda x, side: latest_rows(x.where("id is not null"), ["id"], [F.col("seq")]).select(F.lit(side).alias("side"), "id", "uri", "digest", "seq")
 
@@ -62,14 +67,22 @@ def align_sources(a: DataFrame, b: DataFrame) -> DataFrame:
         for r in mine.itertuples():
             for c in index:
                 if getattr(r, c) is not None:
-                    index[c].setdefault(getattr(r, c), []).append(r.id)
+                    index[c].setdefault(getattr(r, c), deque()).append(r.id)
         for r in rows[rows.side == "b"].itertuples():
             for c in index:
-                free = next((x for x in index[c].get(getattr(r, c), ()) if x not in taken), None)
-                if free is not None:
+                queue = index[c].get(getattr(r, c), ())
+                while queue and queue[0] in taken:
+                    queue.popleft()
+                if queue:
+                    free = queue.popleft()
                     taken.add(free)
                     out.append((free, r.id, c))
                     break
         return pd.DataFrame(out, columns=["id_a", "id_b", "pass"])
 
-    return first(a, "a").union(first(b, "b")).groupBy(F.lit(1).alias("all")).applyInPandas(fold, _ALIGNED)
+    rows = write_table(first(a, "a").union(first(b, "b")).where("uri is not null or digest is not null"))
+    key = lambda c: F.concat(F.lit(f"{c}:"), F.col(c))
+    links = rows.where("uri is not null and digest is not null").select(key("uri").alias("a"), key("digest").alias("b")).distinct()
+    roots = components.components(links).select(F.col("id").alias("_key"), F.col("root").alias("_root"))
+    grouped = rows.withColumn("_key", F.coalesce(key("uri"), key("digest"))).join(roots, "_key", "left").withColumn("part", F.coalesce("_root", "_key"))
+    return grouped.groupBy("part").applyInPandas(fold, _ALIGNED)
