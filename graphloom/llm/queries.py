@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import components, encoding, formatting_duplicates, linkage, mixing, survivorship, truncation
 
@@ -28,19 +29,24 @@ def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(found.first_id.alias("first_row_id"), "copies")
 
 
-def _entity_votes(spark: SparkSession, sf_dir: str, half_life_days: float | None) -> DataFrame:
+def _entity_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     trusted = _table(spark, sf_dir, "aligned_source_pairs").where("is_ground_truth").select("canonical_id")
     entities = _table(spark, sf_dir, "canonical_entities")
-    return survivorship.vote(entities, "canonical_id", ENTITY, "record_id", "updated_at", "source_canonical_id", trusted, half_life_days)
+    return entities, survivorship.unpivot(entities, "canonical_id", ENTITY, "record_id", "updated_at", "source_canonical_id", trusted)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    won = _entity_votes(spark, sf_dir, None).where("records >= 2 and record is not null")
-    return won.select(won.group.alias("canonical_id"), "field_name", won.record.alias("record_id"))
+    entities, long = _entity_values(spark, sf_dir)
+    records = survivorship.pivot(survivorship.elect(survivorship.ranked(long)), entities, "canonical_id", ENTITY, "record").where("records >= 2")
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("record_id")) for f in ENTITY])).alias("c")
+    return records.select(F.col("group").alias("canonical_id"), cells).select("canonical_id", "c.*").where("record_id is not null")
 
 
 def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivorship.pivot(_entity_votes(spark, sf_dir, 180.0), ENTITY).withColumnRenamed("group", "canonical_id")
+    entities, long = _entity_values(spark, sf_dir)
+    latest = entities.agg(F.max("updated_at")).first()[0]
+    won = survivorship.elect(survivorship.decaying(long, latest, 180.0), digits=9)
+    return survivorship.pivot(won, entities, "canonical_id", ENTITY).withColumnRenamed("group", "canonical_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
