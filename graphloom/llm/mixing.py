@@ -11,8 +11,10 @@ from pyspark.sql import window as W
 
 from graphloom.scratch import write_table
 
-#: Rows of mix_targets that are handled, all of which the driver and each task hold.
-MAX_TARGETS = 10_000
+#: Targets that are sampled and joined at once; more of them go in further blocks.
+BLOCK_TARGETS = 10_000
+#: Bins of a doubling of document size in which tokens are added up.
+SIZE_BINS = 64
 #: Bins of a ranking's range, and documents of one bin that are ordered one by one.
 BINS, BIN_DOCUMENTS = 4096, 50_000
 
@@ -20,7 +22,7 @@ _PLAN = T.StructType([
     T.StructField("stratum", T.IntegerType()), T.StructField("mix_name", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("target_share", T.DoubleType()), T.StructField("max_repeats", T.LongType()), T.StructField("mix_tokens", T.DoubleType()),
     T.StructField("source_tokens", T.LongType()), T.StructField("wanted", T.DoubleType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.DoubleType()),
-    T.StructField("last_rank", T.DoubleType()), T.StructField("last_id", T.LongType()),
+    T.StructField("odds", T.DoubleType()), T.StructField("last_rank", T.DoubleType()), T.StructField("last_id", T.LongType()),
 ])
 
 
@@ -31,34 +33,61 @@ def plan(targets: DataFrame, sizes: DataFrame) -> list[dict]:
     tokens of all documents of its listed sources. Copies of the whole source are certain, up to
     max_repeats; the rest is less than one copy. Of a mix and source listed twice the first counts,
     in the order of its numbers; rows with a null name or source are left out, null numbers are 0.
+    The targets are control data, a few numbers each, which the driver holds as it holds the report.
     """
-    rows = targets.select("mix_name", "source", "target_share", "max_repeats", "total_factor").where("mix_name is not null and source is not null").limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
+    rows = targets.select("mix_name", "source", "target_share", "max_repeats", "total_factor").where("mix_name is not null and source is not null").collect()
     first: dict[tuple[str, str], tuple] = {}
     for r in sorted(rows, key=lambda r: [x or 0 for x in r[2:]]):
         number = lambda x: float(x) if x is not None and x == x and x > 0 else 0.0
         first.setdefault((r["mix_name"], r["source"]), (number(r["target_share"]), int(r["max_repeats"] or 0), number(r["total_factor"])))
     listed = sizes.sparkSession.createDataFrame([(s,) for s in sorted({s for _, s in first})] or [("",)], "source string")
-    tokens = dict(sizes.join(F.broadcast(listed), "source", "left_semi").groupBy("source").agg(F.sum("tokens")).collect())
+    tokens = dict(sizes.groupBy("source").agg(F.sum("tokens")).join(listed, "source", "left_semi").collect())
     out = []
     for i, ((mix, source), (share, repeats, factor)) in enumerate(sorted(first.items())):
         size = factor * sum(tokens.get(s, 0) for m, s in first if m == mix)
         own, wanted = tokens.get(source, 0), share * size
         whole = min(max(0, repeats), math.floor(wanted / own)) if own else 0
         rest = wanted - whole * own if own and whole < repeats else 0.0
-        out.append({"stratum": i, "mix_name": mix, "source": source, "target_share": share, "max_repeats": repeats, "mix_tokens": size, "source_tokens": own, "wanted": wanted, "whole": whole, "rest": rest, "last_rank": -1.0, "last_id": 0})
+        out.append({"stratum": i, "mix_name": mix, "source": source, "target_share": share, "max_repeats": repeats, "mix_tokens": size, "source_tokens": own, "wanted": wanted, "whole": whole, "rest": rest, "odds": 0.0, "last_rank": -1.0, "last_id": 0})
     return out
 
 
+def set_odds(sizes: DataFrame, strata: list[dict]) -> None:
+    """Sets odds: by how much a document's tokens are multiplied to give its chance of inclusion, 1 at most.
+
+    Chances are in proportion to size, and the tokens expected of them are rest. So the largest documents
+    may be certain: they are taken out, and the others share what is left. The tokens, and the squares of
+    tokens, of documents of about one size are added up; the driver gets SIZE_BINS sums a doubling of size and source.
+    """
+    wanting = {s["source"] for s in strata if s["rest"] > 0}
+    if not wanting:
+        return
+    listed = sizes.sparkSession.createDataFrame([(s,) for s in sorted(wanting)], "source string")
+    at = F.floor(F.log2("tokens") * SIZE_BINS).cast("int").alias("bin")
+    square = F.sum(F.col("tokens").cast("double") * F.col("tokens")).alias("squares")
+    sums = sizes.groupBy("source", at).agg(F.sum("tokens").cast("double").alias("tokens"), square).join(listed, "source", "left_semi")
+    bins: dict[str, list[tuple[int, float, float]]] = {}
+    for r in sums.collect():
+        bins.setdefault(r["source"], []).append((r["bin"], r["tokens"], r["squares"]))
+    for s in strata:
+        if s["rest"] <= 0:
+            continue
+        certain, squares = 0.0, sum(b[2] for b in bins[s["source"]])
+        for _, tokens, own in sorted(bins[s["source"]], reverse=True):
+            s["odds"] = (s["rest"] - certain) / squares
+            if s["odds"] * own / tokens < 1:  # a document of this bin isn't certain, on average
+                break
+            certain, squares = certain + tokens, max(squares - own, 1e-9)
+
+
 def _uniform(seed: int) -> Column:
     """A number in (0, 1) that depends on the mix, the source and the document only."""
     return (F.pmod(F.xxhash64(F.lit(seed), "mix_name", "source", "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
 def _rank(seed: int) -> Column:
-    """Pareto order: a document's random odds over its odds of inclusion, brought into (0, 1)."""
-    u, p = _uniform(seed), F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("rest") / F.col("source_tokens")))
+    """Pareto order: a document's random odds over its odds of inclusion, brought into (0, 1). Certain ones come first."""
+    u, p = _uniform(seed), F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("odds") * F.col("tokens")))
     q = (u / (1 - u)) / (p / (1 - p))
     return q / (1 + q)
 
@@ -110,22 +139,28 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame,
     """(documents, report): how often each mix takes each document, and what each source came to.
 
     sizes has id (long, unique), source and tokens. The whole copies of plan() are certain. For the
-    rest, the documents of a source are put in Pareto order, random odds over odds of inclusion, and
+    rest, documents have chances of inclusion in proportion to their tokens, the largest being certain. The documents of a source
+    are put in Pareto order, random odds over odds of inclusion, and
     taken from the start until the tokens are nearest to what is wanted; so a share is missed
     by half a document, except where max_repeats doesn't allow it. A run gives the same documents at
     any partitioning. Documents without tokens (null and empty texts) or without a source are in no mix.
     documents: mix_name, id, source, tokens, copies. report: a row for each mix and source of
-    targets, also of sources without documents.
+    targets, also of sources without documents. Targets go in blocks of BLOCK_TARGETS.
     """
     sizes = write_table(sizes.select("id", "source", "tokens").where("tokens > 0 and source is not null and id is not null"))
     spark = sizes.sparkSession
     strata = plan(targets, sizes)
-    _cut(sizes, strata, seed)
+    set_odds(sizes, strata)
     taken = (F.col("rank") < F.col("last_rank")) | ((F.col("rank") == F.col("last_rank")) & (F.col("id") <= F.col("last_id")))
     copies = F.col("whole") + F.when((F.col("rest") > 0) & taken, 1).otherwise(0)
-    documents = _ranked(sizes, strata, seed).withColumn("copies", copies).where("copies > 0").select("mix_name", "id", "source", "tokens", "copies")
+    documents = None
+    for at in range(0, max(1, len(strata)), BLOCK_TARGETS):
+        block = [s | {"stratum": i} for i, s in enumerate(strata[at : at + BLOCK_TARGETS])]
+        _cut(sizes, block, seed)
+        part = _ranked(sizes, block, seed).withColumn("copies", copies).where("copies > 0").select("mix_name", "id", "source", "tokens", "copies")
+        documents = part if documents is None else documents.union(part)
     sums = documents.groupBy("mix_name", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    planned = F.broadcast(spark.createDataFrame([tuple(s[f.name] for f in _PLAN) for s in strata], _PLAN))
+    planned = spark.createDataFrame([tuple(s[f.name] for f in _PLAN) for s in strata], _PLAN)
     report = planned.join(sums, ["mix_name", "source"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("long")))
     whole = F.sum("tokens").over(W.Window.partitionBy("mix_name"))  # as many rows as targets
     report = report.select(
