@@ -13,8 +13,8 @@ from graphloom.scratch import drop_table, write_table
 #: The namespaces whose identifiers give the order of a statement's ends a meaning.
 NAMESPACES = ("hgnc", "uniprot", "chembl", "mondo")
 
-#: Partial records that a bucket may hold; about 100 bytes each in a Python worker.
-BUCKET_RECORDS = 200_000
+#: Bytes of partial records that a bucket holds about, in a Python worker.
+BUCKET_BYTES = 32 << 20
 
 
 def statement_key(fields: list[Column], namespaces: tuple[str, ...] = NAMESPACES) -> Column:
@@ -40,31 +40,31 @@ def _keyed(df: DataFrame, fields: list[str], id_column: str) -> DataFrame:
     return df.select(statement_key([F.col(f"`{f}`") for f in fields]).alias("k"), F.col(f"`{id_column}`").cast("long").alias("id")).where("k is not null and id is not null")
 
 
-def collapse(keyed: DataFrame, bucket_records: int = BUCKET_RECORDS) -> DataFrame:
+def collapse(keyed: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(k, n, first) of each statement of keyed (k, id): its canonical bytes, copies and smallest id.
 
     Partial counts leave each map task, so that a statement with a third of all rows arrives as one
     record per task. They are split into buckets by further and further bytes until each bucket
-    holds at most bucket_records, and each bucket is counted in a trie.
+    holds about bucket_bytes, and each bucket is counted in a trie.
     """
-    return radix_count(keyed.select("k", F.lit(1).cast("long").alias("n"), F.col("id").alias("first")), write_table, drop_table, bucket_records)
+    return radix_count(keyed.select("k", F.lit(1).cast("long").alias("n"), F.col("id").alias("first")), write_table, drop_table, bucket_bytes)
 
 
-def copies(df: DataFrame, fields: list[str], id_column: str, bucket_records: int = BUCKET_RECORDS) -> DataFrame:
+def copies(df: DataFrame, fields: list[str], id_column: str, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(first_id, copies) of each statement.
 
     Rows with a null or blank field state nothing and have no record; nor have rows with a null id.
     Rows with one id each count as a copy. An empty table gives an empty result.
     """
-    return collapse(_keyed(df, fields, id_column), bucket_records).select(F.col("first").alias("first_id"), F.col("n").alias("copies"))
+    return collapse(_keyed(df, fields, id_column), bucket_bytes).select(F.col("first").alias("first_id"), F.col("n").alias("copies"))
 
 
-def members(df: DataFrame, fields: list[str], id_column: str, bucket_records: int = BUCKET_RECORDS) -> DataFrame:
+def members(df: DataFrame, fields: list[str], id_column: str, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(id, first_id) of each row whose statement at least two rows hold, with rows left out as in copies().
 
     The canonical bytes are worked out once and written, for they are read for counting and again
     for the join of rows with their statement.
     """
     rows = write_table(_keyed(df, fields, id_column))
-    groups = collapse(rows, bucket_records).where("n > 1")
+    groups = collapse(rows, bucket_bytes).where("n > 1")
     return salted_join(rows, groups, ["k"], "n", F.xxhash64("id")).select("id", F.col("first").alias("first_id"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 #: Rows that a map task holds before it emits their partial counts.
 PARTIAL_ROWS = 400_000
-#: Prefixes that one pass may return to the driver.
-MAX_PREFIXES = 200_000
+#: Bytes by which a pass splits a prefix.
+STEP = 2
+#: Bytes that a record needs in a bucket's arrays besides those of its string.
+RECORD_BYTES = 100
 
 PARTIAL = T.StructType([T.StructField("k", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("first", T.LongType())])
 
@@ -39,49 +40,65 @@ def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from emit(held)
 
 
-def radix_plan(partials: DataFrame, limit: int) -> list[bytes]:
-    """Lower bounds of the buckets, ascending: ranges of prefixes that hold at most limit partial records each.
+def radix_plan(sized: DataFrame, limit: int) -> list[bytes]:
+    """Lower bounds of the buckets, ascending: ranges of prefixes of k whose sizes add up to limit each at most.
 
-    All records start in one bucket. While a prefix holds more than limit of them, it is split by
-    further bytes, in a pass over these records only. A single string is never split: it has one
-    record per map task at most. The driver gets prefixes with counts, MAX_PREFIXES a pass about.
+    sized has k (binary, no zero bytes) and size (long). All strings start in one bucket. While a prefix holds more than
+    half of limit, it is split by the next bytes, in a pass over its strings only; what all strings of the
+    large prefixes have in common is passed over at once. A single string is never split.
+    Next bytes are counted, and small neighbours put together, in tables. The driver gets bounds and large prefixes:
+    about four for each limit of the total, which is what each task needs to find the bucket of a string.
     """
-    spark = partials.sparkSession
-    total = partials.count()
-    if not total:
-        return []
-    leaves: list[tuple[bytes, int]] = []
+    spark = sized.sparkSession
+    bounds: list[bytes] = []
+    half = max(1, limit // 2)
     big, depth = [b""], 0
     while big:
-        step = max(1, min(3, int(math.log(max(64, MAX_PREFIXES / len(big)), 64))))
-        part = partials
+        part = sized
         if depth:
             over = spark.createDataFrame([(bytearray(p),) for p in big], T.StructType([T.StructField("p", T.BinaryType())]))
-            part = part.join(F.broadcast(over), F.substring("k", 1, depth) == F.col("p"), "left_semi")
-        depth += step
-        counts = part.groupBy(F.substring("k", 1, depth).alias("p")).count().collect()
-        big = []
-        for r in counts:
-            p = bytes(r["p"])
-            if r["count"] > limit and len(p) == depth:
-                big.append(p)
-            else:
-                leaves.append((p, r["count"]))
-    bounds, held = [], limit + 1
-    for p, n in sorted(leaves):
-        if held + n > limit:
-            bounds.append(p)
-            held = 0
-        held += n
-    return bounds
+            part = part.join(F.broadcast(over), F.substring("k", 1, depth) == F.col("p"), "left_semi")  # each holds more than half of limit
+            ends = part.groupBy(F.substring("k", 1, depth)).agg(F.min("k").alias("a"), F.max("k").alias("b")).collect()
+            depth = max(depth, min(_common(bytes(r["a"]), bytes(r["b"])) for r in ends))
+        sums = part.groupBy(F.substring("k", 1, depth + STEP).alias("p")).agg(F.sum("size").alias("size"))
+        large = (F.col("size") > half) & (F.length("p") == depth + STEP)
+        row = W.Window.partitionBy(F.substring("p", 1, depth)).orderBy("p")  # at most 256 ** STEP rows
+        run = F.floor((F.sum(F.when(large, 0).otherwise(F.col("size"))).over(row) - 1) / half)
+        marked = sums.withColumns({"large": large, "run": run})
+        first = F.col("large") | F.coalesce(F.lag("large").over(row) | (F.lag("run").over(row) < F.col("run")), F.lit(True))
+        found = marked.withColumn("first", first).where("first").select("p", "large").collect()
+        big = [bytes(r["p"]) for r in found if r["large"]]
+        bounds += [bytes(r["p"]) for r in found if not r["large"]]
+        depth += STEP
+    return sorted(bounds)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _fixed(strings: pa.Array, width: int) -> np.ndarray:
+    """The first width bytes of each string, in numpy's order of bytes."""
+    heads = pc.binary_slice(strings.cast(pa.binary()), 0, width)
+    offsets = np.frombuffer(heads.buffers()[1], np.int32)[heads.offset : heads.offset + len(heads) + 1].astype(np.int64)
+    data = np.frombuffer(heads.buffers()[2] or b"", np.uint8)
+    at = np.arange(width)
+    inside = at < np.diff(offsets)[:, None]
+    out = np.zeros((len(heads), width), np.uint8)
+    out[inside] = data[(offsets[:-1, None] + at)[inside]]
+    return np.ascontiguousarray(out).view(f"S{width}").ravel()
+
+
+def places(strings: pa.Array, bounds: list[bytes]) -> np.ndarray:
+    """The number of the bucket whose range holds each string."""
+    width = max(1, max(map(len, bounds)))
+    return np.maximum(0, np.searchsorted(np.array(bounds, f"S{width}"), _fixed(strings, width), "right") - 1)
 
 
 def assign(batches: Iterator[pa.RecordBatch], bounds: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Adds the number of the bucket whose range holds k."""
-    width = max(map(len, bounds))
     for b in batches:
-        heads = pc.binary_slice(b["k"], 0, width) if hasattr(pc, "binary_slice") else b["k"]
-        at = pa.array([bisect.bisect_right(bounds, h) - 1 for h in heads.to_pylist()], pa.int32())
+        at = pa.array(places(b["k"], bounds).astype(np.int32))
         yield pa.RecordBatch.from_arrays([*b.columns, at], names=[*b.schema.names, "bucket"])
 
 
@@ -140,9 +157,9 @@ def count_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def radix_count(keyed: DataFrame, write, drop, limit: int) -> DataFrame:
-    """(k, n, first) of each distinct k of keyed (k binary, n long, first long)."""
+    """(k, n, first) of each distinct k of keyed (k binary, n long, first long), in buckets of about limit bytes."""
     partials = write(keyed.mapInArrow(partial_counts, PARTIAL))
-    bounds = radix_plan(partials, limit)
+    bounds = radix_plan(partials.select("k", (F.length("k") + RECORD_BYTES).cast("long").alias("size")), limit)
     if not bounds:
         return partials
     placed = partials.mapInArrow(lambda it: assign(it, bounds), T.StructType([*PARTIAL.fields, T.StructField("bucket", T.IntegerType())]))

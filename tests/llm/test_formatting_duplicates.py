@@ -25,7 +25,7 @@ def brute(rows):
     return {(i, min(g)) for g in groups.values() if len(g) > 1 for i in g}
 
 
-def run(spark, rows, limit=fd.BUCKET_RECORDS):
+def run(spark, rows, limit=fd.BUCKET_BYTES):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     return {tuple(r) for r in fd.members(df, FIELDS, "row_id", limit).collect()}
 
@@ -52,7 +52,7 @@ def test_many_buckets_and_a_hot_statement(spark):
     rng = random.Random(5)
     rows = [(i, "HGNC:7", "encodes", rng.choice(["UniProt:Z9", "uniprot.z9"])) for i in range(3000)]
     rows += [(i, f"HGNC:{rng.randrange(900)}", rng.choice(["binds", "Binds!"]), f"ChEMBL:{rng.randrange(4)}") for i in range(3000, 9000)]
-    assert run(spark, rows, limit=100) == brute(rows) == run(spark, rows)
+    assert run(spark, rows, limit=10_000) == brute(rows) == run(spark, rows)
 
 
 def test_empty_table_and_other_columns(spark):
@@ -82,12 +82,25 @@ def test_trie_counts_like_a_dictionary(words):
 
 def test_plan_splits_until_each_bucket_fits(spark):
     keys = [f"{i % 7}{'x' * 20}{i}" for i in range(2000)]
-    partials = spark.createDataFrame([(bytearray(k.encode()), 1, i) for i, k in enumerate(keys)], radix.PARTIAL)
-    bounds = radix.radix_plan(partials, 50)
+    sized = spark.createDataFrame([(bytearray(k.encode()), 1) for k in keys], "k binary, size long")
+    bounds = radix.radix_plan(sized, 50)
     import bisect
 
+    import pyarrow as pa
+
+    assert radix.places(pa.array([k.encode() for k in keys], pa.binary()), bounds).tolist() == [max(0, bisect.bisect_right(bounds, k.encode()) - 1) for k in keys]
+
     sizes = {}
     for k in keys:
         at = bisect.bisect_right(bounds, k.encode()) - 1
         sizes[at] = sizes.get(at, 0) + 1
     assert min(sizes) >= 0 and max(sizes.values()) <= 50
+
+
+def test_plan_returns_few_prefixes_and_splits_by_bytes_held(spark):
+    rng = random.Random(3)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5000)] + ["q" * 300] * 3
+    sized = spark.createDataFrame([(bytearray(k.encode()), len(k)) for k in keys], "k binary, size long")
+    bounds = radix.radix_plan(sized, 2000)
+    assert len(bounds) <= 5 * (sum(map(len, keys)) // 2000 + 1)
+    assert radix.radix_plan(sized.limit(0), 2000) == []
