@@ -8,38 +8,37 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from graphloom.llm.encoding import chunks
+from graphloom.llm.radix import places, radix_plan
 from graphloom.operators.skew import mark_members, salted_join
 from graphloom.scratch import drop_table, write_table
 
 _CLOSERS = "\"'”’»)]"
+_STOPS = ".!?。\n"
 _TOKEN = regex.compile(r"\d+(?:[.,:\-]\d+)*|\p{L}[\p{L}\p{M}\p{N}]*(?:['’\-_:][\p{L}\p{N}]+)*|\n|[^\w\s]|\w")
 #: A trace of a cut: dots or a broken character behind the text.
 _TRACE = regex.compile(r"(?:[\s…�]|\.{3,}|\[(?=[\s…�]*(?:\.{3,}[\s…�]*)?$))+$")
 _TRACED = regex.compile(r"[…�]|\.{3}")
 _ENDED = regex.compile(r"[.!?。][\"'”’»)\]]*(?:\s*[^\w\s.]+)*$")
-#: Text behind which a full stop proves little: a number or an abbreviation.
-_OPEN_STOP = regex.compile(r"(?:\d|\b(?:approx|fig|no|vs|ca|al|[a-z]\.[a-z]|z\.B|bzw|env|aprox|p\.ej))\.$", regex.IGNORECASE)
 _JSON = regex.compile(r'"(?:[^"\\]|\\.)*+("?)|[\[\]{}]')
 
-#: Occurrences per document that make a word stand by itself in a context, by the context's level from fine to coarse.
-LEVELS = (0.004, 0.03, 0.3)
-#: The orders of contexts: (level, tokens), the first that is frequent enough decides.
-ORDERS = ((0, 5), (1, 8), (2, 8), (0, 4), (0, 3), (0, 2), (0, 1))
-#: Occurrences elsewhere that make a context frequent enough.
-SEEN = 4
-#: A context that ends a sentence more rarely is a cut.
+#: Occurrences per document that make a word's own ends count; those of rarer words are taken by form.
+OWN_SHARE, OWN_LEAST = 0.004, 4
+#: Occurrences per document from which a last word is known, whatever goes on from it.
+KNOWN_SHARE, KNOWN_LEAST = 0.0002, 2
+#: A last word that ends a sentence, line or text more rarely is followed by something.
 ENDS = 0.05
+#: At a field limit, a last word that ends a sentence, line or text so often may be the true end.
+ENDS_AT_LIMIT = 0.5
 #: Share of the documents of a source, and least number, that a field limit cuts.
 LIMIT_SHARE, LIMIT_LEAST = 0.002, 5
-#: Bits of the filter of contexts that are asked for.
-MAX_BITS = 1 << 27
+#: Bytes of vocabulary that one trie holds.
+TRIE_BYTES = 4 << 20
 
 
 def _core(text: str) -> tuple[str, bool]:
@@ -66,43 +65,69 @@ def _state(core: str, traced: bool, text: str) -> str:
         return "broken" if _unclosed(text) else "whole"
     if traced:
         return "traced"
-    if not _ENDED.search(core):
-        return "open"
-    return "doubtful" if _OPEN_STOP.search(core) else "whole"
+    return "whole" if _ENDED.search(core) else "open"
 
 
-_READ = "kind string, word string, n long, id {id}, source string, chars long, bytes long, state string, tail array<string>"
+_READ = "kind string, word string, n long, ends long, id {id}, source string, chars long, bytes long, state string, start boolean"
+
+
+def _ends(tokens: list[str]) -> Iterator[str]:
+    """The tokens that end a sentence, a line or the text, closing quotes and brackets behind them left out."""
+    after = True
+    for t in reversed(tokens):
+        if t in _STOPS:
+            after = True
+        elif not (after and t in _CLOSERS):
+            if after:
+                yield t
+            after = False
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their numbers in a part of the texts, an open end left out, and a row for each text that isn't whole."""
-    for batch in batches:
+    """Of a part of the texts: words with their numbers and ends, an open end left out; sources with their numbers; a row for each text that isn't whole.
+
+    All numbers are one word, "0". A row's word is the text's last token, and start whether that begins a sentence; "^" stands for all words that do.
+    """
+    for batch in (b for whole in batches for b, _ in chunks(whole)):
         words: Counter[str] = Counter()
-        out: dict[str, list] = {c: [] for c in ("i", "source", "chars", "bytes", "state", "tail")}
+        ends: Counter[str] = Counter()
+        out: dict[str, list] = {c: [] for c in ("i", "word", "source", "chars", "bytes", "state", "start")}
+        sources = Counter(batch["source"].to_pylist())
         for i, (text, source) in enumerate(zip(batch["text"].to_pylist(), batch["source"].to_pylist())):
             core, traced = _core(text)
             if not core:
                 continue
             state = _state(core, traced, text)
-            tokens = _TOKEN.findall(core)
-            words.update(tokens if state in ("whole", "doubtful") else tokens[:-1])
-            if state != "whole":
-                plain = [t for t in tokens[-24:] if t != "\n"]
-                while plain and (plain[-1] in _CLOSERS or (state == "doubtful" and plain[-1] in ".!?。")):
-                    plain.pop()
-                for c, v in zip(out, (i, source, len(text), len(text.encode()), state, plain[-8:])):
-                    out[c].append(v)
-        n, w = len(out["i"]), [(k, v) for k, v in words.items() if k[0].isalpha()]
-        m = len(w)
-        nulls = lambda kind, k: pa.nulls(k, kind)
-        both = lambda a, b: pa.concat_arrays([a, b])
+            tokens = ["0" if t[0].isdigit() else t for t in _TOKEN.findall(core)]
+            starts = sum(1 for a, b in zip(tokens, tokens[1:]) if a in _STOPS[:-1] and b not in _STOPS)
+            if state == "whole":
+                words.update(tokens)
+                words["^"] += starts
+                ends.update(_ends(tokens))
+                ends["^"] += sum(1 for a, b, c in zip(tokens, tokens[1:], tokens[2:]) if a in _STOPS[:-1] and c in _STOPS and b not in _STOPS)
+                continue
+            words.update(tokens[:-1])
+            words["^"] += starts
+            cut = max((k for k, t in enumerate(tokens) if t in _STOPS), default=-1)
+            ends.update(_ends(tokens[: cut + 1]))
+            plain = [t for t in tokens[-24:] if t != "\n"]
+            while plain and plain[-1] in _CLOSERS:
+                plain.pop()
+            start = len(plain) > 1 and plain[-2] in _STOPS[:-1]
+            for c, v in zip(out, (i, plain[-1] if plain else None, source, len(text), len(text.encode()), state, start)):
+                out[c].append(v)
+        rows = [("w", w, n, ends[w], None) for w, n in words.items() if w != "\n"] + [("s", None, n, None, s) for s, n in sources.items()]
+        kinds, names, ns, es, of = zip(*rows) if rows else ((),) * 5
+        m, n = len(rows), len(out["i"])
+        both = lambda a, b, kind: pa.concat_arrays([pa.array(a, kind), pa.array(b, kind)])
+        pad, long = [None] * m, pa.int64()
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(["w"] * m + ["d"] * n), both(pa.array([k for k, _ in w], pa.string()), nulls(pa.string(), n)), both(pa.array([v for _, v in w], pa.int64()), nulls(pa.int64(), n)),
-                both(nulls(batch["id"].type, m), batch["id"].take(pa.array(out["i"], pa.int64()))),
-                *(both(nulls(kind, m), pa.array(out[c], kind)) for c, kind in (("source", pa.string()), ("chars", pa.int64()), ("bytes", pa.int64()), ("state", pa.string()), ("tail", pa.list_(pa.string())))),
+                both(kinds, ["d"] * n, pa.string()), both(names, out["word"], pa.string()), both(ns, [None] * n, long), both(es, [None] * n, long),
+                pa.concat_arrays([pa.nulls(m, batch["id"].type), batch["id"].take(pa.array(out["i"], long))]), both(of, out["source"], pa.string()),
+                both(pad, out["chars"], long), both(pad, out["bytes"], long), both(pad, out["state"], pa.string()), both(pad, out["start"], pa.bool_()),
             ],
-            names=["kind", "word", "n", "id", "source", "chars", "bytes", "state", "tail"],
+            names=["kind", "word", "n", "ends", "id", "source", "chars", "bytes", "state", "start"],
         )
 
 
@@ -125,34 +150,44 @@ class WordTrie:
         return bool(at)
 
 
+_PLACED = "bucket int, word string, asked boolean, sure boolean"
+
+
+def _place(batches: Iterator[pa.RecordBatch], bounds: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Adds the bucket of each word. Where the next bucket begins with an asked word, the vocabulary is sure to go on from it."""
+    for b in batches:
+        at = places(pa.array([w.encode() for w in b["word"].to_pylist()], pa.binary()), bounds)
+        nexts = [bounds[k + 1] if k + 1 < len(bounds) else b"" for k in at.tolist()]
+        sure = [a and n != w.encode() and n.startswith(w.encode()) for a, w, n in zip(b["asked"].to_pylist(), b["word"].to_pylist(), nexts)]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b["word"], b["asked"], pa.array(sure, pa.bool_())], names=["bucket", "word", "asked", "sure"])
+
+
 def _proper_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = list(batches)
     if not held:
         return
     t = pa.Table.from_batches(held)
-    asked = t["asked"].to_numpy(zero_copy_only=False)
-    words = np.array(t["word"].to_pylist(), object)
-    trie = WordTrie(words[~asked].tolist())
-    yield pa.RecordBatch.from_arrays([pa.array([w for w in words[asked].tolist() if trie.goes_on(w)], pa.string())], names=["word"])
+    asked, sure = t["asked"].to_numpy(zero_copy_only=False), t["sure"].to_pylist()
+    words = t["word"].to_pylist()
+    trie = WordTrie([w for w, a in zip(words, asked) if not a])
+    yield pa.RecordBatch.from_arrays([pa.array([w for w, a, s in zip(words, asked, sure) if a and (s or trie.goes_on(w))], pa.string())], names=["word"])
 
 
-def fragments(lasts: DataFrame, words: DataFrame, known: int) -> DataFrame:
-    """The words of lasts (word) that are unknown and go on to a known word: found fewer than known times as whole words.
+def fragments(asked: DataFrame, words: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
+    """The words of asked (word) from which a word of the vocabulary goes on: words (word, n) with n of 2 or more.
 
-    words (word, n) are spread by their first letters over tries of the vocabulary, each of which
-    answers for the last words with these letters. Last words that are shorter are looked up among
-    the beginnings of their length.
+    The vocabulary is spread by its bytes over radix buckets of trie_bytes at most, each of which has a
+    trie and answers for the asked words whose place is in it. The words that go on from a word are its successors in
+    the order of bytes, so they begin in its own bucket or with the bound of the next.
     """
-    head = 3
-    asked = lasts.distinct().join(words.where(F.col("n") >= known).select("word"), "word", "left_anti")
     vocabulary = words.where("n >= 2").select("word")
-    short = [asked.where(F.length("word") == k).join(vocabulary.where(F.length("word") > k).select(F.substring("word", 1, k).alias("word")).distinct(), "word", "left_semi") for k in range(1, head)]
-    long = asked.where(F.length("word") >= head).select("word", F.lit(True).alias("asked"))
-    both = long.union(vocabulary.where(F.length("word") > head).select("word", F.lit(False).alias("asked")))
-    found = both.repartition(F.substring("word", 1, head)).mapInArrow(_proper_prefixes, "word string")
-    for s in short:
-        found = found.union(s)
-    return found
+    sized = vocabulary.select(F.encode("word", "UTF-8").alias("k"), (F.octet_length("word") + 30).cast("long").alias("size"))
+    bounds = radix_plan(sized, trie_bytes)
+    if not bounds:
+        return asked.select("word").limit(0)
+    both = asked.select("word", F.lit(True).alias("asked")).union(vocabulary.select("word", F.lit(False).alias("asked")))
+    placed = both.mapInArrow(lambda it: _place(it, bounds), _PLACED)
+    return placed.repartitionById(len(bounds), F.col("bucket")).select("word", "asked", "sure").mapInArrow(_proper_prefixes, "word string")
 
 
 def field_limits(ends: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -167,7 +202,7 @@ def field_limits(ends: DataFrame, sizes: DataFrame) -> DataFrame:
     counts = counts.withColumn("beside", F.sum("n").over(near) - F.col("n"))
     best = W.Window.partitionBy("source", "length").orderBy(F.desc("n"), F.desc("unit"))
     least = F.greatest(F.lit(LIMIT_LEAST), F.col("documents") * LIMIT_SHARE)
-    found = counts.join(F.broadcast(sizes), "source").where((F.col("n") >= least) & (F.col("broken") >= 3) & (F.col("broken") >= 0.25 * F.col("n")) & (F.col("n") >= F.col("beside")))
+    found = counts.join(sizes, "source").where((F.col("n") >= least) & (F.col("broken") >= 3) & (F.col("broken") >= 0.25 * F.col("n")) & (F.col("n") >= F.col("beside")))
     return found.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(_limit_key(F.col("source"), F.col("unit"), F.col("length")).alias("limit"))
 
 
@@ -175,122 +210,15 @@ def _limit_key(source: Column, unit: Column, length: Column) -> Column:
     return F.concat_ws("\x1f", F.coalesce(source, F.lit("")), unit, length.cast("string"))
 
 
-class Classes:
-    """Numbers of words in contexts: frequent words by themselves, others by their form."""
-
-    def __init__(self, levels: list[list[str]]):
-        self.levels = [set(words) for words in levels]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of(self, word: str) -> tuple[int, ...]:
-        """By level, and last by itself."""
-        got = self.known.get(word)
-        if got is None:
-            own = xxhash.xxh3_64_intdigest(word)
-            if word[0].isdigit():
-                form = 1
-            elif not word[0].isalpha():
-                form = own
-            elif any(c.isdigit() for c in word):
-                form = 2
-            elif word.isupper() and len(word) > 1:
-                form = 3
-            else:
-                form = 4 if word[0].isupper() else 5
-            got = (*(own if word in level else form for level in self.levels), own)
-            if len(self.known) > 500_000:
-                self.known.clear()
-            self.known[word] = got
-        return got
-
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def contexts(codes: np.ndarray, start: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order, and last for the word by itself: positions whose text has tokens enough, and hashes of what ends there."""
-    out, at = [], np.arange(len(codes))
-    with np.errstate(over="ignore"):
-        for k, (level, n) in enumerate(ORDERS):
-            seq = codes[:, level]
-            pos = at[at - start >= n - 1]
-            h = np.full(len(pos), np.uint64(k + 1))
-            for i in range(n):
-                h = (h ^ seq[pos - i]) * _MIX
-                h ^= h >> np.uint64(29)
-            out.append((pos, h))
-        out.append((at, (codes[:, -1] ^ np.uint64(77)) * _MIX))
-    return out
-
-
-def _ask(classes: Classes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = []
-            for tail in b["tail"].to_pylist():
-                if not tail:
-                    hashes.append([])
-                    continue
-                codes = np.array([classes.of(t) for t in tail], np.uint64)
-                last = len(tail) - 1
-                got = contexts(codes, np.zeros(len(tail), np.int64))
-                hashes.append([int(h[-1].view(np.int64)) if len(p) and p[-1] == last else None for p, h in got])
-            cols = [b[c] for c in b.schema.names if c != "tail"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(hashes, pa.list_(pa.int64()))], names=[*(c for c in b.schema.names if c != "tail"), "hashes"])
-
-    return run
-
-
-def _answer(classes: Classes, bits: np.ndarray):
-    """Counts of the contexts that the filter lets through: all, those at an end of a sentence or line, those at the end of the text."""
-    mask = np.uint64(len(bits) * 64 - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in (part for b in batches for part in chunks(b)):
-            lists = [_TOKEN.findall(_core(t)[0]) for t in texts]
-            flat = [t for x in lists for t in x]
-            if not flat:
-                continue
-            length = np.fromiter(map(len, lists), np.int64, len(lists))
-            doc_start = np.repeat(np.cumsum(length) - length, length)
-            doc_end = np.repeat(np.cumsum(length), length)
-            n = len(flat)
-            kind = np.fromiter((0 if t[0].isalnum() else 1 if t in _CLOSERS else 2 if t in ".!?。\n" else 0 for t in flat), np.int8, n)
-            nxt = np.arange(1, n + 1)
-            for _ in range(3):
-                inside = nxt < doc_end
-                step = inside & (kind[np.minimum(nxt, n - 1)] == 1)
-                nxt = nxt + step
-            at_end = nxt >= doc_end
-            final = at_end | (kind[np.minimum(nxt, n - 1)] == 2)
-            line = np.fromiter((t == "\n" for t in flat), bool, n)
-            kept = np.flatnonzero(~line)
-            codes = np.array([classes.of(flat[i]) for i in kept.tolist()], np.uint64).reshape(-1, len(LEVELS) + 1)
-            before = np.cumsum(~line) - (~line)
-            start = before[doc_start[kept]]
-            hs, fs, es = [], [], []
-            for pos, h in contexts(codes, start):
-                slot = (h ^ (h >> np.uint64(31))) & mask
-                asked = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                src = kept[pos[asked]]
-                hs.append(h[asked]), fs.append(final[src]), es.append(at_end[src])
-            h, f, e = np.concatenate(hs), np.concatenate(fs), np.concatenate(es)
-            key, inv = np.unique(h, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(inv)), pa.array(np.bincount(inv, f).astype(np.int64)), pa.array(np.bincount(inv, e).astype(np.int64))], names=["h", "n", "final", "at_end"])
-
-    return run
-
-
-def _filter_bits(hashes: DataFrame) -> np.ndarray:
-    """A filter of the hashes: at most MAX_BITS bits, set in the tasks and united by word. It lets others through, but misses none."""
-    distinct = hashes.agg(F.approx_count_distinct("h")).first()[0]
-    size = 1 << max(16, min(MAX_BITS.bit_length() - 1, int(distinct * 16).bit_length()))
-    slot = F.col("h").bitwiseXOR(F.shiftrightunsigned("h", 31)).bitwiseAND(F.lit(size - 1))
-    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
-    rows = hashes.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(size // 64, np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
+def _form(word: Column) -> Column:
+    """The kind of a token, for words too rare to count by themselves; punctuation, and "^", is a kind of its own each."""
+    return (
+        F.when(~word.rlike(r"^[\p{L}\p{M}\p{N}]") | (word == "0"), word)
+        .when(word.rlike(r"\p{N}"), "mixed")
+        .when(word.rlike(r"^\p{Ll}$"), "letter")
+        .when(word.rlike(r"^[^\p{Ll}]{2,}$"), "upper")
+        .otherwise(F.when(word.rlike(r"^\p{Lu}"), "capital").otherwise("lower"))
+    )
 
 
 def cut_texts(df: DataFrame, id_column: str, text: str, source: str) -> DataFrame:
@@ -298,68 +226,62 @@ def cut_texts(df: DataFrame, id_column: str, text: str, source: str) -> DataFram
 
     A text that a full stop or the like ends, or a JSON text that closes, is whole. Of the others,
     these are cut: texts with a trace of it (dots or a broken character behind them), JSON texts
-    that end open, texts whose last word is no known word but the beginning of one, open texts as
-    long as a field limit of their source, and texts whose last words end sentences, lines or
-    texts elsewhere in the corpus in less than a twentieth of the cases. Field limits are lengths with
-    unusually many open ends, a quarter of them within a word; there, a text is whole only if its last
-    words end texts elsewhere, its last word too, and that is more than a letter.
-
-    The vocabulary, the frequent words and the contexts come from all texts. Two passes over the
-    texts count in the map tasks; only counts and last words are shuffled. The driver holds the frequent
-    words (a few thousand, since each makes up a fixed share of the corpus) and a filter of MAX_BITS at most.
+    that end open, texts whose last word is no known word but the beginning of one (by the tries of fragments()), open texts as
+    long as a field limit of their source, unless their last word mostly ends something, and texts whose last word
+    ends a sentence, a line or a text in less than a twentieth of its cases in the corpus, and texts hardly more often than
+    texts cut anywhere would. Words too rare to tell are taken by their form, and words that begin a sentence together. Field limits are lengths with
+    unusually many open ends, a quarter of them within a word.
+
+    One pass over all texts counts words in the map tasks; what is shuffled are counts, and a row for each text that isn't whole. The driver gets
+    the numbers of some forms and the bounds of the tries.
     Null and blank texts are no cases, nor are rows with a null id. A null source is a source of its own.
     """
     pick = lambda c: F.col(f"`{c}`")
     docs = df.select(pick(id_column).alias("id"), pick(text).cast("string").alias("text"), pick(source).cast("string").alias("source")).where("id is not null and text is not null")
-    spark = df.sparkSession
     read = write_table(docs.mapInArrow(_read, _READ.format(id=docs.schema["id"].dataType.simpleString())))
-    per_source = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("documents"))
-    n = max(1, docs.count())
-    words = write_table(read.where("kind = 'w'").groupBy("word").agg(F.sum("n").alias("n")))
-    frequent = words.where(F.col("n") >= max(4, LEVELS[0] * n)).collect()
-    classes = Classes([[r["word"] for r in frequent if r["n"] >= share * n] for share in LEVELS])
-
-    ends = read.where("kind = 'd'").select("id", "source", "chars", "bytes", "state", F.try_element_at("tail", F.lit(-1)).alias("last"), "tail")
-    ends = write_table(ends.mapInArrow(_ask(classes), T.StructType([*[f for f in ends.schema.fields if f.name != "tail"], T.StructField("hashes", T.ArrayType(T.LongType()))])))
-    is_word = F.col("last").rlike(r"^[\p{L}][\p{L}'’\-]*$") & F.col("state").isin("open", "traced")
-    broken = write_table(fragments(ends.where(is_word).select(F.col("last").alias("word")), words, max(2, int(0.0002 * n))))
-    ends = mark_members(ends.withColumn("asked_word", F.when(is_word, F.col("last"))), "asked_word", broken, "fragment").drop("asked_word")
-    ends = write_table(ends)
-    limits = write_table(field_limits(ends.where("state = 'open'"), per_source))
+    sizes = read.where("kind = 's'").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum("n").alias("documents"))
+    n = sizes.agg(F.sum("documents")).first()[0] or 1
+    words = write_table(read.where("kind = 'w'").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+    found = read.where("kind = 'd'").select("id", "source", "chars", "bytes", "state", "start", F.coalesce("word", F.lit("")).alias("word"))
+
+    lasts = write_table(found.where("state = 'open'").groupBy("word").agg(F.count(F.lit(1)).alias("texts")).join(words, "word", "left").na.fill(0, ["n", "ends"]))
+    unknown = lasts.where(F.col("n") < max(KNOWN_LEAST, int(KNOWN_SHARE * n))).where(F.col("word").rlike(r"^\p{L}[\p{L}'’\-]*$"))
+    broken = fragments(unknown, words).distinct().withColumn("fragment", F.lit(True))
+    lasts = write_table(lasts.join(broken, "word", "left").na.fill(False, ["fragment"]))
+    ends = write_table(salted_join(found.where("state = 'open'"), lasts.select("word", "texts", "fragment"), ["word"], "texts", F.xxhash64("id")))
+    limits = write_table(field_limits(ends, sizes))
     ends = mark_members(ends.withColumn("key_c", _limit_key(F.col("source"), F.lit("chars"), F.col("chars"))), "key_c", limits, "at_chars")
     ends = mark_members(ends.withColumn("key_b", _limit_key(F.col("source"), F.lit("bytes"), F.col("bytes"))), "key_b", limits, "at_bytes")
-    strong = F.col("state").isin("broken", "traced") | F.col("fragment") | ((F.col("state") == "open") & (F.col("at_chars") | F.col("at_bytes")))
-    flat = ends.select("id", "state", "last", "fragment", (F.col("at_chars") | F.col("at_bytes")).alias("at_limit"), strong.alias("strong"), F.posexplode("hashes").alias("o", "h")).where("h is not null")
-    flat = write_table(flat)
-
-    bits = spark.sparkContext.broadcast(_filter_bits(flat.select("h")))
-    counts = docs.select("text").mapInArrow(lambda it: _answer(classes, bits.value)(it), "h long, n long, final long, at_end long")
-    counts = counts.groupBy("h").agg(F.sum("n").alias("n"), F.sum("final").alias("final"), F.sum("at_end").alias("at_end"))
-    own = flat.groupBy("h").agg(F.count(F.lit(1)).alias("asked"), F.sum((F.col("strong") & (F.col("state") != "doubtful")).cast("int")).alias("cut"))
-    stats = write_table(counts.join(own, "h"))
-    drop_table(read)
-    seen = salted_join(flat, stats, ["h"], "asked", F.xxhash64("id"))
-    # what is cut itself proves no end, nor does a text prove its own
-    less = F.col("cut") + F.when(F.col("strong") | (F.col("state") == "doubtful"), 0).otherwise(1)
-    doubtful = F.when(F.col("state") == "doubtful", 1).otherwise(0)
-    total, final, at_end = F.col("n") - less - doubtful, F.col("final") - less - doubtful, F.col("at_end") - less
-    rated = seen.withColumns({"total": total, "ending": final, "closing": at_end})
-    usable = (F.col("o") < len(ORDERS)) & (F.col("total") >= SEEN)
-    rated = rated.groupBy("id", "state", "last", "fragment", "at_limit").agg(
-        F.min_by(F.struct("o", "total", (F.col("ending") / F.when(F.col("total") > 0, F.col("total"))).alias("ends"), (F.col("closing") / F.when(F.col("total") > 0, F.col("total"))).alias("closes")), F.when(usable, F.col("o"))).alias("c"),
-        F.max(F.when(F.col("o") == len(ORDERS), F.col("ending"))).alias("word_ends"),
-    )
-    ends_, closes = F.coalesce("c.ends", F.lit(0.0)), F.coalesce("c.closes", F.lit(0.0))
-    letter = F.col("last").rlike(r"^\p{L}$")
-    whole_at_limit = ~letter & (closes >= 0.5) & (F.coalesce("word_ends", F.lit(0)) >= 2)
-    verdict = (
-        F.when(F.col("state") == "doubtful", F.col("at_limit") & (ends_ < 0.02) & (F.coalesce("c.total", F.lit(0)) >= 20) & (F.col("c.o") == 0))
-        .when(F.col("fragment"), True)
-        .when(F.col("at_limit"), ~whole_at_limit)
-        .otherwise(ends_ < ENDS)
-    )
-    plain = ends.where("state in ('broken', 'traced')").select("id")
-    return rated.where("state in ('open', 'doubtful')").where(verdict).select("id").union(plain).distinct()
+    ends = write_table(ends.select("id", "word", "start", "fragment", (F.col("at_chars") | F.col("at_bytes")).alias("at_limit")))
+
+    # what is cut for other reasons proves no end of a word, and a text doesn't prove its own
+    closing = ends.where("not fragment and not at_limit").groupBy(F.when(F.col("start"), "^").otherwise(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("closing"))
+    counted = write_table(lasts.select("word", "texts", "n", "ends").union(words.where("word = '^'").select("word", F.lit(0).cast("long").alias("texts"), "n", "ends")).join(closing, "word", "left").na.fill(0, ["closing"]))
+    drop_table(lasts)
+    form, key = _form(F.col("word")), F.col("word")
+    sums = words.groupBy(form.alias("form")).agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).join(counted.groupBy(form.alias("form")).agg(F.sum("closing").alias("closing")), "form")
+    forms = sums.where(F.col("form").isin("mixed", "letter", "upper", "capital", "lower", "^")).collect()
+    total = words.where("word <> '^'").agg(F.sum("n")).first()[0] or 1
+    chance = (counted.agg(F.sum("closing")).first()[0] or 0) / total
+    drop_table(words)
+
+    def rate(ending: Column, closing: Column, of: Column) -> Column:
+        """How often the word ends something, where texts cut anywhere don't explain its ends of texts; else how often it ends what is whole."""
+        return F.when(closing > 2 * chance * of + 2, (ending + closing) / (of + closing) + ENDS).otherwise((ending + closing) / F.greatest(of + closing, F.lit(1)))
+
+    others = F.greatest(F.col("closing") - 1, F.lit(0))
+    of_form = F.lit(0.0)
+    by_form = {r["form"]: rate(F.lit(r["ends"]), F.lit(r["closing"]), F.lit(r["n"])) for r in forms}
+    for kind, value in by_form.items():
+        of_form = F.when(form == kind, value).otherwise(of_form)
+    rare = (F.col("n") + F.col("closing") < max(OWN_LEAST, OWN_SHARE * n)) & form.isin("mixed", "letter", "upper", "capital", "lower")
+    letter = key.rlike(r"^\p{Ll}$")  # cut words of one letter are too many for its ends of texts to say anything
+    rated = write_table(counted.where("texts > 0").select("word", "texts", F.when(letter, F.col("ends") / F.greatest(F.col("n"), F.lit(1))).when(rare, of_form).otherwise(rate(F.col("ends"), others, F.col("n"))).alias("rate"), (F.col("ends") + others).alias("others")))
+    seen = salted_join(ends, rated, ["word"], "texts", F.xxhash64("id"))
+    may_end = ~key.rlike(r"^\p{L}$") & (F.col("rate") >= ENDS_AT_LIMIT) & (F.col("others") >= 2)
+    began = F.when(F.col("start"), by_form.get("^", F.lit(0.0))).otherwise(F.col("rate"))
+    verdict = F.when(F.col("fragment"), True).when(F.col("at_limit"), ~may_end).otherwise(began < ENDS)
+    return seen.where(verdict).select("id").union(found.where("state in ('broken', 'traced')").select("id")).distinct()
 
 
 def rates(df: DataFrame, cut: DataFrame, id_column: str, text: str, source: str) -> DataFrame:

@@ -60,3 +60,26 @@ def test_empty_table_and_clashing_columns(spark):
 def test_word_trie():
     trie = tr.WordTrie(["renal", "render", "re"])
     assert trie.goes_on("re") and trie.goes_on("ren") and not trie.goes_on("renal") and not trie.goes_on("x")
+
+
+def test_fragments_by_brute_force(spark):
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(900)})
+    asked = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(300)})
+    vocabulary = spark.createDataFrame([(w, 2 + i % 3) for i, w in enumerate(words)] + [("dddx", 1)], "word string, n long")
+    want = {a for a in asked if any(w.startswith(a) and w != a for w in words)}
+    for size in (1 << 20, 2000, 200):
+        assert {r["word"] for r in tr.fragments(spark.createDataFrame([(a,) for a in asked], "word string"), vocabulary, size).collect()} == want
+    assert tr.fragments(spark.createDataFrame([("a",)], "word string"), vocabulary.limit(0)).collect() == []
+
+
+def test_ends_of_sentences_lines_and_texts():
+    assert sorted(tr._ends(["Seen", "(", "twice", ")", ".", "Then", "a", "b", "\n", "c"])) == ["b", "c", "twice"]
+    assert list(tr._ends([])) == []
+
+
+def test_last_words_that_often_end_texts_are_no_cuts(spark):
+    rows = corpus(random.Random(8), 400)
+    rows += [(5000 + i, f"A survey of marker {i} in samples", "titles") for i in range(60)]
+    rows += [(7000 + i, t, "notes") for i, t in enumerate(["Two curators reviewed the", "Levels of", "The renal assay was repeated with"])]
+    assert found(spark, rows) == {7000, 7001, 7002}
