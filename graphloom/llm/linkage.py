@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.skew import salted_join, spread_join
 from graphloom.scratch import drop_table, write_table
 
-#: Words of protein names that say what a protein does, with their abbreviations.
-ROLE_WORDS = (
-    "adaptor", "binding", "channel", "containing", "domain", "factor", "kinase", "ligase", "like", "phosphatase", "protein", "receptor", "releasing", "subunit", "synthase", "transporter",
-)
-ABBREVIATIONS = {"prot": "protein", "rcpt": "receptor", "su": "subunit", "fct": "factor", "bp": "binding", "transp": "transporter", "dom": "domain"}
-#: Words that say nothing about which protein it is.
-EMPTY_WORDS = ("member", "isoform", "fragment", "precursor", "putative", "uncharacterized", "human", "recombinant", "rdna", "origin", "alfa", "withdrawn", "novel", "transcript", "and", "the", "of")
-#: What marks a molecule that acts on the protein it names.
-ACTS_ON = r"\b(anti|inhibitor|antagonist|agonist|antibody|antisense|blocker|modulator|binder)\b"
+#: Records with one rarest word and number whose symbols agree more rarely than this share aren't named by that word.
+NAMING = 0.1
+#: A word that another record of the same thing lacks more often than this share is no part of its name.
+SHARED = 0.5
 
 _GREEK = ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa")
 _ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
@@ -33,15 +31,57 @@ def _lookup(words: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
 
 
-def name_parts(name: Column) -> Column:
-    """struct(stem, role, member) of a protein's name in any word order: the family's own word, what it does, its number in the family."""
-    words = F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.coalesce(F.try_element_at(_lookup(ABBREVIATIONS), w), w))
-    roles, empty, numbers = F.array(*map(F.lit, ROLE_WORDS)), F.array(*map(F.lit, EMPTY_WORDS)), _lookup(_members())
+def name_words(name: Column) -> Column:
+    """struct(words, member) of a name in any word order: its words, sorted, and the first number among them, which says which of a family it is."""
+    words = F.regexp_extract_all(F.lower(name), F.lit(r"[\p{L}\p{M}]+|\p{N}+"), F.lit(0))
+    numbers = _lookup(_members())
     member = F.try_element_at(F.filter(F.transform(words, lambda w: F.try_element_at(numbers, w)), lambda x: x.isNotNull()), F.lit(1))
-    rest = F.filter(words, lambda w: ~F.array_contains(roles, w) & ~F.array_contains(empty, w) & F.try_element_at(numbers, w).isNull() & (F.length(w) >= 4))
-    longest = F.array_max(F.transform(rest, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
-    role = F.nullif(F.array_join(F.array_sort(F.array_distinct(F.filter(words, lambda w: F.array_contains(roles, w)))), " "), F.lit(""))
-    return F.struct(longest.alias("stem"), F.when(longest.isNotNull(), role).alias("role"), F.when(longest.isNotNull(), member).alias("member"))
+    rest = F.array_sort(F.array_distinct(F.filter(words, lambda w: F.try_element_at(numbers, w).isNull())))
+    return F.struct(F.coalesce(rest, F.array().cast("array<string>")).alias("words"), member.alias("member"))
+
+
+def name_parts(profiles: DataFrame) -> DataFrame:
+    """profiles with stem and role in place of words, as the corpus has it: the most telling word of a name, rare and long, and its other words. A word
+    that tells most in other names too comes first.
+
+    Profiles with the same stem and member are taken to describe one thing. A word that most others of these
+    lack is an abbreviation, or says something of the record only (recombinant, fragment), and is left out. A name whose
+    stem profiles with all kinds of symbols share (uncharacterized) is no name, nor is one of several words
+    that no other profile has any of. All numbers come from aggregations over all profiles; the list of words is
+    joined, not broadcast, with the frequent ones salted.
+    """
+    n = profiles.count() + 1
+    each = profiles.select("profile", "member", F.explode("words").alias("word"))
+    counted = write_table(each.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    rated = write_table(salted_join(each, counted, ["word"], "df", F.xxhash64("profile")))
+    telling_by = [(-F.length("word") * F.log(n / F.col("df"))).alias("less"), F.col("word")]
+    rarest = F.min(F.struct(*telling_by))["word"]
+    first = rated.groupBy("profile").agg(rarest.alias("rarest"), F.first("member").alias("member"), F.collect_list("word").alias("words"))
+    same = [F.col("rarest"), F.coalesce("member", F.lit(0)).alias("m")]
+    sets = write_table(first.select(*same, "words"))
+    held = sets.groupBy("rarest", "m").agg(F.count(F.lit(1)).alias("held"))
+    within = sets.select("rarest", "m", F.explode("words").alias("word")).groupBy("rarest", "m", "word").agg(F.count(F.lit(1)).alias("having"))
+    pairs = within.join(held, ["rarest", "m"]).where("held > 1 and word <> rarest")
+    shared = pairs.groupBy("word").agg(F.sum(F.col("having") * (F.col("having") - 1)).alias("both"), F.sum(F.col("having") * (F.col("held") - 1)).alias("asked"))
+    empty = shared.where((F.col("asked") >= 2) & (F.col("both") < SHARED * F.col("asked"))).select("word", F.lit(True).alias("empty"))
+    stems = first.groupBy(F.col("rarest").alias("word")).agg((F.count(F.lit(1)) < 2).alias("alone"))
+    kept = write_table(counted.join(empty, "word", "left").where("empty is null").join(stems, "word", "left").select("word", "df", F.coalesce("alone", F.lit(True)).alias("alone")))
+    whole = salted_join(each, kept, ["word"], "df", F.xxhash64("profile"))
+    parts = whole.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("alone", *telling_by))).alias("w"), F.max("df").alias("most")).where("most > 1 or size(w) = 1")
+    parts = parts.select("profile", F.col("w")[0]["word"].alias("stem"), F.when(F.size("w") > 1, F.array_sort(F.transform(F.slice("w", 2, 1000000), lambda x: x["word"]))).alias("role"))
+    parted = write_table(profiles.drop("words").join(parts.hint("merge"), "profile", "left"))
+    brief = F.coalesce("entry", short_form(F.col("own")), "own").alias("brief")
+    of = parted.where("stem is not null").select("stem", F.coalesce("member", F.lit(0)).alias("m"), brief).where("brief is not null").groupBy("stem", "m", "brief").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    groups = of.groupBy("stem", "m").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same"))
+    stems = groups.groupBy("stem").agg(F.sum("same").alias("same"), F.sum(F.col("n") * (F.col("n") - 1)).alias("all"))
+    weights = parted.where("stem is not null").groupBy("stem").agg(F.count(F.lit(1)).alias("held"))
+    no_names = write_table(stems.where((F.col("all") >= 12) & (F.col("same") < NAMING * F.col("all"))).join(weights, "stem").select("stem", "held"))
+    unnamed = salted_join(parted.select("profile", "stem"), no_names, ["stem"], "held", F.xxhash64("profile")).select("profile", F.lit(True).alias("unnamed"))
+    out = parted.join(unnamed.hint("merge"), "profile", "left")
+    out = write_table(out.withColumns({c: F.when(F.col("unnamed").isNull(), F.col(c)) for c in ("stem", "role")}).drop("unnamed"))
+    for t in (counted, rated, sets, kept, parted, no_names):
+        drop_table(t)
+    return out
 
 
 def symbol(c: Column) -> Column:
@@ -60,7 +100,7 @@ def record(key: Column, src: str, species: Column, own: Column | None, aliases:
     return [
         key.cast("string").alias("key"), F.lit(src).alias("src"), species.alias("species"),
         (F.lit(None) if own is None else own).cast("string").alias("own"), (F.array().cast(strings) if aliases is None else F.coalesce(aliases, F.array().cast(strings))).alias("aliases"),
-        (F.lit(None) if entry is None else entry).cast("string").alias("entry"), name_parts(name).alias("n"),
+        (F.lit(None) if entry is None else entry).cast("string").alias("entry"), name_words(name).alias("n"),
     ]
 
 
@@ -84,13 +124,18 @@ def _keys(p: str = "") -> Column:
     by_symbol = F.transform(tokens, lambda t: tag("S:", t))
     by_entry = F.filter(F.concat(F.transform(tokens, lambda t: tag("M:", t)), F.transform(tokens, lambda t: tag("M:", short_form(t))), F.array(tag("M:", entry))), lambda t: t.isNotNull())
     left_out = F.when(stem.isNotNull() & member.isNotNull(), F.transform(F.sequence(F.lit(0), F.length(stem)), lambda i: F.concat(F.lit("N:"), member.cast("string"), F.lit(":"), F.when(i == 0, stem).otherwise(F.concat(stem.substr(F.lit(1), i - 1), stem.substr(i + 1, F.length(stem)))))))
-    part = F.concat(member.cast("string"), F.lit(":"), role, F.lit(":"))
+    part = F.concat(member.cast("string"), F.lit(":"), F.array_join(role, " "), F.lit(":"))
     ends = F.filter(F.array(F.concat(F.lit("P:"), part, F.substring(stem, 1, 4)), F.concat(F.lit("Q:"), part, F.substring(stem, -8, 8))), lambda t: t.isNotNull())
     return F.array_distinct(F.concat(by_symbol, by_entry, F.coalesce(left_out, F.array().cast("array<string>")), ends))
 
 
+def _abbreviates(short: Column, word: Column) -> Column:
+    """Whether short is word with letters left out behind the first."""
+    return (F.length(short) < F.length(word)) & (F.substring(short, 1, 1) == F.substring(word, 1, 1)) & F.regexp_like(word, F.concat(F.lit("^"), F.regexp_replace(short, r"(.)", r"$1.*")))
+
+
 #: Levels of agreement by attribute; level 0, a value missing, says nothing.
-LEVELS = {"symbol": 5, "stem": 5, "role": 3, "member": 3}
+LEVELS = {"symbol": 5, "name": 6, "role": 3}
 
 
 def agreement() -> list[Column]:
@@ -106,45 +151,99 @@ def agreement() -> list[Column]:
     letters = lambda x: F.array_sort(F.split(x("stem"), ""))
     distance = F.levenshtein(a("stem"), b("stem"))
     near = (distance <= 1) | ((distance == 2) & (F.length(a("stem")) == F.length(b("stem"))) & (letters(a) == letters(b)))
-    stem = F.when(a("stem").isNull() | b("stem").isNull(), 0).when(a("stem") == b("stem"), 4).when(near, 3).when((distance <= 4) & (distance * 3 <= F.length(a("stem"))), 2).otherwise(1)
-    same = lambda c: F.when(a(c).isNull() | b(c).isNull(), 0).when(a(c) == b(c), 2).otherwise(1)
-    return [sym.alias("symbol"), stem.alias("stem"), same("role").alias("role"), same("member").alias("member")]
+    # two mistakes: four changes only where letters have swapped places
+    twice = (distance <= 2) | ((distance <= 4) & (F.levenshtein(F.array_join(letters(a), ""), F.array_join(letters(b), "")) <= 1))
+    stem = F.when(a("stem").isNull() | b("stem").isNull(), 0).when(a("stem") == b("stem"), 4).when(near, 3).when(twice & (distance * 3 <= F.length(a("stem"))), 2).otherwise(1)
+    fewer = F.least(F.size(a("role")), F.size(b("role")))
+    both = F.size(F.array_intersect(a("role"), b("role")))
+    found = lambda x, y: F.size(F.filter(x("role"), lambda v: F.exists(y("role"), lambda w: (v == w) | _abbreviates(v, w) | _abbreviates(w, v))))
+    role = F.when(a("role").isNull() | b("role").isNull(), 0).when(both == fewer, 2).when((found(a, b) >= fewer) | (found(b, a) >= fewer), 2).otherwise(1)
+    # whether names with one stem are of one member depends on each other, so both are one attribute
+    name = F.when(stem <= 1, stem).when(a("member").isNull() | b("member").isNull(), 0).when(a("member") == b("member"), stem + 1).otherwise(2)
+    return [sym.alias("symbol"), name.alias("name"), role.alias("role")]
+
 
+class Model:
+    """What expectation-maximisation found: the share of matches, and of each attribute how often matches (m) and others (u) have each level."""
 
-def estimate(counts: dict[tuple[int, ...], int], rounds: int = 200) -> dict[tuple[int, ...], float]:
-    """The probability of a match for each pattern of agreement, by expectation-maximisation over the patterns' counts.
+    def __init__(self, prior: float, m: list[np.ndarray], u: list[np.ndarray]):
+        self.prior, self.m, self.u = prior, m, u
+
+    def ratio(self, pattern: tuple[int, ...]) -> float:
+        """The logarithm of how much likelier the pattern is among matches; a missing value says nothing."""
+        return float(sum(np.log(self.m[k][level]) - np.log(self.u[k][level]) for k, level in enumerate(pattern) if level))
+
+    def posterior(self, pattern: tuple[int, ...]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(np.log(self.prior) - np.log1p(-self.prior) + self.ratio(pattern), -500, 500))))
+
+
+def estimate(counts: dict[tuple[int, ...], float], others: dict[tuple[int, ...], float] | None = None, rounds: int = 200) -> Model:
+    """Expectation-maximisation over the counts of patterns of agreement of the compared pairs, and of others, which are no matches.
 
     Attributes are taken as independent among matches and among others; a missing value counts
-    for neither. The start is that matches agree, better levels more often, and that others don't. It
-    keeps the weight of a few pairs, so that levels which few pairs have stay what they are.
+    for neither. The start is that matches agree, better levels more often, and others are as all pairs are. A
+    few pairs keep the weight of the start, so that levels which few pairs have stay what they are.
     """
-    if not counts:
-        return {}
-    patterns = np.array(list(counts), np.int64)
-    weight = np.array(list(counts.values()), float)
     sizes = list(LEVELS.values())
+    others = others or {}
+    patterns = np.array([*counts, *others] or [(0,) * len(sizes)], np.int64)
+    weight = np.array([*counts.values(), *others.values()] or [1.0], float)
+    all_pairs = max(1e-9, weight.sum())
+    open_ = np.arange(len(patterns)) < len(counts)
     m0 = [np.array([0.02, *np.arange(1.0, k - 1)]) for k in sizes]
-    u0 = [np.array([0.94, *np.full(k - 2, 0.06 / (k - 2))]) for k in sizes]
     m0 = [x / x.sum() for x in m0]
+    u0 = [np.array([0.94, *np.full(k - 2, 0.06 / (k - 2))]) for k in sizes]
     m, u = ([np.array([1.0, *x]) for x in start] for start in (m0, u0))
-    prior = 0.5
-    few = 3 + 0.002 * weight.sum()
-
-    def posterior() -> np.ndarray:
+    for k, size in enumerate(sizes):
+        level = np.bincount(patterns[:, k], weight, size)[1:] + 0.5 * u0[k]
+        u[k] = np.array([1.0, *(level / level.sum())])
+    agreeing = open_ & ((patterns >= np.array(sizes) - 1).sum(axis=1) >= 2) & ~(patterns == 1).any(axis=1)
+    prior = float(np.clip((weight * agreeing).sum() / all_pairs, 1e-15, 0.5))
+    for _ in range(rounds):
         log = np.full(len(patterns), np.log(prior) - np.log1p(-prior))
         for k in range(len(sizes)):
             seen = patterns[:, k] > 0
             log[seen] += np.log(m[k][patterns[seen, k]]) - np.log(u[k][patterns[seen, k]])
-        return 1 / (1 + np.exp(-np.clip(log, -500, 500)))
-
-    for _ in range(rounds):
-        p = posterior()
-        prior = min(1 - 1e-6, max(1e-6, float((p * weight).sum() / weight.sum())))
+        p = np.where(open_, 1 / (1 + np.exp(-np.clip(log, -500, 500))), 0.0)
+        matches = float((p * weight).sum())
+        prior = float(np.clip(matches / all_pairs, 1e-15, 1 - 1e-6))
+        few = 3 + 0.002 * matches
         for k, size in enumerate(sizes):
-            for probs, start, share in ((m, m0, p * weight), (u, u0, (1 - p) * weight)):
-                level = np.bincount(patterns[:, k], share, size)[1:] + few * start[k]
+            for probs, start, share, keep in ((m, m0, p * weight, few), (u, u0, (1 - p) * weight, 0.5)):
+                level = np.bincount(patterns[:, k], share, size)[1:] + keep * start[k]
                 probs[k] = np.array([1.0, *(level / level.sum())])
-    return dict(zip(counts, posterior().tolist()))
+    return Model(prior, m, u)
+
+
+def _cross(profiles: DataFrame, value: Column, blank: Column) -> tuple[float, float, float]:
+    """Of all pairs of profiles of one species and two tables: how many there are, have the value both, and agree in it; from counts alone."""
+    counts = profiles.groupBy("species", "src", value.alias("v"), blank.alias("blank")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = (F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2
+    total = counts.groupBy("species", "src").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("blank"), F.col("n")).otherwise(0.0)).alias("k")).groupBy("species").agg(pairs.alias("p"), ((F.pow(F.sum("k"), F.lit(2)) - F.sum(F.col("k") * F.col("k"))) / 2).alias("q")).agg(F.sum("p"), F.sum("q")).first()
+    alike = counts.where("not blank").groupBy("species", "v").agg(pairs.alias("p")).agg(F.sum("p")).first()
+    return total[0] or 0.0, total[1] or 0.0, alike[0] or 0.0
+
+
+def other_patterns(profiles: DataFrame, compared: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], float]:
+    """Counts of patterns among the pairs of two tables that weren't compared: what has no block in common disagrees.
+
+    How many pairs lack a value, or agree in role, comes from counts of the values, the attributes being taken as independent. Pairs
+    with one stem but different members are members of a family, and are counted by themselves.
+    """
+    has = F.coalesce("own", "entry").isNotNull()
+    total, both, _ = _cross(profiles, F.lit(0), ~has)
+    _, stems, _ = _cross(profiles, F.lit(0), F.col("stem").isNull())
+    _, roles, same_role = _cross(profiles, F.array_join("role", " "), F.col("role").isNull())
+    named = F.col("stem").isNull() | F.col("member").isNull()
+    families, numbered = _cross(profiles, F.col("stem"), named)[2], _cross(profiles, F.concat_ws(" ", "stem", F.col("member").cast("string")), named)[2]
+    out = {(1, 2, 2): max(0.0, families - numbered)}
+    left = max(0.0, total - sum(compared.values()) - sum(out.values()))
+    if total:
+        for s, ps in ((0, 1 - both / total), (1, both / total)):
+            for n, pn in ((0, 1 - stems / total), (1, stems / total)):
+                for r, pr in ((0, 1 - roles / total), (1, (roles - same_role) / total), (2, same_role / total)):
+                    out[s, n, r] = out.get((s, n, r), 0.0) + left * ps * pn * pr
+    return out
 
 
 def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -153,58 +252,65 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     records are as record() makes them. Equal ones are one profile, whatever the number of copies;
     profiles meet in several passes of blocking by symbol, alias, entry name and name, the last with
     any one letter left out and by either end, so that a letter too many, too few, exchanged or
-    swapped with its neighbour doesn't matter. The patterns of agreement of all pairs are counted, expectation-maximisation gives
-    each pattern its probability of being a match, and this is the confidence. Names of other families or
-    other members exclude a match, whatever else agrees; so does agreement in neither symbol nor name. What a record of a third
-    table links is linked too, with the product of the confidences, unless the two contradict each other; where they do, a link
-    without a common name is dropped if the other has one.
+    swapped with its neighbour doesn't matter. A block that many profiles share is spread over tasks by its pairs, and all
+    of them are compared. The patterns of agreement are counted, and those of pairs
+    that don't meet are added as no matches (other_patterns); expectation-maximisation gives
+    each pattern its probability of being a match, and this is the confidence. Records that a third one of another table links are
+    linked too, if the product of the confidences, with the evidence of their own pattern, is still at the threshold.
     Records with a null key or species are in no pair; a pair of keys is given once, with key_a < key_b.
     """
     spark = records.sparkSession
-    flat = unambiguous(records.where("key is not null and species is not null")).select("key", "src", "species", "own", F.sort_array("aliases").alias("aliases"), "entry", "n.stem", "n.role", "n.member")
-    attributes = ["src", "species", "own", "aliases", "entry", "stem", "role", "member"]
+    flat = unambiguous(records.where("key is not null and species is not null")).select("key", "src", "species", "own", F.sort_array("aliases").alias("aliases"), "entry", "n.words", "n.member")
+    attributes = ["src", "species", "own", "aliases", "entry", "words", "member"]
     flat = write_table(flat.withColumn("profile", F.unhex(F.md5(F.to_json(F.struct(*attributes))))).distinct())
-    profiles = write_table(flat.select("profile", *attributes).dropDuplicates(["profile"]))
+    profiles = name_parts(write_table(flat.select("profile", *attributes).dropDuplicates(["profile"])))
+    attributes = ["src", "species", "own", "aliases", "entry", "stem", "role", "member"]
     # equal hashes of different keys only make a pair to compare
     blocked = profiles.select("profile", "src", F.explode(F.array_distinct(F.transform(_keys(), lambda k: F.xxhash64("species", k)))).alias("block"))
-    on = (F.col("x.block") == F.col("y.block")) & (F.col("x.src") < F.col("y.src"))
-    pairs = blocked.alias("x").join(blocked.alias("y"), on).select(F.col("x.profile").alias("pa"), F.col("y.profile").alias("pb")).distinct()
-    side = lambda name: profiles.select(F.col("profile").alias(f"p{name}"), F.struct("profile", *attributes).alias(name))
+    shared = blocked.groupBy("block").agg(F.min("src").alias("a"), F.max("src").alias("b")).where("a <> b").select("block")
+    blocked = write_table(blocked.join(shared.hint("merge"), "block"))
+    met = spread_join(blocked.toDF("block", "pa", "sa"), blocked.toDF("block", "pb", "sb"), "block")
+    pairs = met.where("sa < sb").select("pa", "pb").distinct()
+    side = lambda name: profiles.select(F.col("profile").alias(f"p{name}"), F.struct("profile", *attributes).alias(name)).hint("merge")
     pairs = pairs.join(side("a"), "pa").join(side("b"), "pb").where("a.species = b.species")
     compared = write_table(pairs.select("pa", "pb", F.col("a.src").alias("sa"), F.col("b.src").alias("sb"), *agreement()))
+    drop_table(blocked)
     counts = {tuple(r[k] for k in LEVELS): r["count"] for r in compared.groupBy(*LEVELS).count().collect()}
-    found = estimate(counts)
-    rated = spark.createDataFrame([(*k, p) for k, p in found.items()] or [(0, 0, 0, 0, 0.0)], ", ".join(f"{k} int" for k in LEVELS) + ", confidence double")
-    links = write_table(compared.join(F.broadcast(rated), list(LEVELS)).where(F.col("confidence") >= threshold).where("stem <> 1 and member <> 1 and (symbol > 1 or stem > 1)").select("pa", "pb", "sa", "sb", "confidence", "symbol", "stem"))
+    model = estimate(counts, other_patterns(profiles, counts))
+    rows = [(*k, model.posterior(k), model.ratio(k)) for k in itertools.product(*(range(n) for n in LEVELS.values()))]
+    rated = F.broadcast(spark.createDataFrame(rows, ", ".join(f"{k} int" for k in LEVELS) + ", confidence double, ratio double"))  # every pattern there is
+    links = write_table(compared.join(rated, list(LEVELS)).where(F.col("confidence") >= threshold).select("pa", "pb", "sa", "sb", "confidence"))
     drop_table(compared)
 
-    by_name, hop = F.col("stem") > 1, F.struct("pa", "pb", "symbol").alias("hop")
-    there = links.select(F.col("pa").alias("mid"), F.col("pb").alias("end"), F.col("sb").alias("src"), "confidence", by_name.alias("by_name"), hop)
-    back = links.select(F.col("pb").alias("mid"), F.col("pa").alias("end"), F.col("sa").alias("src"), "confidence", by_name.alias("by_name"), hop)
-    hops = there.union(back)
-    two = hops.alias("x").join(hops.alias("y"), (F.col("x.mid") == F.col("y.mid")) & (F.col("x.src") < F.col("y.src")))
-    two = two.select(F.col("x.end").alias("pa"), F.col("y.end").alias("pb"), (F.col("x.confidence") * F.col("y.confidence")).alias("confidence"), F.col("x.by_name").alias("nx"), F.col("y.by_name").alias("ny"), F.col("x.hop").alias("hx"), F.col("y.hop").alias("hy"))
-    triangles = write_table(two.join(side("a"), "pa").join(side("b"), "pb").select("pa", "pb", "confidence", "nx", "ny", "hx", "hy", *agreement()))
-    # ends with other symbols and no common name contradict each other: a link by entry name alone then yields to one by name
-    against = triangles.where("symbol = 1 and stem = 0 and nx <> ny").select(F.when(F.col("nx"), F.col("hy")).otherwise(F.col("hx")).alias("hop"))
-    wrong = write_table(against.where("hop.symbol = 3").select("hop.pa", "hop.pb", "hop.symbol").distinct())
-    links = links.join(wrong.select("pa", "pb"), ["pa", "pb"], "left_anti")
-    agreed = triangles.where("stem <> 1 and role <> 1 and member <> 1")
-    doubtful = "symbol = 1 and stem = 0 and ((hx.symbol = 3 and not nx) or (hy.symbol = 3 and not ny))"
-    agreed = agreed.where(f"not ({doubtful})")
-    for h in ("hx", "hy"):
-        agreed = agreed.join(wrong.select(F.struct("pa", "pb", "symbol").alias(h)), h, "left_anti")
-    all_links = links.select("pa", "pb", "confidence").union(agreed.select("pa", "pb", "confidence"))
+    there = links.select(F.col("pa").alias("mid"), F.col("pb").alias("end"), F.col("sb").alias("src"), "confidence")
+    back = links.select(F.col("pb").alias("mid"), F.col("pa").alias("end"), F.col("sa").alias("src"), "confidence")
+    hops = write_table(there.union(back))
+    two = spread_join(hops.toDF("mid", "pa", "sa", "ca"), hops.toDF("mid", "pb", "sb", "cb"), "mid").where("sa < sb")
+    two = two.groupBy("pa", "pb").agg(F.max(F.col("ca") * F.col("cb")).alias("through"))
+    two = two.join(side("a"), "pa").join(side("b"), "pb").select("pa", "pb", "through", *agreement()).join(rated.drop("confidence"), list(LEVELS))
+    odds = F.col("through") / F.greatest(1 - F.col("through"), F.lit(1e-9)) * F.exp("ratio")
+    two = two.select("pa", "pb", (odds / (1 + odds)).alias("confidence")).where(F.col("confidence") >= threshold)
+    all_links = links.select("pa", "pb", "confidence").union(two)
     members = flat.select("profile", "key")
-    keyed = all_links.join(members.select(F.col("profile").alias("pa"), F.col("key").alias("ka")), "pa").join(members.select(F.col("profile").alias("pb"), F.col("key").alias("kb")), "pb")
+    keyed = all_links.join(members.select(F.col("profile").alias("pa"), F.col("key").alias("ka")).hint("merge"), "pa").join(members.select(F.col("profile").alias("pb"), F.col("key").alias("kb")).hint("merge"), "pb")
     return keyed.groupBy(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).agg(F.max("confidence").alias("confidence"))
 
 
+def acting(molecules: DataFrame) -> DataFrame:
+    """The words (word) that molecules which aren't proteins have in their names, and proteins hardly ever: what acts on a protein is named so.
+
+    Learned from all molecules (type, name) whose type is known.
+    """
+    words = molecules.where("type is not null and name is not null").select((F.lower("type") == "protein").alias("is"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))).alias("word"))
+    rates = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is").cast("int")).alias("proteins"))
+    return rates.where((F.col("proteins") + 0.5) / (F.col("n") + 1) < 0.2).select("word")
+
+
 def gene_records(hgnc: DataFrame, ensembl: DataFrame, uniprot: DataFrame, chembl: DataFrame) -> DataFrame:
     """The records of the four gene and protein tables in one form.
 
-    A protein stands for its gene. A molecule counts if its type is protein, or missing with a name like a protein's,
-    and nothing in its name says that it acts on the protein; it is human.
+    A protein stands for its gene. A molecule counts if its type is protein, or missing, and no word of its name is one that other
+    types have and proteins don't (acting()), as that of a molecule which acts on the protein; it is human.
     """
     docs = hgnc.select(F.explode("response.docs").alias("d"))
     aliases = F.filter(F.transform("d.alias_symbol", symbol), lambda t: t.isNotNull())
@@ -215,6 +321,10 @@ def gene_records(hgnc: DataFrame, ensembl: DataFrame, uniprot: DataFrame, chembl
     taxon = F.col("organism.taxonId")
     of_taxon = F.when(taxon == 9606, "human").when(taxon == 10090, "mouse").when(taxon == 10116, "rat")
     u = uniprot.select(*record(F.col("primaryAccession"), "uniprot", F.coalesce(of_taxon, F.nullif(tail, F.lit(""))), None, None, F.when(entry != F.upper("primaryAccession"), symbol(entry)), F.col("proteinDescription.recommendedName.fullName.value")))
-    is_protein = (F.coalesce(F.lower("molecule_type"), F.lit("protein")) == "protein") & ~F.lower("pref_name").rlike(ACTS_ON)
-    c = chembl.where(is_protein).select(*record(F.col("molecule_chembl_id"), "chembl", F.lit("human"), None, None, None, F.col("pref_name"))).where("n.stem is not null and n.role is not null")
+    named = chembl.select(F.col("molecule_chembl_id").alias("key"), F.col("molecule_type").alias("type"), F.col("pref_name").alias("name"))
+    maybe = named.where(F.coalesce(F.lower("type"), F.lit("protein")) == "protein")
+    said = maybe.select("key", F.explode(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word"))
+    acts = said.join(acting(named).hint("merge"), "word").select("key").distinct()
+    proteins = maybe.join(acts.hint("merge"), "key", "left_anti")
+    c = proteins.select(*record(F.col("key"), "chembl", F.lit("human"), None, None, None, F.col("name")))
     return h.union(e).union(u).union(c)

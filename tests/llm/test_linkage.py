@@ -55,17 +55,46 @@ def test_confidence_is_a_probability(spark):
 
 
 def test_estimate_separates_matches_from_chance():
-    counts = {(4, 4, 2, 2): 900, (1, 1, 1, 2): 500, (1, 1, 2, 1): 700, (3, 0, 0, 0): 100, (0, 4, 2, 2): 300, (2, 1, 1, 1): 20}
-    p = lk.estimate(counts)
-    assert p[4, 4, 2, 2] > 0.99 and p[0, 4, 2, 2] > 0.9 and p[3, 0, 0, 0] > 0.5
-    assert p[1, 1, 1, 2] < 0.05 and p[1, 1, 2, 1] < 0.05
-    assert lk.estimate({}) == {}
+    counts = {(4, 5, 2): 900, (1, 1, 1): 500, (1, 1, 2): 700, (3, 0, 0): 100, (0, 5, 2): 300, (2, 1, 1): 20}
+    others = {(1, 2, 2): 4000.0, (1, 1, 1): 1e6, (1, 1, 2): 1e5, (1, 0, 0): 1e5, (0, 1, 1): 1e5}
+    model = lk.estimate(counts, others)
+    assert model.posterior((4, 5, 2)) > 0.99 and model.posterior((0, 5, 2)) > 0.9 and model.posterior((3, 0, 0)) > 0.5
+    for nothing_agrees in ((1, 1, 2), (1, 0, 0), (1, 2, 2), (0, 0, 0), (1, 0, 2)):
+        assert model.posterior(nothing_agrees) < 0.05
+    assert lk.estimate({}).posterior((4, 5, 2)) <= 1
 
 
-@pytest.mark.parametrize(("name", "parts"), [("adaptor protein VI, dozazo", ("dozazo", "adaptor protein", 6)), ("ζ-Dozazo adaptor prot.", ("dozazo", "adaptor protein", 6)), ("DOZAZO (ADAPTOR PROTEIN) F ALFA", ("dozazo", "adaptor protein", 6)), ("Uncharacterized protein", (None, None, None)), ("", (None, None, None)), (None, (None, None, None))])
-def test_names_in_any_form(spark, name, parts):
-    df = spark.createDataFrame([(name,)], "n string").select(lk.name_parts(F.col("n")).alias("x"))
-    assert tuple(df.select("x.*").first()) == parts
+@pytest.mark.parametrize(("name", "words", "member"), [("adaptor protein VI, dozazo", ["adaptor", "dozazo", "protein"], 6), ("ζ-Dozazo adaptor prot.", ["adaptor", "dozazo", "prot"], 6), ("DOZAZO (ADAPTOR PROTEIN) F ALFA", ["adaptor", "alfa", "dozazo", "protein"], 6), ("the ox", ["ox", "the"], None), ("", [], None), (None, [], None)])
+def test_names_in_any_order(spark, name, words, member):
+    df = spark.createDataFrame([(name,)], "n string").select(lk.name_words(F.col("n")).alias("x"))
+    assert tuple(df.select("x.*").first()) == (words, member)
+
+
+def test_parts_of_names_are_learned(spark):
+    rows = [(f"{f}{m}{v}", f"{'QRSTVWXZ'[f]}BCD{m}", None, ["kinase", name, *extra], m) for f, name in enumerate(("zalomomedase", "hunavalumylin", "kovivozenin", "dugunapetropin")) for m in (1, 2, 3) for v, extra in enumerate(([], [], ["fragment"]))]
+    rows += [(f"u{i}", f"X{'BCDFGHJK'[i]}YZ{i}", None, ["uncharacterized"], None) for i in range(8)]
+    profiles = spark.createDataFrame([(bytearray(k.encode()), own, e, w, m) for k, own, e, w, m in rows], "profile binary, own string, entry string, words array<string>, member int")
+    got = {bytes(r["profile"]).decode(): (r["stem"], r["role"]) for r in lk.name_parts(profiles).collect()}
+    assert got["112"] == ("hunavalumylin", ["kinase"]) == got["111"] and got["u3"] == (None, None) and len(got) == len(rows)
+
+
+def test_what_acts_on_a_protein_is_learned(spark):
+    rows = [("Protein", f"recombinant X{i} kinase") for i in range(20)] + [("Antibody", f"anti-X{i} kinase antibody") for i in range(9)] + [(None, "anti-X3 kinase"), ("Protein", None)]
+    assert {r["word"] for r in lk.acting(spark.createDataFrame(rows, "type string, name string")).collect()} == {"anti", "antibody"}
+
+
+def test_hot_block_is_spread_and_kept_whole(spark):
+    n = 100_000
+    h = spark.range(n).select(*lk.record(F.concat(F.lit("H"), "id"), "hgnc", F.lit("human"), F.lit("HOT1"), F.array(F.concat(F.lit("A"), "id")), None, F.lit(None).cast("string")))
+    e = spark.range(1).select(*lk.record(F.lit("E1"), "ensembl", F.lit("human"), F.lit("HOT1"), None, None, F.lit(None).cast("string")))
+    assert lk.link(h.union(e), threshold=0.0).count() == n
+
+
+def test_blocking_loses_no_link_of_the_cross_product(spark):
+    links = set(link(spark, H, E))
+    records = lk.gene_records(*[spark.createDataFrame([], s) for s in (HGNC, ENSEMBL, UNIPROT, CHEMBL)])
+    assert records.count() == 0
+    assert links == {(e[0], h[0]) for h in H for e in E if e[0][4:] == h[0][5:]}
 
 
 def test_extra_columns_may_clash(spark):
