@@ -11,21 +11,26 @@ from graphloom.functions.canon import let, strip
 from graphloom.functions.labels import local_name
 
 #: Predicates whose objects are literals, also as endings of longer names.
-LITERAL_PREDICATES = ("label", "name", "title", "description", "age", "date", "status", "email", "synonym", "alias")
+LITERAL_PREDICATES = (
+    "name", "fullName", "title", "label", "description", "age", "yearsOld", "birthDate", "dateOfBirth", "foundedDate",
+    "amount", "count", "value", "score", "confidence", "email", "phone", "url", "comment", "status",
+    "chemicalFormula", "molecularWeight", "approvedDate", "chembl_id", "weight", "formula",
+)
 #: The accepted date formats, tried in this order.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss")
+DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "yyyy-M-d'T'H:m:s'Z'", "yyyy-M-d H:m:s")
+#: Forms of numbers and dates.
+NUMBER, DATE = r"^-?\d+(\.\d+)?$", r"^\d{4}[-/]\d{2}[-/]\d{2}(T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
 def is_literal(predicate: Column, value: Column, predicates: tuple[str, ...] = LITERAL_PREDICATES) -> Column:
     """Whether a triple's object is a literal rather than an entity, from the predicate's name and the value's form."""
 
     def by_name(p: Column) -> Column:
-        return p.endswith("id") | p.endswith("code") | p.isin("uuid", "key", "value") | reduce(lambda a, b: a | b, (p.endswith(x) for x in predicates))
+        return p.endswith("id") | p.endswith("code") | p.isin("uuid", "key", "value") | reduce(lambda a, b: a | b, (p.endswith(x.lower()) for x in predicates))
 
     def by_form(s: Column) -> Column:
         quoted = (s.startswith('"') & s.endswith('"')) | (s.startswith("'") & s.endswith("'"))
-        date = s.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}(T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:?\d{2})?)?$")
-        return s.contains("^^") | quoted | s.rlike(r"^-?\d+(\.\d+)?$") | F.lower(s).isin("true", "false", "yes", "no") | date
+        return s.contains("^^") | quoted | s.rlike(NUMBER) | F.lower(s).isin("true", "false", "yes", "no") | s.rlike(DATE)
 
     return let(F.lower(local_name(predicate)), by_name) | let(strip(value), by_form)
 

@@ -107,11 +107,6 @@ def small_cross(spark, d):
 
 
 def neighbour_sets(spark, d):
-    return _neighbour_sets(worlds.relations(spark, d).where("p in ('partOf', 'locatedIn')"))
-
-
-def full_neighbour_sets(spark, d):
-    """neighbour_sets() over all relations: orders and parts too."""
     return _neighbour_sets(worlds.relations(spark, d))
 
 
@@ -237,7 +232,7 @@ def flagship(spark, d):
     return decided.union(roots.select(F.lit("ROOTS"), F.countDistinct("root"))).union(facts.select(F.lit("FACTS"), F.count(F.lit(1))))
 
 
-_FUNCTIONS = (blocked_pairs, similar_labels, identity_pairs, match_scores, best_matches, decision_counts, full_match_scores, full_best_matches, full_decision_counts, small_cross, neighbour_sets, full_neighbour_sets, disjoint_veto, pair_bands, predicate_alignment, unmapped_predicates, inverse_relations, source_alignment, alias_components, redirected_facts, facts_once, alias_clusters, right_wins, property_values, contradictions, functional_collisions, conflict_winners, conflict_fold, conflict_preserve, graph_values, first_entities)
+_FUNCTIONS = (blocked_pairs, similar_labels, identity_pairs, match_scores, best_matches, decision_counts, full_match_scores, full_best_matches, full_decision_counts, small_cross, neighbour_sets, disjoint_veto, pair_bands, predicate_alignment, unmapped_predicates, inverse_relations, source_alignment, alias_components, redirected_facts, facts_once, alias_clusters, right_wins, property_values, contradictions, functional_collisions, conflict_winners, conflict_fold, conflict_preserve, graph_values, first_entities)
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {"fusion": flagship}
 
 _STRIP = r"'^[\s\p{Z}\x{85}\x{1c}-\x{1f}]+|[\s\p{Z}\x{85}\x{1c}-\x{1f}]+$', '', 'g'"
@@ -286,8 +281,7 @@ select distinct a.id as id_a, b.id as id_b, 'source' as property from r a join r
     "best_matches": f"{_MATCH} select id_a, id_b, score, cast(row_number() over (partition by id_a order by score desc, id_b) as integer) as rank from decided qualify rank <= 3",
     "decision_counts": f"{_MATCH} select decision, method, count(*) as pairs from decided group by all",
     "small_cross": "select n_nationkey as id_a, r_regionkey as id_b from nation, region",
-    "neighbour_sets": f"with {worlds.RELATIONS}, n as (select s as id, o as x from relations where p in ('partOf', 'locatedIn') union select o, s from relations where p in ('partOf', 'locatedIn')) select id, count(*) as neighbours, min(x) as least, max(x) as most from n group by id",
-    "full_neighbour_sets": f"with {worlds.RELATIONS}, n as (select s as id, o as x from relations union select o, s from relations) select id, count(*) as neighbours, min(x) as least, max(x) as most from n group by id",
+    "neighbour_sets": f"with {worlds.RELATIONS}, n as (select s as id, o as x from relations union select o, s from relations) select id, count(*) as neighbours, min(x) as least, max(x) as most from n group by id",
     "disjoint_veto": """select pair_id, split_part(left_id, '_', 1) as type_a, split_part(right_id, '_', 1) as type_b from match_pairs where left_id is not null and right_id is not null
   and not (list_sort([split_part(left_id, '_', 1), split_part(right_id, '_', 1)]) in (['DRUG', 'GENE'], ['DIS', 'DRUG'], ['DIS', 'GENE']))""",
     "pair_bands": "select pair_id, case when score >= 0.88 then 'MERGE' when score >= 0.65 then 'REVIEW' else 'KEEP' end as band, origin = 'auto_merged_pairs' as merged from match_pairs where score is not null",

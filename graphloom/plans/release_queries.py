@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -53,14 +52,14 @@ def _stated(relations):
 
 
 def _assertions(spark, d):
-    return _stated(worlds.relations(spark, d).where("p in ('partOf', 'locatedIn', 'placed')"))
+    return _stated(worlds.relations(spark, d))
 
 
-_ASSERTIONS = worlds.RELATIONS + ", assertions as (select *, case when regexp_matches(substring(id, 11, 1), '[0-7]') then 'approved' else 'candidate' end as state from relations where p in ('partOf', 'locatedIn', 'placed'))"
+_ASSERTIONS = worlds.RELATIONS + ", assertions as (select *, case when regexp_matches(substring(id, 11, 1), '[0-7]') then 'approved' else 'candidate' end as state from relations)"
 
 
 def _attributes(spark, d):
-    return _valued(worlds.attributes(spark, d).where("p in ('name', 'segment')"))
+    return _valued(worlds.attributes(spark, d))
 
 
 def _valued(attributes):
@@ -68,18 +67,13 @@ def _valued(attributes):
     return rows.select(worlds.assertion_id(F.col("s"), F.col("p"), F.col("value")).alias("id"), "s", "p", "value", F.lit("approved").alias("state"))
 
 
-_ATTR = worlds.ATTRIBUTES + ", attr as (select 'assertion:' || substring(sha256(s || '|' || p || '|' || value), 1, 16) as id, s, p, value, 'approved' as state from attributes where p in ('name', 'segment') and value is not null)"
+_ATTR = worlds.ATTRIBUTES + ", attr as (select 'assertion:' || substring(sha256(s || '|' || p || '|' || value), 1, 16) as id, s, p, value, 'approved' as state from attributes where value is not null)"
 
 
 def _quads(spark, d):
     return rdf.relationship_quads(_assertions(spark, d)).union(rdf.attribute_quads(_attributes(spark, d)))
 
 
-def _all_quads(spark, d):
-    """The snapshot of all relations and attributes."""
-    return rdf.relationship_quads(_stated(worlds.relations(spark, d))).union(rdf.attribute_quads(_valued(worlds.attributes(spark, d))))
-
-
 _QUADS = f"""{_ASSERTIONS}, {_ATTR}, quads as (
   select case when state = 'approved' then 'urn:graph:approved_assertion' else 'urn:graph:source_assertion' end as graph, 'urn:assertion:' || id as s,
     unnest(['urn:assertion:type', 'urn:assertion:subject', 'urn:assertion:predicate', 'urn:assertion:object', 'urn:assertion:state']) as p,
@@ -88,12 +82,12 @@ _QUADS = f"""{_ASSERTIONS}, {_ATTR}, quads as (
     unnest(['urn:assertion:AttributeAssertion', 'urn:identifier:' || s, 'urn:predicate:' || p, value, state]), unnest(['iri', 'iri', 'iri', 'literal', 'literal']) from attr)"""
 
 
-def rdf_quads(spark, d, quads=_quads):
-    return quads(spark, d)
+def rdf_quads(spark, d):
+    return _quads(spark, d)
 
 
-def quad_counts(spark, d, quads=_quads):
-    return rdf.summary(quads(spark, d))
+def quad_counts(spark, d):
+    return rdf.summary(_quads(spark, d))
 
 
 def provenance_quads(spark, d):
@@ -112,61 +106,61 @@ def release_quads(spark, d):
     return rdf.release_quads(rows)
 
 
-def nquads(spark, d, quads=_quads):
-    return rdf.to_nquads(quads(spark, d))
+def n_quads(spark, d):
+    return rdf.to_nquads(_quads(spark, d))
 
 
-def quads_read_back(spark, d, quads=_quads):
-    return rdf.from_quads(quads(spark, d))
+def quads_read_back(spark, d):
+    return rdf.from_quads(_quads(spark, d))
 
 
-def comparison_records(spark, d, quads=_quads):
-    return rdf.records(quads(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.min("digest").alias("least"))
+def comparison_records(spark, d):
+    return rdf.records(_quads(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.min("digest").alias("least"))
 
 
-def transformed_values(spark, d, quads=_quads):
+def transformed_values(spark, d):
     """Values changed on purpose are found."""
-    q = quads(spark, d)
+    q = _quads(spark, d)
     broken = q.withColumn("o", F.when((F.col("p") == rdf.STATE) & F.col("s").endswith("0"), "tampered").otherwise(F.col("o")))
     return rdf.transformed(q, broken)
 
 
-def dataset_entities(spark, d, quads=_quads):
-    return projections.entities(rdf.from_quads(quads(spark, d)))
+def dataset_entities(spark, d):
+    return projections.entities(rdf.from_quads(_quads(spark, d)))
 
 
-def dataset_relations(spark, d, quads=_quads):
-    return projections.relations(rdf.from_quads(quads(spark, d)))
+def dataset_relations(spark, d):
+    return projections.relations(rdf.from_quads(_quads(spark, d)))
 
 
-def dataset_groups(spark, d, quads=_quads):
-    return projections.group_counts(rdf.from_quads(quads(spark, d)), "predicate")
+def dataset_groups(spark, d):
+    return projections.group_counts(rdf.from_quads(_quads(spark, d)), "predicate")
 
 
-def profile_projection(spark, d, quads=_quads):
+def profile_projection(spark, d):
     profile = projections.Profile(namespaces=("customer", "nation", "region", "part"), dropped=("segment",), unsupported=("partOf",), on_unsupported="flatten", transformed={"locatedIn": "in"})
-    return projections.project(rdf.from_quads(quads(spark, d)), profile).select("id", "subject", "predicate", "object", "value")
+    return projections.project(rdf.from_quads(_quads(spark, d)), profile).select("id", "subject", "predicate", "object", "value")
 
 
-def undeclared_predicates(spark, d, quads=_quads):
+def undeclared_predicates(spark, d):
     profile = projections.Profile(dropped=("segment",), transformed={"locatedIn": "in"})
-    return projections.undeclared(rdf.from_quads(quads(spark, d)), profile, ("name",))
+    return projections.undeclared(rdf.from_quads(_quads(spark, d)), profile, ("name",))
 
 
-def property_graph(spark, d, quads=_quads):
-    return projections.property_graph(rdf.from_quads(quads(spark, d)))
+def property_graph(spark, d):
+    return projections.property_graph(rdf.from_quads(_quads(spark, d)))
 
 
-def search_documents(spark, d, quads=_quads):
-    return projections.search_documents(rdf.from_quads(quads(spark, d)))
+def search_documents(spark, d):
+    return projections.search_documents(rdf.from_quads(_quads(spark, d)))
 
 
 def _tampered(rows):
     return rows.where("not endswith(key, '7')").withColumn("digest", F.when(F.col("key").endswith("3"), F.lit("x")).otherwise(F.col("digest"))).union(rows.where("endswith(key, '5')").withColumn("key", F.concat("key", F.lit("-copy"))))
 
 
-def reconciliation(spark, d, quads=_quads):
-    rows = projections.entities(rdf.from_quads(quads(spark, d))).select(F.col("namespace").alias("kind"), F.col("entity_id").alias("key"), F.sha2("entity_id", 256).alias("digest"))
+def reconciliation(spark, d):
+    rows = projections.entities(rdf.from_quads(_quads(spark, d))).select(F.col("namespace").alias("kind"), F.col("entity_id").alias("key"), F.sha2("entity_id", 256).alias("digest"))
     return projections.compare(rows, _tampered(rows), ["kind", "key"])
 
 
@@ -175,8 +169,8 @@ def bag_difference(spark, d):
     return projections.bag_difference(items, items.where("l_linenumber <> 2").union(items.where("l_linenumber = 1")))
 
 
-def rows_union(spark, d, quads=_quads):
-    r = projections.relations(rdf.from_quads(quads(spark, d)))
+def rows_union(spark, d):
+    r = projections.relations(rdf.from_quads(_quads(spark, d)))
     return r.where("state = 'approved'").union(r.where("state <> 'approved'")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -197,11 +191,6 @@ def alias_lookup(spark, d):
 
 
 def lexical_search(spark, d):
-    return search.lexical(_docs(spark, d), "in the")
-
-
-def full_lexical_search(spark, d):
-    """lexical_search() in the whole texts, not in their first 60 characters."""
     return search.lexical(_docs(spark, d).withColumn("label", F.coalesce("text", F.lit(""))), "in the")
 
 
@@ -240,17 +229,17 @@ def graph_diff(spark, d):
 
 
 def bfs_distances(spark, d):
-    e = worlds.relations(spark, d).where("p in ('partOf', 'locatedIn')")
+    e = worlds.relations(spark, d)
     return graphs.distances(e, "region:1", 3)
 
 
 def shortest_path(spark, d):
-    e = worlds.relations(spark, d).where("p in ('partOf', 'locatedIn')")
+    e = worlds.relations(spark, d)
     return graphs.shortest_path(e, "nation:0", "nation:5")
 
 
 def path_hops(spark, d):
-    e = worlds.relations(spark, d).where("p in ('partOf', 'locatedIn')")
+    e = worlds.relations(spark, d)
     p = graphs.shortest_path(e, "nation:0", "nation:5")
     p = spark.createDataFrame(p.collect(), p.schema)  # nine rows at most
     step = p.alias("x").join(p.alias("y"), F.col("y.hop") == F.col("x.hop") + 1).select(F.col("x.hop").alias("hop"), F.col("x.id").alias("a"), F.col("y.id").alias("b"))
@@ -258,7 +247,7 @@ def path_hops(spark, d):
 
 
 def lineage_ancestors(spark, d):
-    e = worlds.relations(spark, d).where("p in ('partOf', 'locatedIn')").select(F.col("s").alias("child"), F.col("o").alias("parent"))
+    e = worlds.relations(spark, d).select(F.col("s").alias("child"), F.col("o").alias("parent"))
     starts = table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"))
     return graphs.ancestors(e, starts)
 
@@ -460,9 +449,6 @@ def payload_fields(spark, d):
 _FUNCTIONS = [v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
-#: Queries over snapshots: as their SQL has them, without most predicates, and as full_ ones with all of them.
-SNAPSHOTS = (rdf_quads, quad_counts, nquads, quads_read_back, comparison_records, transformed_values, dataset_entities, dataset_relations, dataset_groups, profile_projection, undeclared_predicates, property_graph, search_documents, reconciliation, rows_union)
-QUERIES |= {f"full_{f.__name__}": partial(f, quads=_all_quads) for f in SNAPSHOTS}
 
 _T = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
 _ALLOWED = "(f is null and t = 'candidate') or (f = 'candidate' and t in ('verified', 'rejected', 'abstained')) or (f = 'verified' and t in ('promotion_review', 'rejected')) or (f = 'promotion_review' and t in ('approved', 'rejected')) or (f = 'approved' and t in ('superseded', 'retracted'))"
@@ -471,7 +457,7 @@ replayed as (select event_id, assertion_id, n, f as from_state, t as to_state, c
 _BACK = f"{_QUADS}, back as (select id, 'relationship' as kind, s as subject, p as predicate, o as object, null as value, state from assertions union all select id, 'attribute', s, p, null, value, state from attr)"
 _ENT = f"{_BACK}, ent as (select distinct unnest([subject, object]) as entity_id from back), entities as (select entity_id, split_part(entity_id, ':', 1) as namespace from ent where entity_id is not null)"
 _TERMS = "terms as (select doc_id, unnest(regexp_extract_all(lower(replace(text, chr(304), 'i' || chr(775))), '[a-z0-9]+')) as term from documents), tf as (select term, doc_id, count(*) as tf from terms group by all)"
-_PATH = f"{worlds.RELATIONS}, e as (select * from relations where p in ('partOf', 'locatedIn')), b as (select s as a, o as b from e union all select o, s from e)"
+_PATH = f"{worlds.RELATIONS}, e as (select * from relations), b as (select s as a, o as b from e union all select o, s from e)"
 _CHECKS = "checks as (select cast(l_orderkey as varchar) as target, unnest(['POSITIVE', 'DISCOUNT', 'FLAG']) as \"check\", unnest(['BLOCKER', 'ERROR', 'WARNING']) as severity, unnest([case when l_quantity > 1 then 'PASS' else 'FAIL' end, case when l_discount <= 0.09 then 'PASS' else 'FAIL' end, case when l_returnflag <> 'R' then 'PASS' else 'FAIL' end]) as status from lineitem)"
 _JUDGED = "judged as (select score as p, cast(origin = 'auto_merged_pairs' as integer) as y, case when score >= 0.88 then 'MERGE' when score >= 0.65 then 'REVIEW' else 'KEEP' end as decision from match_pairs where score is not null)"
 
@@ -516,8 +502,7 @@ select l_returnflag, l_linestatus, l_linenumber, cast(case when l_linenumber = 2
     "postings": f"with {_TERMS} select term, count(*) as documents, cast(sum(tf) as bigint) as occurrences from tf group by 1",
     "search_topk": f"with {_TERMS} select doc_id, cast(sum(tf * case when term = 'renal' then 2 else 1 end) as bigint) as score from tf where term in ('renal', 'curators', 'evidence', 'reviewed') group by 1 order by score desc, doc_id limit 20",
     "alias_lookup": "select doc_id, 1.0::double as score from documents where lower(lang) = 'patent_feed' or lower(source) = 'patent_feed'",
-    "lexical_search": "with l as (select doc_id, lower(coalesce(substring(text, 1, 60), '')) as l from documents), s as (select doc_id, case when starts_with(l, 'in the') then 1.0::double when contains(l, 'in the') then 0.7::double when len(list_intersect(regexp_extract_all(l, '[a-z0-9]+'), ['in', 'the'])) > 0 then 0.4::double end as score from l) select * from s where score is not null order by score desc, doc_id limit 25",
-    "full_lexical_search": "with l as (select doc_id, lower(coalesce(text, '')) as l from documents), s as (select doc_id, case when starts_with(l, 'in the') then 1.0::double when contains(l, 'in the') then 0.7::double when len(list_intersect(regexp_extract_all(l, '[a-z0-9]+'), ['in', 'the'])) > 0 then 0.4::double end as score from l) select * from s where score is not null order by score desc, doc_id limit 25",
+    "lexical_search": "with l as (select doc_id, lower(coalesce(text, '')) as l from documents), s as (select doc_id, case when starts_with(l, 'in the') then 1.0::double when contains(l, 'in the') then 0.7::double when len(list_intersect(regexp_extract_all(l, '[a-z0-9]+'), ['in', 'the'])) > 0 then 0.4::double end as score from l) select * from s where score is not null order by score desc, doc_id limit 25",
     "search_facets": f"with {_TERMS}, h as (select doc_id, sum(tf) as score from tf where term in ('compartment', 'doses') group by 1 order by score desc, doc_id limit 200) select source, count(*) as n from h join documents using (doc_id) group by 1 order by n desc, source nulls first limit 5",
     "vector_topk": "with q as (select embedding::double[] as q from embeddings where vec_id = 3) select vec_id as key, round(list_dot_product(embedding::double[], q), 6) as score from embeddings, q order by 2 desc, 1 limit 10",
     "vector_similar": "with q as (select embedding::double[] as q from embeddings where vec_id = 11) select vec_id as key, round(list_dot_product(embedding::double[], q), 6) as score from embeddings, q order by 2 desc, 1 limit 10",
@@ -576,8 +561,3 @@ select before, status, coalesce((before is null and status = 'CANDIDATE') or (be
     "backends": f"with {_MANIFESTS} select distinct backend from manifests",
     "payload_fields": "select distinct record_id, trim(payload::json ->> 'subject') as subject from parsed_records where payload is not null and trim(coalesce(payload::json ->> 'head', '')) = '' and trim(coalesce(payload::json ->> 'subject', '')) <> ''",
 }
-
-_KEPT = (" where p in ('partOf', 'locatedIn', 'placed')", "p in ('name', 'segment') and ")
-for _f in SNAPSHOTS:
-    if (_sql := ORACLES.get(_f.__name__)) is not None:
-        ORACLES[f"full_{_f.__name__}"] = _sql.replace(_KEPT[0], "").replace(_KEPT[1], "")

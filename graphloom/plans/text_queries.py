@@ -34,7 +34,7 @@ def literal_typing(spark, d):
 
 
 def literal_keys(spark, d):
-    rows = worlds.attributes(spark, d).where("p in ('orderDate', 'status', 'active', 'size')")
+    rows = worlds.attributes(spark, d).where("value is not null")
     typed = rows.withColumn("l", literals.literal(F.col("value")))
     return typed.select("s", "p", literals.literal_key(F.col("l.type"), F.col("l.lex")).alias("literal_key"))
 
@@ -91,7 +91,7 @@ def entity_kinds(spark, d):
 
 
 def masked_messages(spark, d):
-    rows = table(spark, d, "documents").where("text is not null and source = 'parser_audit'").select("doc_id", F.concat(F.lit("token="), F.substring(F.regexp_replace("text", r"\s+", "_"), 1, 12), F.lit(" "), F.col("text")).alias("m"))
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("token="), F.substring(F.regexp_replace("text", r"\s+", "_"), 1, 12), F.lit(" "), F.col("text")).alias("m"))
     return rows.select("doc_id", labels.masked(F.col("m")).alias("message"))
 
 
@@ -142,12 +142,13 @@ select record_id, round(case when len(a) = 0 or len(b) = 0 then 0.0 else len(lis
 s1 as (select p, value, case when length(v) >= 2 and ((starts_with(v, '"') and ends_with(v, '"'))) then v[2:-2] else v end as v from s0),
 s2 as (select p, value, case when lower(v) in ('true', 'false') then 'boolean' when regexp_full_match(v, '-?\d+') then 'integer' when regexp_full_match(v, '-?\d+\.\d+') then 'float' else 'string' end as type,
   case when lower(v) in ('true', 'false') then lower(v) when regexp_full_match(v, '\d{{4}}/\d\d/\d\d') then replace(v, '/', '-') else v end as lex from s1),
-s3 as (select p, type, lex, lower(p) similar to '.*(id|code|uuid|key|value|label|name|title|description|age|date|status|email|synonym|alias)' or contains(value, '^^') or (starts_with(value, '"') and ends_with(value, '"'))
+s3 as (select p, type, lex, lower(p) similar to '.*(id|code|name|fullname|title|label|description|age|yearsold|birthdate|dateofbirth|foundeddate|amount|count|value|score|confidence|email|phone|url|comment|status|chemicalformula|molecularweight|approveddate|chembl_id|weight|formula)' or lower(p) in ('uuid', 'key') or contains(value, '^^') or (starts_with(value, '"') and ends_with(value, '"'))
   or regexp_full_match(value, '-?\d+(\.\d+)?') or lower(value) in ('true', 'false', 'yes', 'no') or regexp_full_match(value, '\d{{4}}[-/]\d\d[-/]\d\d') as is_literal from s2)
 select p, type, is_literal, count(*) as n, count(distinct lex) as "values", min(lex) as least, max(lex) as most from s3 group by all""",
     "literal_keys": rf"""with {worlds.ATTRIBUTES} select s, p, case when lower(value) in ('true', 'false') then 'boolean:' || lower(value) when p = 'size' then 'integer:' || value
-  when p = 'orderDate' then 'string:' || replace(value, '/', '-') when p = 'status' then 'string:' || replace(value, '"', '') else 'string:' || value end as literal_key
-from attributes where p in ('orderDate', 'status', 'active', 'size')""",
+  when p = 'orderDate' then 'string:' || replace(value, '/', '-') when p = 'status' then 'string:' || replace(value, '"', '') when p = 'balance' then 'float:' || string_split(value, '^^')[1]
+  else 'string:' || value end as literal_key
+from attributes where value is not null""",
     "identifiers": rf"""with {worlds.STATEMENTS}, r as (select distinct unnest([s, o]) as raw from statements),
 x as (select raw, regexp_replace(string_split(raw, ':')[1], {_TRIM}) as n, regexp_replace(substring(raw, instr(raw, ':') + 1), {_TRIM}) as v from r)
 select raw, case when contains(raw, ':') and n <> '' and v <> '' then n end as namespace, case when contains(raw, ':') and n <> '' and v <> '' then v end as value from x""",
@@ -165,7 +166,7 @@ select record_id, 'white_space' as step, v0 as input, v1 as output, v0 <> v1 as
     "entity_kinds": """select case when contains(lower(member_id), 'hgnc') then 'gene' when contains(lower(member_id), 'uniprot') then 'protein' when contains(lower(member_id), 'chembl') then 'drug'
   when contains(lower(member_id), 'mondo') then 'disease' else 'concept' end as kind, count(*) as n from canonical_entities group by 1""",
     "masked_messages": r"""with m as (select doc_id, regexp_replace('token=' || substring(regexp_replace(text, '\s+', '_', 'g'), 1, 12) || ' ' || text, '(?i)(api[_-]?key|token|password|secret|bearer)(\s*[=:]\s*|\s+)\S+', '\1\2***', 'g') as m
-  from documents where text is not null and source = 'parser_audit')
+  from documents where text is not null)
 select doc_id, case when length(m) > 200 then substring(m, 1, 200) || '...' else m end as message from m""",
     "vector_dots": """with q as (select embedding::double[] as q from embeddings where vec_id = 0)
 select vec_id, round(list_dot_product(embedding::double[], q), 5) as dot, round(list_dot_product(embedding::double[], q) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q, q))), 5) as cosine from embeddings, q""",

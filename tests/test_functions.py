@@ -22,7 +22,7 @@ def test_label(spark, raw, label):
 
 @pytest.mark.parametrize(
     ("predicate", "value", "literal"),
-    [("hasLipid", "x", True), ("zipcode", "x", True), ("filename", "x", True), ("knows", '"Al"', True), ("knows", "-1.5", True), ("knows", "No", True), ("knows", "2024/01/02", True), ("knows", "5^^xsd:int", True), ("knows", "Bob", False), ("knows", "", False)],
+    [("hasLipid", "x", True), ("zipcode", "x", True), ("filename", "x", True), ("bodyWeight", "x", True), ("synonym", "x", False), ("startDate", "x", False), ("knows", '"Al"', True), ("knows", "-1.5", True), ("knows", "No", True), ("knows", "2024/01/02", True), ("knows", "5^^xsd:int", True), ("knows", "Bob", False), ("knows", "", False)],
 )
 def test_literal_or_entity(spark, predicate, value, literal):
     assert spark.createDataFrame([(predicate, value)], "p string, v string").select(literals.is_literal(F.col("p"), F.col("v"))).first()[0] is literal
@@ -30,7 +30,7 @@ def test_literal_or_entity(spark, predicate, value, literal):
 
 @pytest.mark.parametrize(
     ("raw", "kind", "lex"),
-    [("TRUE", "boolean", "true"), ("yes", "string", "yes"), ("007", "integer", "7"), ("1.50", "float", "1.50"), ("2024/03/05", "string", "2024-03-05"), ("2024-03-05T10:00:00", "string", "2024-03-05"), ("05-03-2024", "string", "2024-03-05"), ("'x'", "string", "x"), ('"5"^^xsd:int', "integer", "5")],
+    [("TRUE", "boolean", "true"), ("yes", "string", "yes"), ("007", "integer", "7"), ("1.50", "float", "1.50"), ("2024/03/05", "string", "2024-03-05"), ("2024-03-05T10:00:00Z", "string", "2024-03-05"), ("2024-03-05 10:00:00", "string", "2024-03-05"), ("12/31/2020", "string", "12/31/2020"), ("2024-03-05T10:00:00", "string", "2024-03-05T10:00:00"), ("05-03-2024", "string", "2024-03-05"), ("'x'", "string", "x"), ('"5"^^xsd:int', "integer", "5")],
 )
 def test_literal_forms(spark, raw, kind, lex):
     assert tuple(one(spark, literals.literal, raw)) == (kind, lex)
