@@ -38,6 +38,7 @@ def winner(a: str, b: str, authorities: tuple[str, ...] = (), precedence: str |
     The structs have trusted, confidence, p, graph and seq. A tier decides where exactly one side has what it asks for.
     """
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    # fixed values: the names of the tiers
     tiers: list[tuple[str, Column, Column]] = [("ULTIMATE_GROUND_TRUTH_AUTHORITY", x("trusted") & ~y("trusted"), y("trusted") & ~x("trusted"))]
     cx, cy = F.coalesce(x("confidence"), F.lit(1.0)), F.coalesce(y("confidence"), F.lit(1.0))
     tiers.append(("HIGHER_EVIDENCE_CONFIDENCE_SCORE", cx > cy, cy > cx))
@@ -117,3 +118,56 @@ def fold(facts: DataFrame, opposing: list[tuple[str, str]], functional: list[str
 
     rest = marked.where(disputed).select("s", "_p", "o", "seq", "confidence")
     return rest.repartition("s").sortWithinPartitions("s", "seq").mapInPandas(run, _FOLDED).union(repeats).union(calm)
+
+
+#: What is done with a repetition and with a conflict in each mode.
+ACTIONS = {
+    "preserve": ("EXACT_TRIPLE_PRESERVED", "PRESERVED_BOTH_CLAIMS"),
+    "review": ("EXACT_TRIPLE_PRESERVED", "FLAGGED_FOR_HUMAN_REVIEW"),
+    "reject": ("EXACT_TRIPLE_PURGED", "REJECTED_LOSING_CLAIM"),
+    "policy": ("EXACT_TRIPLE_PURGED", "REJECTED_LOSING_CLAIM"),
+}
+
+
+def resolve(facts: DataFrame, opposing: list[tuple[str, str]], functional: list[str], mode: str) -> DataFrame:
+    """fold() in one of the modes of ACTIONS, with action, and review: whether a person has to look at it.
+
+    preserve and review keep everything, and then what comes first decides nothing: conflicts come from joins of aggregates alone, however
+    many statements a subject has. reject and policy drop repetitions and losers.
+    """
+    repetition, conflict = ACTIONS[mode]
+    if mode in ("reject", "policy"):
+        found = fold(facts, opposing, functional, reject=True)
+    else:
+        keyed = facts.withColumn("_p", F.lower(local_name(F.col("p"))))
+        first = keyed.groupBy("s", "_p", "o").agg(F.min("seq").alias("against"))
+        repeats = keyed.join(first, ["s", "_p", "o"]).where("seq <> against").select("seq", F.lit("repetition").alias("reason"), "against")
+        rules = facts.sparkSession.createDataFrame(opposing, "x string, y string")
+        opposed = contradictions(facts, rules).withColumn("reason", F.lit("contradiction")).select("seq", "reason", "against")
+        single = functional_collisions(facts, functional).withColumn("reason", F.lit("collision")).select("seq", "reason", "against")
+        noted = repeats.union(opposed).union(single.join(opposed.select("seq"), "seq", "left_anti"))
+        found = facts.select("seq").join(noted, "seq", "left").select("seq", F.lit(True).alias("kept"), "reason", "against")
+    action = F.when(F.col("reason") == "repetition", repetition).when(F.col("reason").isNotNull(), conflict)
+    return found.withColumns({"action": action, "review": F.coalesce(F.col("action") == "FLAGGED_FOR_HUMAN_REVIEW", F.lit(False))})
+
+
+#: The source whose statements with a predicate are preferred.
+PREFERRED_SOURCES = {"disease_cross_reference": "mondo", "encodes": "hgnc", "targets": "chembl", "treats": "chembl"}
+STRATEGIES = ("preserve_source_specific_assertions", "preserve_conflict_and_review", "preferred_source_wins_with_provenance")
+
+
+def by_authority(a: str, b: str, strategy: str, preferred: dict[str, str] | None = None) -> tuple[Column, Column]:
+    """(winner, review) of a conflict of the struct columns a and b (p, source, seq) by a strategy of STRATEGIES.
+
+    winner is a seq, or null where both are kept. The preferred source of a's predicate wins if exactly one side is of
+    it, else a person has to look; without a preferred source a wins. Sources are compared in lower case.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    if strategy != STRATEGIES[2]:
+        return F.lit(None).cast("long"), F.lit(strategy == STRATEGIES[1])
+    rules = PREFERRED_SOURCES if preferred is None else preferred
+    first = F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]), F.col(f"{a}.p"))
+    of = lambda x: F.coalesce(F.lower(F.col(f"{x}.source")), F.lit("")) == first
+    won = F.when(first.isNull(), F.col(f"{a}.seq")).when(of(a) & ~of(b), F.col(f"{a}.seq")).when(of(b) & ~of(a), F.col(f"{b}.seq"))
+    return won, won.isNull()

@@ -49,3 +49,23 @@ def nearest_rank(rows: DataFrame, value: str, shares: list[float], by: list[str]
     upto = counts.withColumn("upto", F.sum("n").over(W.Window.partitionBy(*by).orderBy(value))).withColumn("all", F.sum("n").over(W.Window.partitionBy(*by)))
     each = upto.withColumn("share", F.explode(F.array(*map(F.lit, shares))))
     return each.where(F.col("upto") >= F.ceil(F.col("share") * F.col("all"))).groupBy(*by, "share").agg(F.min(value).alias("value"))
+
+
+def benchmark(rows: DataFrame, ks: tuple[int, ...] = (10, 20, 50), bins: int = 5) -> DataFrame:
+    """(metric, value) of scored candidates (q, item, p, y, decision, ms): recall at ks, precision, recall, F1 and false positive rate of MERGE, abstention, Brier score, calibration error and latency.
+
+    y is 1 for true pairs; a candidate's rank in its q is by p, then item. A share of nothing is 0. Percentiles are by nearest rank.
+    """
+    rank = F.row_number().over(W.Window.partitionBy("q").orderBy(F.desc("p"), "item"))
+    gold = rows.where("y = 1").select("q", "item")
+    recalls = recall_at(rows.select("q", "item", rank.alias("rank")), gold, list(ks)).select(F.concat(F.lit("recall_at_"), "k").alias("metric"), F.col("recall").alias("value"))
+    merged = F.col("decision") == "MERGE"
+    count = lambda c: F.sum(c.cast("int"))
+    share = lambda a, b: F.round(F.coalesce(F.when(b > 0, a / b), F.lit(0.0)), 6)
+    tp, fp, fn, tn = count(merged & (F.col("y") == 1)), count(merged & (F.col("y") == 0)), count(~merged & (F.col("y") == 1)), count(~merged & (F.col("y") == 0))
+    sums = {"precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn), "false_positive_rate": share(fp, fp + tn), "abstention": share(count(F.col("decision") == "REVIEW"), F.count(F.lit(1)))}
+    one = rows.agg(*[c.alias(n) for n, c in sums.items()]).crossJoin(calibration(rows, bins).select("brier", "ece"))  # one row each
+    names = [*sums, "brier", "ece"]
+    shares = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("x.*")
+    times = nearest_rank(rows.select(F.lit(0).alias("all_rows"), "ms"), "ms", [0.5, 0.95, 0.99], ["all_rows"]).select(F.concat(F.lit("p"), (F.col("share") * 100).cast("int"), F.lit("_ms")).alias("metric"), F.col("value").cast("double").alias("value"))
+    return recalls.union(shares).union(times)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from typing import Any
 
@@ -100,3 +101,66 @@ def promotable(derived: DataFrame, known: DataFrame, agents: DataFrame) -> DataF
     refs = derived.select("id", F.explode("refs").alias("ref")).where("ref is not null")
     lost = refs.join(known.select(F.col("id").alias("ref")).distinct(), "ref", "left_anti").select("id", F.lit("unresolved_input").alias("problem")).distinct()
     return agent.union(none).union(lost)
+
+
+def _yes(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(False))
+
+
+def _both_differ(a: str, b: str) -> Column:
+    return F.coalesce((F.col(a) != "") & (F.col(b) != "") & (F.col(a) != F.col(b)), F.lit(False))
+
+
+def entity_checks() -> list[tuple[str, str, Column, Column, Column]]:
+    """(code, severity of a failure, whether it fails, message on failure, message otherwise) of the checks of a merged or promoted pair.
+
+    The rows have source_type, candidate_type, source_tax_id, candidate_tax_id, predicate, is_salt, is_active_moiety, action, is_isoform,
+    is_gene_locus, source_granularity, candidate_granularity, has_required_evidence, is_deprecated, has_replacement; a null is a no.
+    """
+    kinds = F.array_sort(F.array("source_type", "candidate_type"))
+    granularity = F.concat(F.lit("Granularity mismatch ("), F.col("source_granularity"), F.lit(" vs "), F.col("candidate_granularity"), F.lit(") prevents merging."))
+    # fixed values: codes, severities and messages
+    return [
+        ("BIO-TYPE-001", "BLOCKER", F.coalesce(kinds == F.array(F.lit("Gene"), F.lit("Protein")), F.lit(False)), F.lit("Gene and Protein entities cannot be automatically merged."), F.lit("Entity types compatible.")),
+        ("BIO-TAXON-001", "ERROR", _both_differ("source_tax_id", "candidate_tax_id") & ~F.col("predicate").eqNullSafe("orthologous_to"), F.lit("Cross-species assertion missing explicit orthologous_to semantics."), F.lit("Taxonomic compatibility valid.")),
+        ("BIO-DRUG-001", "BLOCKER", _yes("is_salt") & _yes("is_active_moiety") & F.col("action").eqNullSafe("merge"), F.lit("Salt and active moiety cannot be merged."), F.lit("Salt and active moiety distinction preserved.")),
+        ("BIO-ISOFORM-001", "ERROR", _yes("is_isoform") & _yes("is_gene_locus"), F.lit("Protein isoform cannot be equated directly with gene locus."), F.lit("Isoform vs gene locus distinction valid.")),
+        ("BIO-GRANULARITY-001", "BLOCKER", _both_differ("source_granularity", "candidate_granularity"), granularity, F.lit("Granularity levels match.")),
+        ("BIO-EVIDENCE-001", "BLOCKER", ~_yes("has_required_evidence"), F.lit("Required evidence missing for promotion."), F.lit("Evidence sufficiency validated.")),
+        ("BIO-ID-001", "ERROR", _yes("is_deprecated") & ~_yes("has_replacement"), F.lit("Deprecated identifier used without valid replacement."), F.lit("Identifier status valid.")),
+    ]
+
+
+def validate_entities(rows: DataFrame, target: str) -> DataFrame:
+    """(target, check, severity, status, message): a row for each target and each of entity_checks(); what passes has severity INFO."""
+    made = F.array(*[
+        F.struct(F.lit(code).alias("check"), F.when(bad, severity).otherwise("INFO").alias("severity"), F.when(bad, "FAIL").otherwise("PASS").alias("status"), F.when(bad, no).otherwise(yes).alias("message"))
+        for code, severity, bad, no, yes in entity_checks()
+    ])
+    return rows.select(F.col(f"`{target}`").cast("string").alias("target"), F.explode(made).alias("x")).select("target", "x.*")
+
+
+def thresholds_named(policy: dict[str, Any]) -> dict[str, Any]:
+    """The policy, if each gte and lte that names a threshold names one it has and its conditions are well formed; else raises."""
+    known = policy.get("thresholds") or {}
+
+    def walk(tree: dict[str, Any]) -> None:
+        ((op, arg),) = tree.items()
+        if op in ("all", "any"):
+            for x in arg:
+                walk(x)
+        elif op == "not":
+            walk(arg)
+        elif op in ("gte", "lte") and isinstance(arg[1], str) and arg[1] not in known:
+            raise ValueError(f"unknown threshold {arg[1]}")
+
+    for _, tree in policy["conditions"]:
+        walk(tree)
+    return policy
+
+
+def load_policy(text: str) -> dict[str, Any]:
+    """A policy from JSON with conditions (name to condition), thresholds, required_evidence and review_routing, checked by thresholds_named()."""
+    raw = json.loads(text)
+    conditions = raw.get("conditions", {})
+    return thresholds_named(raw | {"conditions": list(conditions.items()) if isinstance(conditions, dict) else [tuple(x) for x in conditions]})

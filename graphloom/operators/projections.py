@@ -109,3 +109,79 @@ def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     cols = a.columns
     both = a.select(*cols, F.lit(1).alias("_n")).union(b.select(*cols, F.lit(-1)))
     return both.groupBy(*cols).agg(F.sum("_n").alias("more")).where("more <> 0")
+
+
+def assertions(rows: DataFrame) -> DataFrame:
+    """All assertions, relational and of literals, in one form."""
+    return rows.select(F.col("id").alias("assertion_id"), "kind", "subject", "predicate", "object", "value", "state")
+
+
+def _parts(quads: DataFrame, prefix: str) -> DataFrame:
+    return quads.where(F.col("s").startswith(prefix)).withColumn("s", F.substring("s", len(prefix) + 1, 1 << 20))
+
+
+def provenance(quads: DataFrame) -> DataFrame:
+    """(assertion_id, agent, activity, asserted_at, method, input_assertions, input_resources) of assertions with provenance quads: the first value of each, inputs as sorted lists."""
+    one = lambda p: F.min(F.when(F.col("p") == f"urn:prov:{p}", F.col("o"))).alias(p)
+    many = lambda p, name: F.array_join(F.sort_array(F.collect_set(F.when(F.col("p") == f"urn:prov:{p}", F.col("o")))), ",").alias(name)
+    rows = _parts(quads, "urn:assertion:").where(F.col("p").startswith("urn:prov:"))
+    return rows.groupBy(F.col("s").alias("assertion_id")).agg(*map(one, ("agent", "activity", "asserted_at", "method")), many("input_assertion", "input_assertions"), many("input_resource", "input_resources"))
+
+
+def evidence(quads: DataFrame) -> DataFrame:
+    """(evidence_id, claim_id, kind, record_id, artifact_id, obtained_at): a row for each claim and piece of evidence that the claim's quads name."""
+    links = _parts(quads, "urn:assertion:").where("p = 'urn:evidence:evidence'").select(F.col("s").alias("claim_id"), F.regexp_replace("o", "^urn:evidence:", "").alias("evidence_id")).distinct()
+    one = lambda p, name: F.min(F.when(F.col("p") == f"urn:evidence:{p}", F.col("o"))).alias(name)
+    about = _parts(quads, "urn:evidence:").groupBy(F.col("s").alias("evidence_id")).agg(one("kind", "kind"), one("record", "record_id"), one("artifact", "artifact_id"), one("obtained_at", "obtained_at"))
+    return links.join(about, "evidence_id", "left").select("evidence_id", "claim_id", "kind", "record_id", "artifact_id", "obtained_at")
+
+
+#: Ways of reconciliation.
+STRATEGIES = ("rebuild", "row_by_row", "digest", "stats")
+
+
+def reconcile(expected: DataFrame, actual: DataFrame, strategy: str) -> DataFrame:
+    """(assertions, entities, relations, same_digest, missing, unexpected, transformed) of two sides' records (kind, key, digest), in one row.
+
+    rebuild and row_by_row count differing rows. digest only asks whether the assertions' digests agree as a bag: if not, transformed is at least one.
+    stats only counts. Digests are compared by bag sums of hashes, which don't depend on order or partitioning.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    kinds = [F.coalesce(F.sum((F.col("kind") == k).cast("int")), F.lit(0)).cast("long").alias(n) for k, n in (("assertion", "assertions"), ("entity", "entities"), ("relation", "relations"))]
+    bag = lambda df, name: df.where("kind = 'assertion'").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64(F.lit(i), "key", "digest").cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)]).select(F.struct("n", "h0", "h1").alias(name))
+    same = bag(expected, "x").crossJoin(bag(actual, "y")).select(F.col("x").eqNullSafe(F.col("y")).alias("same_digest"))  # one row each
+    one = expected.agg(*kinds).crossJoin(same)
+    status = F.count_if
+    if strategy == "stats":
+        found = None
+    else:
+        diff = compare(expected, actual, ["kind", "key"])
+        found = diff.agg(*[status(F.col("status") == s).alias(n) for s, n in (("missing", "missing"), ("unexpected", "unexpected"), ("changed", "transformed"))])
+    if found is None:
+        return one.select("*", *[F.lit(0).cast("long").alias(n) for n in ("missing", "unexpected", "transformed")])
+    if strategy == "digest":
+        counts = {n: F.when(F.col("same_digest"), 0).otherwise(F.col(n) if n != "transformed" else F.lit(1)).cast("long") for n in ("missing", "unexpected", "transformed")}
+        return one.crossJoin(found).withColumns(counts)
+    return one.crossJoin(found)
+
+
+def profile_checks(rows: DataFrame, profile: Profile, name: tuple[str, str], declared: tuple[str, str], dropped: list[str], unsupported: list[str]) -> DataFrame:
+    """(code, status) of the four checks of a projection against its profile.
+
+    name and declared are the profile's name and version as the projection and the profile have them; dropped and unsupported are predicates that the
+    projection says it dropped or couldn't express; rows are what it holds. Unsupported data must follow the profile: error allows none, skip allows none in the rows.
+    """
+    held = rows.where(F.col("predicate").isin(*profile.unsupported)).isEmpty() if profile.unsupported else True
+    behaved = not unsupported if profile.on_unsupported == "error" else held if profile.on_unsupported == "skip" else True
+    checks = [("profile_mismatch", name == declared), ("undeclared_drop", not set(dropped) - set(profile.dropped)), ("undeclared_unsupported", not set(unsupported) - set(profile.unsupported)), ("unsupported_behavior", behaved)]
+    return rows.sparkSession.createDataFrame([(code, "PASS" if ok else "FAIL") for code, ok in checks], "code string, status string")
+
+
+def property_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(kind, key, status) of two property graphs' rows (kind, key, identifier, assertion_id): missing, unexpected, identifier_mismatch or assertion_mismatch; nulls equal nulls."""
+    x = expected.select("kind", "key", F.struct("identifier", "assertion_id").alias("x"))
+    y = actual.select("kind", "key", F.struct("identifier", "assertion_id").alias("y"))
+    differ = lambda c: ~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    status = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "unexpected").when(differ("identifier"), "identifier_mismatch").when(differ("assertion_id"), "assertion_mismatch")
+    return x.join(y, ["kind", "key"], "full_outer").select("kind", "key", status.alias("status")).where("status is not null")

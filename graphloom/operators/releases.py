@@ -74,3 +74,32 @@ def lineage(parsed: DataFrame, artifacts: DataFrame, releases: DataFrame) -> Dat
     r = releases.select(F.col("release_id"), F.lit(True).alias("_known")).where("release_id is not null").distinct()
     out = parsed.select("record_id", "artifact_id").distinct().join(a, "artifact_id", "left").join(r, "release_id", "left")
     return out.select("record_id", "artifact_id", "release_id", F.coalesce("_known", F.lit(False)).alias("complete"))
+
+
+#: What must not change of a saved release.
+IDENTITY = ("fusion_run_id", "graph_a_release_id", "graph_b_release_id", "domain_id", "conflict_mode")
+
+
+def save(existing: DataFrame, requested: DataFrame) -> DataFrame:
+    """(release_id, outcome) of requested releases: saved, returned (the same release is there already) or collision (another one has the id).
+
+    Both have release_id and the columns of IDENTITY; nulls equal nulls. Of several requests with one id the first by those columns counts.
+    """
+    once = latest_rows(requested, ["release_id"], [F.col(c).asc_nulls_first() for c in IDENTITY])
+    old = existing.select("release_id", F.struct(*IDENTITY).alias("old"))
+    same = F.lit(True)
+    for c in IDENTITY:
+        same = same & F.col(c).eqNullSafe(F.col(f"old.{c}"))
+    return once.join(old, "release_id", "left").select("release_id", F.when(F.col("old").isNull(), "saved").when(same, "returned").otherwise("collision").alias("outcome"))
+
+
+def upsert(manifests: DataFrame, updates: DataFrame, order: str) -> DataFrame:
+    """manifests with the rows of updates: of each projection_id the last by order, an update coming behind what is there."""
+    both = manifests.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
+    return latest_rows(both, ["projection_id"], [F.desc("_new"), F.col(order).desc_nulls_last()]).drop("_new")
+
+
+def status_change(log: DataFrame, requested: DataFrame) -> DataFrame:
+    """(release_id, outcome) of requested lifecycles (release_id, status): appended, repeated (it is there already) or conflict (another is); log has the same columns, one row a release."""
+    old = log.select("release_id", F.col("status").alias("_old"))
+    return requested.join(old, "release_id", "left").select("release_id", F.when(F.col("_old").isNull(), "appended").when(F.col("_old") == F.col("status"), "repeated").otherwise("conflict").alias("outcome"))

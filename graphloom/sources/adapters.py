@@ -30,3 +30,17 @@ def registry_observations(hgnc: DataFrame, ensembl: DataFrame, uniprot: DataFram
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+def mondo_observations(documents: DataFrame) -> DataFrame:
+    """(source, observation_id, digest) of JSON documents (json) of diseases, each an object with an id; others are left out."""
+    rows = documents.select("json", F.get_json_object("json", "$.id").alias("id"), F.get_json_object("json", "$.lbl").alias("lbl"))
+    return observations(rows, "mondo", rows["id"], {"id": rows["id"], "lbl": rows["lbl"]}, "MONDO:")
+
+
+def chebi_observations(files: DataFrame) -> DataFrame:
+    """(source, observation_id, digest) of tab-separated files (content): the first row behind the header, as the registry's form has one entity a file; files without it have none."""
+    line = F.try_element_at(F.split(F.trim("content"), "\r?\n"), F.lit(2))
+    rows = files.select(F.split(line, "\t").alias("x")).where("x is not null")
+    rows = rows.select(F.try_element_at("x", F.lit(1)).alias("chebi_id"), F.coalesce(F.try_element_at("x", F.lit(2)), F.lit("")).alias("name"))
+    return observations(rows, "chebi", rows["chebi_id"], {"chebi_id": rows["chebi_id"], "name": rows["name"]}, "CHEBI:")
