@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.skew import salted_join, spread_join
+from graphloom.operators.skew import partitions_for, salted_join
 from graphloom.scratch import drop_table, write_table
 
 #: Records with one rarest word and number whose symbols agree more rarely than this share aren't named by that word.
@@ -215,13 +215,22 @@ def estimate(counts: dict[tuple[int, ...], float], others: dict[tuple[int, ...],
     return Model(prior, m, u)
 
 
-def _cross(profiles: DataFrame, value: Column, blank: Column) -> tuple[float, float, float]:
-    """Of all pairs of profiles of one species and two tables: how many there are, have the value both, and agree in it; from counts alone."""
-    counts = profiles.groupBy("species", "src", value.alias("v"), blank.alias("blank")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    pairs = (F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2
-    total = counts.groupBy("species", "src").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("blank"), F.col("n")).otherwise(0.0)).alias("k")).groupBy("species").agg(pairs.alias("p"), ((F.pow(F.sum("k"), F.lit(2)) - F.sum(F.col("k") * F.col("k"))) / 2).alias("q")).agg(F.sum("p"), F.sum("q")).first()
-    alike = counts.where("not blank").groupBy("species", "v").agg(pairs.alias("p")).agg(F.sum("p")).first()
-    return total[0] or 0.0, total[1] or 0.0, alike[0] or 0.0
+def _pairs(n: str) -> Column:
+    """Pairs of different groups' members, from the groups' sizes n."""
+    return (F.pow(F.sum(n), F.lit(2)) - F.sum(F.col(n) * F.col(n))) / 2
+
+
+def _both(profiles: DataFrame, **has: Column) -> list[float]:
+    """Of all pairs of profiles of one species and two tables: how many there are, and how many have each value both, from counts alone."""
+    counts = profiles.groupBy("species", "src").agg(F.count(F.lit(1)).cast("double").alias("all"), *[F.sum(c.cast("double")).alias(k) for k, c in has.items()])
+    by = counts.groupBy("species").agg(*[_pairs(k).alias(k) for k in ("all", *has)])
+    return [x or 0.0 for x in by.agg(*[F.sum(k) for k in ("all", *has)]).first()]
+
+
+def _alike(profiles: DataFrame, value: Column) -> float:
+    """How many of these pairs agree in a value that isn't null."""
+    counts = profiles.groupBy("species", "src", value.alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n")).where("v is not null")
+    return counts.groupBy("species", "v").agg(_pairs("n").alias("p")).agg(F.sum("p")).first()[0] or 0.0
 
 
 def other_patterns(profiles: DataFrame, compared: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], float]:
@@ -230,12 +239,11 @@ def other_patterns(profiles: DataFrame, compared: dict[tuple[int, ...], int]) ->
     How many pairs lack a value, or agree in role, comes from counts of the values, the attributes being taken as independent. Pairs
     with one stem but different members are members of a family, and are counted by themselves.
     """
-    has = F.coalesce("own", "entry").isNotNull()
-    total, both, _ = _cross(profiles, F.lit(0), ~has)
-    _, stems, _ = _cross(profiles, F.lit(0), F.col("stem").isNull())
-    _, roles, same_role = _cross(profiles, F.array_join("role", " "), F.col("role").isNull())
-    named = F.col("stem").isNull() | F.col("member").isNull()
-    families, numbered = _cross(profiles, F.col("stem"), named)[2], _cross(profiles, F.concat_ws(" ", "stem", F.col("member").cast("string")), named)[2]
+    total, both, stems, roles = _both(profiles, symbol=F.coalesce("own", "entry").isNotNull(), named=F.col("stem").isNotNull(), role=F.col("role").isNotNull())
+    same_role = _alike(profiles, F.array_join("role", " "))
+    named = F.col("stem").isNotNull() & F.col("member").isNotNull()
+    families = _alike(profiles, F.when(named, F.col("stem")))
+    numbered = _alike(profiles, F.when(named, F.concat_ws(" ", "stem", F.col("member").cast("string"))))
     out = {(1, 2, 2): max(0.0, families - numbered)}
     left = max(0.0, total - sum(compared.values()) - sum(out.values()))
     if total:
@@ -246,6 +254,19 @@ def other_patterns(profiles: DataFrame, compared: dict[tuple[int, ...], int]) ->
     return out
 
 
+def _meeting(x: DataFrame, y: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
+    """Inner join of two forms of one table on a column whose rows are counted in n: no task makes many more than most pairs of one value.
+
+    A value with more pairs is cut by the hash of x's rows into as many salts as they need, and its rows of y are repeated once per salt.
+    """
+    pairs = x.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, partitions_for(pairs, most)))
+    salts = F.least(F.col("n"), F.lit(4096), F.ceil(F.col("n") * F.col("n") / most)).cast("int")
+    left = x.withColumn("_salt", F.pmod(F.xxhash64(*x.columns), salts).cast("int")).drop("n")
+    right = y.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return left.repartition(parts, on, "_salt").join(right.repartition(parts, on, "_salt").hint("merge"), [on, "_salt"]).drop("_salt")
+
+
 def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(key_a, key_b, confidence) of the pairs of records of different tables that describe the same thing.
 
@@ -267,10 +288,9 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     attributes = ["src", "species", "own", "aliases", "entry", "stem", "role", "member"]
     # equal hashes of different keys only make a pair to compare
     blocked = profiles.select("profile", "src", F.explode(F.array_distinct(F.transform(_keys(), lambda k: F.xxhash64("species", k)))).alias("block"))
-    shared = blocked.groupBy("block").agg(F.min("src").alias("a"), F.max("src").alias("b")).where("a <> b").select("block")
-    blocked = write_table(blocked.join(shared.hint("merge"), "block"))
-    met = spread_join(blocked.toDF("block", "pa", "sa"), blocked.toDF("block", "pb", "sb"), "block")
-    pairs = met.where("sa < sb").select("pa", "pb").distinct()
+    shared = blocked.groupBy("block").agg(F.min("src").alias("a"), F.max("src").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("block", "n")
+    blocked = write_table(blocked.join(shared.hint("merge"), "block").select("block", "n", "profile", "src"))
+    pairs = _meeting(blocked.toDF("block", "n", "pa", "sa"), blocked.toDF("block", "n", "pb", "sb"), "block").where("sa < sb").select("pa", "pb").distinct()
     side = lambda name: profiles.select(F.col("profile").alias(f"p{name}"), F.struct("profile", *attributes).alias(name)).hint("merge")
     pairs = pairs.join(side("a"), "pa").join(side("b"), "pb").where("a.species = b.species")
     compared = write_table(pairs.select("pa", "pb", F.col("a.src").alias("sa"), F.col("b.src").alias("sb"), *agreement()))
@@ -284,8 +304,9 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     there = links.select(F.col("pa").alias("mid"), F.col("pb").alias("end"), F.col("sb").alias("src"), "confidence")
     back = links.select(F.col("pb").alias("mid"), F.col("pa").alias("end"), F.col("sa").alias("src"), "confidence")
-    hops = write_table(there.union(back))
-    two = spread_join(hops.toDF("mid", "pa", "sa", "ca"), hops.toDF("mid", "pb", "sb", "cb"), "mid").where("sa < sb")
+    hops = there.union(back)
+    hops = write_table(hops.join(hops.groupBy("mid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").hint("merge"), "mid").select("mid", "n", "end", "src", "confidence"))
+    two = _meeting(hops.toDF("mid", "n", "pa", "sa", "ca"), hops.toDF("mid", "n", "pb", "sb", "cb"), "mid").where("sa < sb")
     two = two.groupBy("pa", "pb").agg(F.max(F.col("ca") * F.col("cb")).alias("through"))
     two = two.join(side("a"), "pa").join(side("b"), "pb").select("pa", "pb", "through", *agreement()).join(rated.drop("confidence"), list(LEVELS))
     odds = F.col("through") / F.greatest(1 - F.col("through"), F.lit(1e-9)) * F.exp("ratio")
