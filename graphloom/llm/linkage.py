@@ -254,17 +254,25 @@ def other_patterns(profiles: DataFrame, compared: dict[tuple[int, ...], int]) ->
     return out
 
 
-def _meeting(x: DataFrame, y: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
-    """Inner join of two forms of one table on a column whose rows are counted in n: no task makes many more than most pairs of one value.
+def _meeting(rows: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
+    """Pairs of rows (on, src and others) that have one value of on and different src, src_a < src_b; no task makes many more than most of one value's pairs.
 
-    A value with more pairs is cut by the hash of x's rows into as many salts as they need, and its rows of y are repeated once per salt.
+    The rows of a value and two tables are counted. Where they make more pairs, the first table's rows are cut by their hash into as many salts
+    as needed, and the second's are repeated once per salt. Rows of one table never meet, however many have a value.
     """
-    pairs = x.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, partitions_for(pairs, most)))
-    salts = F.least(F.col("n"), F.lit(4096), F.ceil(F.col("n") * F.col("n") / most)).cast("int")
-    left = x.withColumn("_salt", F.pmod(F.xxhash64(*x.columns), salts).cast("int")).drop("n")
-    right = y.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
-    return left.repartition(parts, on, "_salt").join(right.repartition(parts, on, "_salt").hint("merge"), [on, "_salt"]).drop("_salt")
+    counts = write_table(rows.groupBy(on, "src").agg(F.count(F.lit(1)).alias("n")))
+    both = counts.toDF(on, "src_a", "na").join(counts.toDF(on, "src_b", "nb").hint("merge"), on).where("src_a < src_b")
+    salts = F.least(F.col("na"), F.lit(4096), F.ceil(F.col("na") * F.col("nb") / most)).cast("int")
+    both = write_table(both.select(on, "src_a", "src_b", salts.alias("salts"), (F.col("na") * F.col("nb")).alias("pairs")))
+    drop_table(counts)
+    pairs = both.agg(F.sum("pairs")).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, partitions_for(pairs, most)))
+    rest = [c for c in rows.columns if c not in (on, "src")]
+    side = lambda x: rows.select(on, F.col("src").alias(f"src_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in rest])
+    left = side("a").join(both.drop("pairs").hint("merge"), [on, "src_a"]).withColumn("_salt", F.pmod(F.xxhash64(*[f"{c}_a" for c in rest]), F.col("salts")).cast("int")).drop("salts")
+    right = side("b").join(both.drop("pairs").hint("merge"), [on, "src_b"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    keys = [on, "src_a", "src_b", "_salt"]
+    return left.repartition(parts, *keys).join(right.repartition(parts, *keys).hint("merge"), keys).drop("_salt")
 
 
 def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -288,9 +296,8 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     attributes = ["src", "species", "own", "aliases", "entry", "stem", "role", "member"]
     # equal hashes of different keys only make a pair to compare
     blocked = profiles.select("profile", "src", F.explode(F.array_distinct(F.transform(_keys(), lambda k: F.xxhash64("species", k)))).alias("block"))
-    shared = blocked.groupBy("block").agg(F.min("src").alias("a"), F.max("src").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("block", "n")
-    blocked = write_table(blocked.join(shared.hint("merge"), "block").select("block", "n", "profile", "src"))
-    pairs = _meeting(blocked.toDF("block", "n", "pa", "sa"), blocked.toDF("block", "n", "pb", "sb"), "block").where("sa < sb").select("pa", "pb").distinct()
+    blocked = write_table(blocked.select("block", "src", "profile"))
+    pairs = _meeting(blocked, "block").select(F.col("profile_a").alias("pa"), F.col("profile_b").alias("pb")).distinct()
     side = lambda name: profiles.select(F.col("profile").alias(f"p{name}"), F.struct("profile", *attributes).alias(name)).hint("merge")
     pairs = pairs.join(side("a"), "pa").join(side("b"), "pb").where("a.species = b.species")
     compared = write_table(pairs.select("pa", "pb", F.col("a.src").alias("sa"), F.col("b.src").alias("sb"), *agreement()))
@@ -304,9 +311,8 @@ def link(records: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     there = links.select(F.col("pa").alias("mid"), F.col("pb").alias("end"), F.col("sb").alias("src"), "confidence")
     back = links.select(F.col("pb").alias("mid"), F.col("pa").alias("end"), F.col("sa").alias("src"), "confidence")
-    hops = there.union(back)
-    hops = write_table(hops.join(hops.groupBy("mid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").hint("merge"), "mid").select("mid", "n", "end", "src", "confidence"))
-    two = _meeting(hops.toDF("mid", "n", "pa", "sa", "ca"), hops.toDF("mid", "n", "pb", "sb", "cb"), "mid").where("sa < sb")
+    hops = write_table(there.union(back).select("mid", "src", "end", "confidence"))
+    two = _meeting(hops, "mid").select(F.col("end_a").alias("pa"), F.col("end_b").alias("pb"), F.col("confidence_a").alias("ca"), F.col("confidence_b").alias("cb"))
     two = two.groupBy("pa", "pb").agg(F.max(F.col("ca") * F.col("cb")).alias("through"))
     two = two.join(side("a"), "pa").join(side("b"), "pb").select("pa", "pb", "through", *agreement()).join(rated.drop("confidence"), list(LEVELS))
     odds = F.col("through") / F.greatest(1 - F.col("through"), F.lit(1e-9)) * F.exp("ratio")
