@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,7 +46,7 @@ def similar_sets(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     x = heads.where("side = 'a'").select(F.col("tokens").alias("ta"), "token")
     y = heads.where("side = 'b'").select(F.col("tokens").alias("tb"), "token")
     size_fits = (F.size("tb") >= threshold * F.size("ta") - 1e-9) & (F.size("ta") >= threshold * F.size("tb") - 1e-9)
-    pairs = x.join(y, "token").where(size_fits).select("ta", "tb").distinct().withColumn("similarity", labels.jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= threshold)
+    pairs = x.join(y, "token").where(size_fits).select("ta", "tb", labels.jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold).distinct()
     ids = lambda side, t, name: both.where(F.col("side") == side).select(F.col("tokens").alias(t), F.col("id").alias(name)).distinct()
     return pairs.join(ids("a", "ta", "id_a"), "ta").join(ids("b", "tb", "id_b"), "tb").select("id_a", "id_b", "similarity")
 
@@ -142,6 +143,86 @@ def scored_pairs(a: DataFrame, b: DataFrame, near_a: DataFrame, near_b: DataFram
     return out.select("id_a", "id_b", "label_a", "label_b", "exact", "label", "structure", score.alias("score"), method(F.col("exact"), F.col("label"), F.col("structure")).alias("method"))
 
 
+@dataclass
+class ClassScores:
+    """Scores of the pairs with the same id or similar labels, without a row for each: most have no signal but their labels.
+
+    a and b are entities (id, label). classes are the pairs of similar labels (label_a, label_b, score, method), with what their entities score
+    by label alone. met are the pairs (id_a, id_b, label_a, label_b, similar, score, method) that share their id or a neighbour; similar says that their labels are a row of classes too.
+    """
+
+    a: DataFrame
+    b: DataFrame
+    classes: DataFrame
+    met: DataFrame
+
+    def rows(self) -> DataFrame:
+        """(id_a, id_b, score, method) of all pairs. Pairs of a class are made where its entities meet, and are not shuffled."""
+        known = self.met.where("similar").groupBy("id_a").agg(F.collect_list("id_b").alias("known"))
+        x = self.a.select(F.col("id").alias("id_a"), F.col("label").alias("label_a")).join(self.classes, "label_a").join(known, "id_a", "left")
+        plain = spread_join(x, self.b.select(F.col("id").alias("id_b"), F.col("label").alias("label_b")), "label_b")
+        plain = plain.where(F.col("known").isNull() | ~F.array_contains("known", F.col("id_b")))
+        return self.met.select("id_a", "id_b", "score", "method").union(plain.select("id_a", "id_b", "score", "method"))
+
+    def counts(self) -> DataFrame:
+        """(decision, method, pairs): the pairs of classes are counted by their labels' entities."""
+        decided = [band(F.col("score")).alias("decision"), "method"]
+        count = lambda df, s: df.groupBy(F.col("label").alias(f"label_{s}")).agg(F.count(F.lit(1)).alias(f"n{s}"))
+        all_of = self.classes.join(count(self.a, "a"), "label_a").join(count(self.b, "b"), "label_b").select(*decided, (F.col("na") * F.col("nb")).alias("pairs"))
+        twice = self.met.where("similar").select("label_a", "label_b").join(self.classes, ["label_a", "label_b"]).select(*decided, F.lit(-1).cast("long").alias("pairs"))
+        every = all_of.union(twice).union(self.met.select(*decided, F.lit(1).cast("long").alias("pairs")))
+        return every.groupBy("decision", "method").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
+
+    def merged(self) -> DataFrame:
+        """(id_a, id_b) of the pairs that merge. Labels alone score 0.95 of their weight at most, which merges nothing."""
+        return self.met.where(band(F.col("score")) == "MERGE").select("id_a", "id_b")
+
+    def best(self, k: int) -> DataFrame:
+        """The k best (id_a, id_b, score) of each id_a with their rank, by score, then by id.
+
+        A shared id or neighbour only adds to what a pair's labels score, so the best are among the k best by label and the pairs that share one.
+        """
+        first = lambda df, by, order: df.withColumn("_n", F.row_number().over(W.Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+        few = first(self.b.select(F.col("label").alias("label_b"), F.col("id").alias("id_b")), "label_b", ["id_b"])
+        by_label = first(self.classes.select("label_a", "label_b", "score").join(few, "label_b"), "label_a", [F.desc("score"), "id_b"])
+        plain = self.a.select(F.col("id").alias("id_a"), F.col("label").alias("label_a")).join(by_label, "label_a").select("id_a", "id_b", "score")
+        return best_candidates(plain.union(self.met.select("id_a", "id_b", "score")).groupBy("id_a", "id_b").agg(F.max("score").alias("score")), k)
+
+
+def class_scores(a: DataFrame, b: DataFrame, near_a: DataFrame, near_b: DataFrame, threshold: float = 0.7) -> ClassScores:
+    """The scores of entities (id, label) with the same id or with labels that are equal or have a Jaccard similarity from the threshold on; near_a and near_b have
+    the neighbours (id, neighbour) of lower-cased ids, each once. Nulls and empty labels pair with none."""
+    a, b = (write_table(x.where("id is not null and label <> ''").select("id", "label")) for x in (a, b))
+    near_a, near_b = write_table(near_a), write_table(near_b)
+    named = lambda x, s: x.select(F.col("id").alias(f"id_{s}"), F.col("label").alias(f"label_{s}"))
+    la, lb = F.col("label_a"), F.col("label_b")
+    jaccard = labels.jaccard(labels.tokens(la), labels.tokens(lb))
+    inside = (F.least(F.length(la), F.length(lb)) >= 3) & (la.contains(lb) | lb.contains(la))
+
+    def scored(df: DataFrame, exact: Column, structure: Column) -> DataFrame:
+        df = df.withColumns({"exact": exact, "structure": structure, "label": label_score(la == lb, jaccard, inside, threshold)})
+        score = F.round(composite({"exact_id": F.col("exact"), "label": F.col("label"), "structure": F.col("structure")}), 6)
+        return df.withColumns({"score": score, "method": method(F.col("exact"), F.col("label"), F.col("structure"))})
+
+    words = lambda x: x.select(F.col("label").alias("id"), labels.tokens(F.col("label")).alias("tokens")).distinct()
+    alike = similar_sets(words(a), words(b), threshold).select(F.col("id_a").alias("label_a"), F.col("id_b").alias("label_b"))
+    equal = a.select("label").distinct().join(b.select("label").distinct(), "label").select(F.col("label").alias("label_a"), F.col("label").alias("label_b"))
+    classes = write_table(scored(alike.union(equal).distinct(), F.lit(0.0), F.lit(0.0)).select("label_a", "label_b", "score", "method"))
+    side = lambda x, near, s: named(x, s).join(near.select(F.col("id").alias("key"), "neighbour"), F.lower(f"id_{s}") == F.col("key")).drop("key")
+    x = side(a, near_a, "a").join(classes.select("label_a", "label_b"), "label_a")
+    pair = ["id_a", "id_b", "label_a", "label_b"]
+    near = x.join(side(b, near_b, "b"), ["label_b", "neighbour"]).where("id_a <> id_b").groupBy(*pair).agg(F.count(F.lit(1)).alias("common"))
+    same = named(a, "a").join(named(b, "b"), F.col("id_a") == F.col("id_b"))
+    both = near_a.join(near_b, ["id", "neighbour"]).groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("common"))
+    same = same.join(both, F.lower("id_a") == F.col("key"), "left").select(*pair, "common")
+    degree = lambda x, s: x.groupBy(F.col("id").alias(f"k{s}")).agg(F.count(F.lit(1)).alias(f"n{s}"))
+    met = near.union(same).join(degree(near_a, "a"), F.lower("id_a") == F.col("ka"), "left").join(degree(near_b, "b"), F.lower("id_b") == F.col("kb"), "left")
+    structure = F.coalesce(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), F.lit(0.0))
+    met = scored(met, F.when(F.col("id_a") == F.col("id_b"), 1.0).otherwise(0.0), structure)
+    similar = (la == lb) | (jaccard >= threshold)
+    return ClassScores(a, b, classes, write_table(met.select(*pair, similar.alias("similar"), "score", "method")))
+
+
 def label_score(same: Column, similarity: Column, contained: Column, threshold: float = 0.7) -> Column:
     """0.95 for equal labels, else the similarity from the threshold on, else 0.75 for a label within the other."""
     return F.when(same, 0.95).when(similarity >= threshold, similarity).when(contained, 0.75).otherwise(0.0)

@@ -8,6 +8,7 @@ from graphloom.functions import labels, literals
 from graphloom.operators import alignment, canonical, components, conflicts, matching, states
 from graphloom.plans import worlds
 from graphloom.plans.tables import table
+from graphloom.scratch import write_table
 
 OPPOSING = [("treats", "contraindicated_in"), ("associated_with", "not_associated_with")]
 FUNCTIONAL = ["encodes", "subtype_of"]
@@ -47,37 +48,21 @@ def identity_pairs(spark, d):
 
 
 def _scored(spark, d):
-    e = _entities(spark, d)
-    a, b = e.where("graph = 'graph_a'"), e.where("graph = 'graph_b'")
-    tokens = lambda x: x.withColumn("tokens", labels.tokens(F.col("label")))
-    keys = lambda x: x.withColumn("keys", F.array(F.concat(F.lit("id:"), "id"), F.concat(F.lit("label:"), "label")))
-    pairs = matching.blocked_pairs(keys(a), keys(b)).union(matching.similar_sets(tokens(a), tokens(b), 0.7).select("id_a", "id_b")).distinct()
-    facts = worlds.statements(spark, d)
+    e, facts = _entities(spark, d), worlds.statements(spark, d)
     near = lambda g: matching.neighbours(facts.where(F.col("graph") == g).withColumns({"s": F.lower("s"), "o": F.lower("o")}))
-    pairs = pairs.withColumns({"ka": F.lower("id_a"), "kb": F.lower("id_b")})
-    keyed = pairs.select(F.col("ka").alias("id_a"), F.col("kb").alias("id_b")).distinct()
-    structure = matching.shared_neighbours(keyed, near("graph_a"), near("graph_b")).select(F.col("id_a").alias("ka"), F.col("id_b").alias("kb"), "structure")
-    named = lambda x, s: x.select(F.col("id").alias(f"id_{s}"), F.col("label").alias(f"label_{s}"))
-    pairs = pairs.join(named(a, "a"), "id_a").join(named(b, "b"), "id_b").join(structure, ["ka", "kb"])
-    la, lb = F.col("label_a"), F.col("label_b")
-    inside = (F.least(F.length(la), F.length(lb)) >= 3) & (la.contains(lb) | lb.contains(la))
-    label = matching.label_score(la == lb, labels.jaccard(labels.tokens(la), labels.tokens(lb)), inside)
-    exact = F.when(F.col("id_a") == F.col("id_b"), 1.0).otherwise(0.0)
-    pairs = pairs.withColumns({"exact": exact, "label": label})
-    score = F.round(matching.composite({"exact_id": F.col("exact"), "label": F.col("label"), "structure": F.col("structure")}), 6)
-    return pairs.select("id_a", "id_b", score.alias("score"), matching.method(F.col("exact"), F.col("label"), F.col("structure")).alias("method"))
+    return matching.class_scores(e.where("graph = 'graph_a'"), e.where("graph = 'graph_b'"), near("graph_a"), near("graph_b"))
 
 
 def match_scores(spark, d):
-    return _scored(spark, d).withColumn("decision", matching.band(F.col("score")))
+    return _scored(spark, d).rows().withColumn("decision", matching.band(F.col("score")))
 
 
 def best_matches(spark, d):
-    return matching.best_candidates(_scored(spark, d).drop("method"), 3)
+    return _scored(spark, d).best(3)
 
 
 def decision_counts(spark, d):
-    return _scored(spark, d).groupBy(matching.band(F.col("score")).alias("decision"), "method").agg(F.count(F.lit(1)).alias("pairs"))
+    return _scored(spark, d).counts()
 
 
 def full_scores(spark, d):
@@ -224,11 +209,10 @@ def first_entities(spark, d):
 
 def flagship(spark, d):
     """Two graphs matched, decided, merged into components, and their facts redirected and held once, counted by decision."""
-    scored = match_scores(spark, d)
-    merged = scored.where("decision = 'MERGE'").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    roots = components.components(merged)
+    scored = _scored(spark, d)
+    roots = write_table(components.components(scored.merged().select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
     facts = canonical.held_once(canonical.redirect(worlds.statements(spark, d), roots))
-    decided = scored.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+    decided = scored.counts().groupBy("decision").agg(F.sum("pairs").alias("n"))
     return decided.union(roots.select(F.lit("ROOTS"), F.countDistinct("root"))).union(facts.select(F.lit("FACTS"), F.count(F.lit(1))))
 
 
