@@ -50,3 +50,17 @@ def test_rows_are_those_of_single_pairs(spark):
     got = scores(spark).rows().collect()
     assert len(got) == len(wanted())
     assert {(r["id_a"], r["id_b"]): r["score"] for r in got} == wanted()
+
+
+def test_counts_are_those_of_single_pairs(spark):
+    found = {}
+    for x in wanted().values():
+        decision = "MERGE" if x >= 0.88 else "REVIEW" if x >= 0.65 else "KEEP"
+        found[decision] = found.get(decision, 0) + 1
+    got = scores(spark).counts().groupBy("decision").agg(F.sum("pairs").alias("n")).collect()
+    assert {r["decision"]: r["n"] for r in got} == found
+
+
+def test_counts_of_a_label_that_all_share(spark):
+    got = {(r["decision"], r["method"]): r["pairs"] for r in common_label(spark, 300_000).counts().collect()}
+    assert got == {("MERGE", "exact_id"): 1, ("MERGE", "normalized_label"): 1, ("REVIEW", "normalized_label"): 300_001**2 - 2}
