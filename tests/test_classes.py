@@ -64,3 +64,18 @@ def test_counts_are_those_of_single_pairs(spark):
 def test_counts_of_a_label_that_all_share(spark):
     got = {(r["decision"], r["method"]): r["pairs"] for r in common_label(spark, 300_000).counts().collect()}
     assert got == {("MERGE", "exact_id"): 1, ("MERGE", "normalized_label"): 1, ("REVIEW", "normalized_label"): 300_001**2 - 2}
+
+
+def test_best_are_those_of_single_pairs(spark):
+    by = {}
+    for (i, j), x in wanted().items():
+        by.setdefault(i, []).append((-x, j))
+    want = {(i, j, -x, n + 1) for i, rows in by.items() for n, (x, j) in enumerate(sorted(rows)[:3])}
+    assert {(r["id_a"], r["id_b"], r["score"], r["rank"]) for r in scores(spark).best(3).collect()} == want
+
+
+def test_best_of_a_label_that_all_share(spark):
+    found = common_label(spark, 100_000).best(2)
+    assert found.count() == 200_002
+    assert [(r["id_b"], r["rank"]) for r in found.where("id_a = 'A7'").orderBy("rank").collect()] == [("B9", 1), ("B0", 2)]
+    assert [(r["id_b"], r["rank"]) for r in found.where("id_a = 'both'").orderBy("rank").collect()] == [("both", 1), ("B0", 2)]
