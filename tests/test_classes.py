@@ -79,3 +79,11 @@ def test_best_of_a_label_that_all_share(spark):
     assert found.count() == 200_002
     assert [(r["id_b"], r["rank"]) for r in found.where("id_a = 'A7'").orderBy("rank").collect()] == [("B9", 1), ("B0", 2)]
     assert [(r["id_b"], r["rank"]) for r in found.where("id_a = 'both'").orderBy("rank").collect()] == [("both", 1), ("B0", 2)]
+
+
+def test_merged_are_those_of_single_pairs(spark):
+    assert {(r["id_a"], r["id_b"]) for r in scores(spark).merged().collect()} == {k for k, x in wanted().items() if x >= 0.88}
+
+
+def test_merged_of_a_label_that_all_share(spark):
+    assert {tuple(r) for r in common_label(spark, 300_000).merged().collect()} == {("A7", "B9"), ("both", "both")}
