@@ -18,8 +18,8 @@ def assertion_id(s: Column, p: Column, o: Column) -> Column:
     return F.concat(F.lit("assertion:"), F.substring(F.sha2(F.concat_ws("|", s, p, o), 256), 1, 16))
 
 
-def relations(spark: SparkSession, d: str) -> DataFrame:
-    """(id, s, p, o): places, customers, suppliers, orders and parts linked by their keys, each fact once."""
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """(s, p, o): places, customers, suppliers, orders and parts linked by their keys, as often as the tables say so."""
     t = lambda name: table(spark, d, name)
     parts = [
         _link(t("nation"), "nation", "n_nationkey", "partOf", "region", "n_regionkey"),
@@ -29,7 +29,12 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
         _link(t("lineitem"), "order", "l_orderkey", "contains", "part", "l_partkey"),
         _link(t("lineitem"), "supplier", "l_suppkey", "supplies", "part", "l_partkey"),
     ]
-    return reduce(DataFrame.union, parts).distinct().select(assertion_id(F.col("s"), F.col("p"), F.col("o")).alias("id"), "s", "p", "o")
+    return reduce(DataFrame.union, parts)
+
+
+def relations(spark: SparkSession, d: str) -> DataFrame:
+    """(id, s, p, o): the links, each fact once."""
+    return links(spark, d).distinct().select(assertion_id(F.col("s"), F.col("p"), F.col("o")).alias("id"), "s", "p", "o")
 
 
 RELATIONS = """
