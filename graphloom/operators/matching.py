@@ -11,7 +11,7 @@ from pyspark.sql import window as W
 
 from graphloom.functions import labels, python_exact
 from graphloom.operators.skew import mark_members, spread_join
-from graphloom.scratch import write_table
+from graphloom.scratch import drop_table, write_table
 
 #: Weights of the signals in the composite score.
 WEIGHTS = {"exact_id": 1.0, "label": 0.75, "structure": 0.3, "embedding": 0.35}
@@ -220,7 +220,10 @@ def class_scores(a: DataFrame, b: DataFrame, near_a: DataFrame, near_b: DataFram
     structure = F.coalesce(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), F.lit(0.0))
     met = scored(met, F.when(F.col("id_a") == F.col("id_b"), 1.0).otherwise(0.0), structure)
     similar = (la == lb) | (jaccard >= threshold)
-    return ClassScores(a, b, classes, write_table(met.select(*pair, similar.alias("similar"), "score", "method")))
+    met = write_table(met.select(*pair, similar.alias("similar"), "score", "method"))
+    drop_table(near_a)
+    drop_table(near_b)
+    return ClassScores(a, b, classes, met)
 
 
 def label_score(same: Column, similarity: Column, contained: Column, threshold: float = 0.7) -> Column:
