@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from graphloom.functions import labels, python_exact
-from graphloom.operators.skew import mark_members, spread_join
+from graphloom.operators.skew import mark_members, possible_members, spread_join
 from graphloom.scratch import drop_table, write_table
 
 #: Weights of the signals in the composite score.
@@ -73,6 +73,12 @@ def shared_neighbours(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame
     return out.withColumn("structure", F.coalesce(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), F.lit(0.0))).drop("common", "na", "nb")
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(id, neighbour) over edges (s, o) in both directions, as often as they come."""
+    at = lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("neighbour"))
+    return edges.select(F.inline(F.array(at("s", "o"), at("o", "s"))))
+
+
 def neighbour_labels(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, neighbour): the labels of each entity's neighbours over edges (s, o); a neighbour that is no entity has its id's label. Ids compare without case."""
     known = entities.groupBy(F.lower("id").alias("key")).agg(F.max("label").alias("known"))
@@ -189,11 +195,18 @@ class ClassScores:
         return best_candidates(plain.union(self.met.select("id_a", "id_b", "score")).groupBy("id_a", "id_b").agg(F.max("score").alias("score")), k)
 
 
+def _neighbours_of(a: DataFrame, b: DataFrame, near_a: DataFrame, near_b: DataFrame) -> DataFrame:
+    """(id, neighbour, held), each once: held is 1 where near_a has the row, 2 where near_b has it, 3 where both have. Of near_a only the ids of a are kept, and few others, and
+    of near_b those of b."""
+    kept = lambda near, x, n: possible_members(near, "id", x.select(F.lower("id"))).select("id", "neighbour", F.lit(n).alias("held"))
+    return kept(near_a, a, 1).union(kept(near_b, b, 2)).groupBy("id", "neighbour").agg(F.bit_or("held").alias("held"))
+
+
 def class_scores(a: DataFrame, b: DataFrame, near_a: DataFrame, near_b: DataFrame, threshold: float = 0.7) -> ClassScores:
     """The scores of entities (id, label) with the same id or with labels that are equal or have a Jaccard similarity from the threshold on; near_a and near_b have
-    the neighbours (id, neighbour) of lower-cased ids, each once. Nulls and empty labels pair with none."""
+    the neighbours (id, neighbour) of lower-cased ids, which may come again. Nulls and empty labels pair with none."""
     a, b = (write_table(x.where("id is not null and label <> ''").select("id", "label")) for x in (a, b))
-    near_a, near_b = write_table(near_a), write_table(near_b)
+    near = write_table(_neighbours_of(a, b, near_a, near_b))
     named = lambda x, s: x.select(F.col("id").alias(f"id_{s}"), F.col("label").alias(f"label_{s}"))
     la, lb = F.col("label_a"), F.col("label_b")
     jaccard = labels.jaccard(labels.tokens(la), labels.tokens(lb))
@@ -208,21 +221,23 @@ def class_scores(a: DataFrame, b: DataFrame, near_a: DataFrame, near_b: DataFram
     alike = similar_sets(words(a), words(b), threshold).select(F.col("id_a").alias("label_a"), F.col("id_b").alias("label_b"))
     equal = a.select("label").distinct().join(b.select("label").distinct(), "label").select(F.col("label").alias("label_a"), F.col("label").alias("label_b"))
     classes = write_table(scored(alike.union(equal).distinct(), F.lit(0.0), F.lit(0.0)).select("label_a", "label_b", "score", "method"))
-    side = lambda x, near, s: named(x, s).join(near.select(F.col("id").alias("key"), "neighbour"), F.lower(f"id_{s}") == F.col("key")).drop("key")
-    x = side(a, near_a, "a").join(classes.select("label_a", "label_b"), "label_a")
+    held = lambda n: F.count(F.when(F.col("held").bitwiseAND(n) == n, 1))
+    sizes = write_table(near.groupBy("id").agg(held(1).alias("na"), held(2).alias("nb"), F.count(F.when(F.col("held") == 3, F.col("neighbour"))).alias("common")))
+    side = lambda x, s, n: x.join(near.where(F.col("held").bitwiseAND(n) == n).select(F.col("id").alias("key"), "neighbour"), F.lower(f"id_{s}") == F.col("key")).drop("key")
+    x = side(named(a, "a").join(classes.select("label_a", "label_b"), "label_a"), "a", 1)
+    y = side(named(b, "b").join(classes.select("label_b").distinct(), "label_b"), "b", 2)
     pair = ["id_a", "id_b", "label_a", "label_b"]
-    near = x.join(side(b, near_b, "b"), ["label_b", "neighbour"]).where("id_a <> id_b").groupBy(*pair).agg(F.count(F.lit(1)).alias("common"))
-    same = named(a, "a").join(named(b, "b"), F.col("id_a") == F.col("id_b"))
-    both = near_a.join(near_b, ["id", "neighbour"]).groupBy(F.col("id").alias("key")).agg(F.count(F.lit(1)).alias("common"))
-    same = same.join(both, F.lower("id_a") == F.col("key"), "left").select(*pair, "common")
-    degree = lambda x, s: x.groupBy(F.col("id").alias(f"k{s}")).agg(F.count(F.lit(1)).alias(f"n{s}"))
-    met = near.union(same).join(degree(near_a, "a"), F.lower("id_a") == F.col("ka"), "left").join(degree(near_b, "b"), F.lower("id_b") == F.col("kb"), "left")
+    met = x.join(y, ["label_b", "neighbour"]).where("id_a <> id_b").groupBy(*pair).agg(F.count(F.lit(1)).alias("common"))
+    for s in ("a", "b"):
+        met = met.join(sizes.select(F.col("id").alias("key"), f"n{s}"), F.lower(f"id_{s}") == F.col("key")).drop("key")
+    same = named(a, "a").join(named(b, "b"), F.col("id_a") == F.col("id_b")).join(sizes.withColumnRenamed("id", "key"), F.lower("id_a") == F.col("key"), "left")
+    met = met.union(same.select(*met.columns))
     structure = F.coalesce(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), F.lit(0.0))
     met = scored(met, F.when(F.col("id_a") == F.col("id_b"), 1.0).otherwise(0.0), structure)
     similar = (la == lb) | (jaccard >= threshold)
     met = write_table(met.select(*pair, similar.alias("similar"), "score", "method"))
-    drop_table(near_a)
-    drop_table(near_b)
+    drop_table(near)
+    drop_table(sizes)
     return ClassScores(a, b, classes, met)
 
 

@@ -73,3 +73,23 @@ def mark_members(rows: DataFrame, column: str, keys: DataFrame, mark: str, salts
     left = rows.withColumn("_at", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(salts)))
     joined = left.join(spread, (here == F.col("_key")) & (F.col("_at") == F.col("_salt")), "left")
     return joined.withColumn(mark, F.col("_key").isNotNull()).drop("_key", "_at", "_salt")
+
+
+#: Bits of the broadcast hashes of possible_members(), at most.
+MEMBER_BITS = 1 << 26
+
+
+def possible_members(rows: DataFrame, column: str, keys: DataFrame, most: int = MEMBER_BITS) -> DataFrame:
+    """The rows whose column is among keys (one column), and a few others, so that fewer are shuffled. A null is among none.
+
+    Hashes of keys are bits of words that are broadcast: 16 bits a key, so that one of 16 other rows stays, but no more than most in all, with
+    which more stay. What needs the members only must join them again.
+    """
+    bits = max(64, min(most, 16 * keys.count()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    word = lambda c: F.shiftright(at(c), 6)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at(c), F.lit(64)).cast("int"))
+    key, here = F.col("_key"), F.col(f"`{column}`")
+    words = keys.select(F.col(keys.columns[0]).alias("_key")).where("_key is not null").groupBy(word(key).alias("_word")).agg(F.bit_or(bit(key)).alias("_bits"))
+    found = rows.where(here.isNotNull()).join(F.broadcast(words), word(here) == F.col("_word"))
+    return found.where(F.col("_bits").bitwiseAND(bit(here)) != 0).drop("_word", "_bits")

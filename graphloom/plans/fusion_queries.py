@@ -49,7 +49,7 @@ def identity_pairs(spark, d):
 
 def _scored(spark, d):
     e, facts = _entities(spark, d), worlds.statements(spark, d)
-    near = lambda g: matching.neighbours(facts.where(F.col("graph") == g).withColumns({"s": F.lower("s"), "o": F.lower("o")}))
+    near = lambda g: matching.both_ways(facts.where(F.col("graph") == g).select(F.lower("s").alias("s"), F.lower("o").alias("o")))
     return matching.class_scores(e.where("graph = 'graph_a'"), e.where("graph = 'graph_b'"), near("graph_a"), near("graph_b"))
 
 

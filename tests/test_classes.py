@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import matching
+from graphloom.operators import matching, skew
+from graphloom.scratch import write_table
 
 NEAR = "id string, neighbour string"
 
@@ -66,6 +67,44 @@ def test_counts_of_a_label_that_all_share(spark):
     assert got == {("MERGE", "exact_id"): 1, ("MERGE", "normalized_label"): 1, ("REVIEW", "normalized_label"): 300_001**2 - 2}
 
 
+def repeated_scores(spark):
+    a, b, near_a, near_b = worlds()
+    entities = [spark.createDataFrame(x, "id string, label string") for x in (a, b)]
+    return matching.class_scores(*entities, *(spark.createDataFrame(x + x[::2], NEAR) for x in (near_a, near_b)))
+
+
+def test_counts_with_repeated_neighbours(spark):
+    want = {(r["decision"], r["method"]): r["pairs"] for r in scores(spark).counts().collect()}
+    assert {(r["decision"], r["method"]): r["pairs"] for r in repeated_scores(spark).counts().collect()} == want
+
+
+def test_neighbours_of_ids_that_are_no_entities_are_not_written(spark, monkeypatch):
+    a, b, near_a, near_b = worlds()
+    written = []
+
+    def counted(df):
+        table = write_table(df)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(matching, "write_table", counted)
+    entities = [spark.createDataFrame(x, "id string, label string") for x in (a, b)]
+    others = spark.range(20_000).select(F.concat(F.lit("other"), "id").alias("id"), F.lit("n1").alias("neighbour"))
+    got = matching.class_scores(*entities, *(spark.createDataFrame(x, NEAR).union(others) for x in (near_a, near_b)))
+    assert max(written) < 5_000
+    assert {(r["id_a"], r["id_b"]): r["score"] for r in got.rows().collect()} == wanted()
+
+
+def test_possible_members_are_all_members_and_few_others(spark):
+    rows = spark.range(-20_000, 20_000).select(F.col("id").cast("string").alias("k")).union(spark.createDataFrame([(None,)], "k string"))
+    keys = spark.range(500).select(F.col("id").cast("string")).union(spark.createDataFrame([(None,)], "k string"))
+    kept = {r["k"] for r in skew.possible_members(rows, "k", keys).collect()}
+    assert {str(i) for i in range(500)} <= kept and None not in kept and len(kept) < 5_000
+    assert skew.possible_members(rows, "k", keys, most=64).where("k is not null").count() <= 40_000
+    assert {str(i) for i in range(500)} <= {r["k"] for r in skew.possible_members(rows, "k", keys, most=1024).collect()}
+    assert skew.possible_members(rows, "k", keys.limit(0)).count() == 0
+
+
 def test_best_are_those_of_single_pairs(spark):
     by = {}
     for (i, j), x in wanted().items():
