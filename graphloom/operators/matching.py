@@ -32,7 +32,8 @@ def similar_sets(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """(id_a, id_b, similarity) of all pairs of sets with a Jaccard similarity of threshold or more, exactly.
 
     a and b have id and tokens. Two such sets share one of their rarest tokens, of which a set of n has
-    n - ceil(threshold * n) + 1 to look at; so only rare tokens are joined, however common others are.
+    n - ceil(threshold * n) + 1 to look at; so only rare tokens are joined, however common others are. Where they first meet, both
+    must have enough tokens left, or the pair is dropped before its sets are compared.
     Equal sets are compared once, whatever the number of ids. Empty sets and null ids are similar to none.
     """
     sets = lambda df, side: df.where("id is not null and size(tokens) > 0").select("id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).withColumn("side", F.lit(side))
@@ -42,10 +43,10 @@ def similar_sets(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     rated = distinct.select("side", "tokens", F.explode("tokens").alias("token")).join(counts, "token")
     order = rated.groupBy("side", "tokens").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("rare"))
     looked = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(threshold) - 1e-9).cast("int") + 1
-    heads = order.select("side", "tokens", F.explode(F.slice("rare", F.lit(1), looked)).alias("r")).select("side", "tokens", "r.token")
-    x = heads.where("side = 'a'").select(F.col("tokens").alias("ta"), "token")
-    y = heads.where("side = 'b'").select(F.col("tokens").alias("tb"), "token")
-    size_fits = (F.size("tb") >= threshold * F.size("ta") - 1e-9) & (F.size("ta") >= threshold * F.size("tb") - 1e-9)
+    heads = order.select("side", "tokens", F.posexplode(F.slice("rare", F.lit(1), looked)).alias("at", "r")).select("side", "tokens", "r.token", F.size("tokens").alias("n"), (F.size("tokens") - F.col("at")).alias("left"))
+    x = heads.where("side = 'a'").select(F.col("tokens").alias("ta"), "token", F.col("n").alias("na"), F.col("left").alias("left_a"))
+    y = heads.where("side = 'b'").select(F.col("tokens").alias("tb"), "token", F.col("n").alias("nb"), F.col("left").alias("left_b"))
+    size_fits = F.least("left_a", "left_b") >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
     pairs = x.join(y, "token").where(size_fits).select("ta", "tb", labels.jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold).distinct()
     ids = lambda side, t, name: both.where(F.col("side") == side).select(F.col("tokens").alias(t), F.col("id").alias(name)).distinct()
     return pairs.join(ids("a", "ta", "id_a"), "ta").join(ids("b", "tb", "id_b"), "tb").select("id_a", "id_b", "similarity")

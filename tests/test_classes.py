@@ -1,5 +1,6 @@
 """Pairs scored by classes of labels, against every pair scored by itself, and with labels so common that their pairs can't be made."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -113,6 +114,21 @@ def test_best_are_those_of_single_pairs(spark):
     assert {(r["id_a"], r["id_b"], r["score"], r["rank"]) for r in scores(spark).best(3).collect()} == want
 
 
+def test_best_with_repeated_neighbours(spark):
+    assert {tuple(r) for r in repeated_scores(spark).best(3).collect()} == {tuple(r) for r in scores(spark).best(3).collect()}
+
+
+def test_similar_sets_are_those_of_single_pairs(spark):
+    draw = random.Random(1)
+    sets = lambda s: [(f"{s}{i}", draw.sample("abcdefghijkl", draw.randint(1, 8))) for i in range(150)]
+    a, b = sets("A"), sets("B")
+    frames = [spark.createDataFrame(x, "id string, tokens array<string>") for x in (a, b)]
+    for threshold in (0.5, 0.7, 1.0):
+        want = {(i, j): len({*x} & {*y}) / len({*x} | {*y}) for i, x in a for j, y in b}
+        got = {(r["id_a"], r["id_b"]): r["similarity"] for r in matching.similar_sets(*frames, threshold).collect()}
+        assert got == {k: v for k, v in want.items() if v >= threshold}
+
+
 def test_best_of_a_label_that_all_share(spark):
     found = common_label(spark, 100_000).best(2)
     assert found.count() == 200_002
