@@ -7,11 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.skew import possible_members
+from graphloom.scratch import write_table
+
 #: The names of predicates and graphs in a snapshot.
 SUBJECT, PREDICATE, OBJECT, VALUE, STATE, TYPE = (f"urn:assertion:{x}" for x in ("subject", "predicate", "object", "value", "state", "type"))
 RELATIONSHIP, ATTRIBUTE = "urn:assertion:RelationshipAssertion", "urn:assertion:AttributeAssertion"
 APPROVED, SOURCE, PROVENANCE, METADATA = (f"urn:graph:{x}" for x in ("approved_assertion", "source_assertion", "provenance", "release_metadata"))
 
+#: Predicates of changed rows by which transformed_by() leaves out others before it makes hashes, at most.
+MAX_NAMED = 1000
+
 
 def _exploded(df: DataFrame, graph: Column, node: Column, parts: list[tuple[str, Column, str]]) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind")) for p, o, kind in parts])
@@ -99,5 +105,26 @@ def transformed(authoritative: DataFrame, projected: DataFrame) -> DataFrame:
     return values(authoritative, "x").join(values(projected, "y"), key).where("x <> y").select(*key)
 
 
+def transformed_by(quads: DataFrame, value: Column) -> DataFrame:
+    """(graph, s, p) whose sets of values differ once each row's o is replaced by value: transformed() of quads and of what a rewriting makes of them.
+
+    Every row is compared with its own new value, and only keys with a row that differs can have sets that differ. The keys' hashes and predicates are
+    written, and all rows that may have such a key are read again and compared as sets, without a group of a key's values in one row. Repeated rows change
+    nothing; a null is no value, and a null in the key compares with nothing. value is made twice, so it must be the same each time.
+    """
+    key = ["graph", "s", "p"]
+    same = F.col("_x").eqNullSafe(F.col("_y"))
+    rows = quads.dropna(subset=key).select(*key, F.col("o").alias("_x"), value.alias("_y"), F.xxhash64(*key).alias("_h"))
+    changed = write_table(rows.where(~same).select("_h", "p"))
+    named = [r["p"] for r in changed.select("p").distinct().limit(MAX_NAMED + 1).collect()]
+    other = F.xxhash64(F.lit(1), "_h")
+    near = possible_members(rows.where(F.col("p").isin(named)) if len(named) <= MAX_NAMED else rows, "_h", changed)
+    near = possible_members(near.withColumn("_h", other), "_h", changed.select(other))  # other bits, so that few of the others stay
+    side = lambda c, sides: F.struct(F.col(c).alias("v"), F.lit(sides).alias("sides"))
+    values = F.when(same, F.array(side("_x", 3))).otherwise(F.array(side("_x", 1), side("_y", 2)))
+    found = near.select(*key, F.explode(values).alias("_v")).select(*key, "_v.*").where("v is not null")
+    return found.groupBy(*key, "v").agg(F.bit_or("sides").alias("sides")).where("sides <> 3").select(*key).distinct()
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
